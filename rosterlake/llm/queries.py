@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, url_filter
+from .media import media_columns
 from .ngram_join import ngram_components
 
 
@@ -36,5 +38,23 @@ SELECT s.doc_id, len(g)::BIGINT AS n_shingles, m.component_id
 FROM s JOIN (SELECT a, min(root) AS component_id FROM r GROUP BY a) m ON m.a = s.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
-ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL}
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source weighs the square root of its documents; as many rows as documents on average."""
+    return mixing.poisson_mix(_table(spark, sf_dir, "documents"), alpha=0.5, scale=1.0, seed=7)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(_table(spark, sf_dir, "documents")).drop("peak_times", "peak_codes")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op5_mix_sources": op5_mix_sources,
+    "op9_url_filter": op9_url_filter,
+    "op10_media_columns": op10_media_columns,
+}
+ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op5_mix_sources": mixing.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}
