@@ -94,9 +94,14 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.
     fold: A-Z count as a-z. The hash is a polynomial modulo 2**64 through a
     finaliser. Rows longer than a block are cut at white space.
     """
-    table = _FOLDED if fold else _VALUE
     begin, end = _word_bounds(data, offsets[:-1])
     row = np.searchsorted(offsets, begin, side="right") - 1
+    return hash_spans(data, begin, end, fold), begin, end, row
+
+
+def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Hashes of ordered spans that do not overlap, with nothing but white space between them."""
+    table = _FOLDED if fold else _VALUE
     hashes = np.empty(len(begin), dtype=np.uint64)
     i = 0
     while i < len(begin):
@@ -106,7 +111,7 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.
         at = begin[i:j] - lo
         hashes[i:j] = np.add.reduceat(value, at) * _powers("down", _INVERSE, hi - lo)[at]
         i = j
-    return mix(hashes), begin, end, row
+    return mix(hashes)
 
 
 def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, n: int) -> tuple[np.ndarray, np.ndarray]:

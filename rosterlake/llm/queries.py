@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, url_filter
+from .bpe import token_counts
+from .language import language_predictions
 from .media import media_columns
 from .ngram_join import ngram_components
 
@@ -38,11 +40,19 @@ SELECT s.doc_id, len(g)::BIGINT AS n_shingles, m.component_id
 FROM s JOIN (SELECT a, min(root) AS component_id FROM r GROUP BY a) m ON m.a = s.doc_id
 """
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_predictions(_table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source weighs the square root of its documents; as many rows as documents on average."""
     return mixing.poisson_mix(_table(spark, sf_dir, "documents"), alpha=0.5, scale=1.0, seed=7)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), limit=512)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(_table(spark, sf_dir, "pages"))
 
@@ -53,7 +63,9 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_language_id": op3_language_id,
     "op5_mix_sources": op5_mix_sources,
+    "op7_token_counts": op7_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_media_columns": op10_media_columns,
 }
