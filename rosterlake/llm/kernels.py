@@ -114,6 +114,10 @@ def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray, fold: bool
     return mix(hashes)
 
 
+#: A word's factor by its place in a shingle: unrelated odd numbers, so that orders of the same words differ.
+_FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
 def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, offsets by row) of the n-word shingles of each row, repeats included.
 
@@ -124,7 +128,7 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, n: int) -> tuple
     m = len(hashes)
     total = np.zeros(max(0, m - n + 1), dtype=np.uint64)
     for k in range(n):
-        total += hashes[k : k + len(total)] * np.uint64((2 * k + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+        total += hashes[k : k + len(total)] * _FACTORS[k]
     own = np.maximum(count - n + 1, 0)
     keep = rows[: len(total)] == rows[n - 1 :] if m >= n else np.zeros(0, bool)
     full = mix(total[keep] + np.uint64(n))
@@ -138,7 +142,7 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, n: int) -> tuple
     out[~is_short] = full
     for r in short:
         part = hashes[begin[r] : begin[r + 1]]
-        h = sum(int(w) * ((2 * k + 1) * 0xD6E8FEB86659FD93) for k, w in enumerate(part)) + len(part)
+        h = sum(int(w) * int(f) for w, f in zip(part, _FACTORS, strict=False)) + len(part)
         out[at[r]] = mix(np.array([h & (1 << 64) - 1], dtype=np.uint64))[0]
     return out, at
 
