@@ -11,6 +11,7 @@ from .bpe import token_counts
 from .language import language_predictions
 from .media import media_columns
 from .ngram_join import ngram_components
+from .quality import quality_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,10 @@ SELECT s.doc_id, len(g)::BIGINT AS n_shingles, m.component_id
 FROM s JOIN (SELECT a, min(root) AS component_id FROM r GROUP BY a) m ON m.a = s.doc_id
 """
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_language_id": op3_language_id,
     "op5_mix_sources": op5_mix_sources,
     "op7_token_counts": op7_token_counts,
