@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, url_filter
+from . import license_scan, mixing, url_filter
 from .bpe import token_counts
+from .decontaminate import leaks
 from .language import language_predictions
 from .media import media_columns
 from .ngram_join import ngram_components
 from .quality import quality_scores
+from .substring_dedup import substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,15 +51,27 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licence_scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source weighs the square root of its documents; as many rows as documents on average."""
     return mixing.poisson_mix(_table(spark, sf_dir, "documents"), alpha=0.5, scale=1.0, seed=7)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "cut_bytes", "cut_spans")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), limit=512)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(_table(spark, sf_dir, "pages"))
 
@@ -70,9 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_language_id": op3_language_id,
+    "op4_license_scan": op4_license_scan,
     "op5_mix_sources": op5_mix_sources,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_media_columns": op10_media_columns,
 }
-ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op5_mix_sources": mixing.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op4_license_scan": license_scan.ORACLE_SQL, "op5_mix_sources": mixing.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}
