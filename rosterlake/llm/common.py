@@ -82,7 +82,7 @@ def merged_sketch(partials: DataFrame, slots: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], ["piece", "packed"])
 
     out = np.zeros((slots // _PIECE, _PIECE), dtype=np.uint64)
-    for row in partials.select("piece", "packed").repartition("piece").mapInArrow(add, "piece int, packed binary").toLocalIterator():
+    for row in partials.select("piece", "packed").repartition("piece").mapInArrow(add, "piece int, packed binary").collect():
         out[row.piece] += np.frombuffer(zlib.decompress(row.packed), dtype=np.uint64)
     return out.reshape(-1)
 
@@ -149,7 +149,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
         e = settle(small.filter("u > v").distinct())
