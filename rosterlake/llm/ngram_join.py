@@ -17,7 +17,6 @@ different components are looked at again.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -224,46 +223,87 @@ def _class_links(rows: DataFrame, level, scratch: Scratch, n: int, percent: int,
     live = scratch.keep(with_prefix.repartition("tok").sortWithinPartitions("tok", "n", "cid").mapInArrow(shared, "tok long, cid long, n int, pos int"), "live")
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(hub, cid, times) where cid's hub under a token is the first class whose size and position allow a link."""
-        times: Counter = Counter()
+        """Each class with the first of its token whose size allows a link."""
+        found = _Met()
         for batch in batches:
             tok, cid, size, pos = (batch.column(k).to_numpy() for k in range(4))
             first = np.maximum.accumulate(np.where(np.concatenate(([True], tok[1:] != tok[:-1])), np.arange(len(tok)), 0))
-            length = size.astype(np.int64)
-            ok = (100 * length[first] >= percent * length) & (first != np.arange(len(tok)))
-            ok &= (100 + percent) * np.minimum(length[first] - pos[first], length - pos) >= percent * (length[first] + length)
-            times.update(zip(cid[first[ok]].tolist(), cid[ok].tolist(), strict=True))
-            if len(times) > 200_000:
-                yield _pairs(times)
-                times.clear()
-        yield _pairs(times)
-
-    tries = live.mapInArrow(partners, "hub long, cid long, times long").groupBy("hub", "cid").agg(F.sum("times").alias("times"))
-    best = tries.groupBy("cid").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
+            ok = np.flatnonzero((100 * size[first].astype(np.int64) >= percent * size.astype(np.int64)) & (first != np.arange(len(tok))))
+            found.add(cid[first[ok]], cid[ok], size[first[ok]], size[ok], pos[first[ok]], pos[ok])
+            if found.rows > 1 << 18:
+                yield found.taken()
+        yield found.taken()
+
+    best = _possible(live.mapInArrow(partners, _MET), percent).groupBy("cid").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub")).select("hub", "cid")
     one = scratch.keep(_verified(best, rows, level, n, percent, bundle), "one")
     roots = components(one)
 
     apart = live.join(roots, F.col("cid") == F.col("node"), "left").select("tok", "n", "cid", "pos", F.coalesce("root", "cid").alias("root"))
 
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found = _Met()
         for group in sorted_groups(batches, 1):
             _, size, cid, pos, root = (group.column(k).to_numpy() for k in range(5))
             if (root == root[0]).all():
                 continue
             for k in range(1, len(cid)):  # each class with the shorter ones before it
                 lo = int(np.searchsorted(size[:k], -(-percent * int(size[k]) // 100)))
-                other = slice(lo, k)
-                need = -(-percent * (size[other].astype(np.int64) + size[k]) // (100 + percent))
-                ok = (root[other] != root[k]) & (np.minimum(size[other] - pos[other], size[k] - pos[k]) >= need)
-                found.update((a, int(cid[k])) for a in cid[other][ok].tolist())
-                if len(found) > 200_000:
-                    yield _pairs(found)
-                    found.clear()
-        yield _pairs(found)
+                other = lo + np.flatnonzero(root[lo:k] != root[k])
+                own = np.full(len(other), k)
+                found.add(cid[other], cid[own], size[other], size[own], pos[other], pos[own])
+                if found.rows > 1 << 18:
+                    yield found.taken()
+        yield found.taken()
+
+    met = apart.repartition("tok").sortWithinPartitions("tok", "n", "cid").mapInArrow(crossing, _MET)
+    return one.union(_verified(_possible(met, percent).select("hub", "cid"), rows, level, n, percent, bundle))
+
+
+#: Pairs of classes that met under prefix tokens: how often, and the last positions where.
+_MET = "hub long, cid long, n1 int, n2 int, pos1 int, pos2 int, times long"
+
+
+class _Met:
+    """Meetings of pairs, summed up before they leave the task."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.rows = 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        if len(columns[0]):
+            self.parts.append(columns)
+            self.rows += len(columns[0])
 
-    more = apart.repartition("tok").sortWithinPartitions("tok", "n", "cid").mapInArrow(crossing, "hub long, cid long, times long").select("hub", "cid").distinct()
-    return one.union(_verified(scratch.keep(more, "more"), rows, level, n, percent, bundle))
+    def taken(self) -> pa.RecordBatch:
+        names = ["hub", "cid", "n1", "n2", "pos1", "pos2", "times"]
+        kinds = [np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int64]
+        columns = [np.concatenate([p[k] for p in self.parts]) if self.parts else np.zeros(0, kinds[k]) for k in range(6)]
+        self.parts, self.rows = [], 0
+        order = np.lexsort((columns[1], columns[0]))
+        columns = [c[order] for c in columns]
+        at = np.flatnonzero(np.concatenate(([True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])))) if len(order) else np.zeros(0, np.int64)
+        times = np.diff(np.append(at, len(order)))
+        last = [np.maximum.reduceat(c, at) if len(at) else c for c in columns[4:]]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(kind)) for c, kind in zip([*(c[at] for c in columns[:4]), *last, times], kinds, strict=True)], names)
+
+
+def _possible(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs that can be similar: what they share is their meetings and at most what follows the last one in either set."""
+    total = met.groupBy("hub", "cid", "n1", "n2").agg(F.max("pos1").alias("pos1"), F.max("pos2").alias("pos2"), F.sum("times").alias("times"))
+    bound = F.col("times") + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) - 1
+    return total.filter(bound * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    """The low 48 bits of each; two sets of a million shingles still have one false match in 300 pairs at most."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
 def _shared(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -278,16 +318,12 @@ def _shared(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from table.filter(pa.array(several)).combine_chunks().to_batches(max_chunksize=1 << 16)
 
 
-def _pairs(times: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in times], pa.int64()), pa.array([x[1] for x in times], pa.int64()), pa.array(list(times.values()), pa.int64())], ["hub", "cid", "times"])
-
-
 def _verified(pairs: DataFrame, rows: DataFrame, level, n: int, percent: int, bundle: int) -> DataFrame:
     """(a, b): links that span those among each hub and the classes paired with it."""
-    pairs = settle(pairs.select("hub", "cid"))
+    pairs = settle(pairs)
     many = pairs.groupBy("hub").agg(F.count("*").alias("m")).select("hub", F.ceil(F.col("m") / bundle).alias("parts"))
     dealt = pairs.join(many, "hub").select("hub", F.pmod(F.xxhash64("cid"), "parts").alias("part"), "cid")
-    seats = dealt.union(dealt.select("hub", "part", F.col("hub").alias("cid"))).distinct()
+    seats = settle(dealt.union(dealt.select("hub", "part", F.col("hub").alias("cid")).distinct()))
     classes = rows.sparkSession.sparkContext.broadcast(membership(seats.select("cid").distinct()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +334,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, level, n: int, percent: int, bu
                 if _prefix(len(s), percent) and (cid := K.digest(s)[0]) not in seen and classes.value[slot_of(np.array([cid]), len(classes.value))[0]]:
                     seen.add(cid)
                     names.append(cid)
-                    values.append(s.tobytes())
+                    values.append(_packed(s))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(values, pa.binary())], ["cid", "tokens"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +345,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, level, n: int, percent: int, bu
             if len(members) < 2:
                 continue
             names = list(members)
-            tokens = [np.frombuffer(members[c], dtype=np.uint64) for c in names]
+            tokens = [_unpacked(members[c]) for c in names]
             every = np.unique(np.concatenate(tokens))
             every = _in_order(every, level.value)
             by_value = np.argsort(every)
