@@ -62,7 +62,7 @@ def recover(jobs: DataFrame, most: int = 3) -> DataFrame:
     safe = F.col("safety").isin("safe_idempotent_read", "local_idempotent")
     active = F.col("state").isin(*ACTIVE)
     state = F.when(active & safe & (F.col("recoveries") < most), "interrupted").when(active & safe, "failed").when(active, "needs_attention").otherwise(F.col("state"))
-    return jobs.withColumn("recoveries", F.when(active & safe, F.col("recoveries") + 1).otherwise(F.col("recoveries"))).withColumn("state", state)
+    return jobs.withColumns({"state": state, "recoveries": F.when(active & safe, F.col("recoveries") + 1).otherwise(F.col("recoveries"))})
 
 
 def summary(jobs: DataFrame) -> DataFrame:
