@@ -206,7 +206,7 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str, similarity: flo
 def _found(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item number, edits, first word, words)."""
     data, offsets = buffers(column)
-    for lo, hi in blocks(offsets, 2 << 20):
+    for lo, hi in blocks(offsets, 1 << 19):
         w, _, _, row = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         if len(w):
             for (r, number), best in index.matches(w, row).items():
@@ -214,16 +214,16 @@ def _found(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int,
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, edits, first_word, n_words): a row for each item in a document, at its best place.
+    """(doc_id, item_id, edits, first_word, n_words): a row for each item in a row of docs, at its best place.
 
     An item is in a document if some run of its words (split at white space,
     A-Z lower-cased) has a word edit distance of at most (1 - similarity) times
     the item's words to it, as far as the sampled keys find it.
 
     Null and empty texts, and items without words, match nothing. Items of
-    equal words and different ids match alike; repeated rows and items give one
-    row. Null ids are kept as null. Other columns are ignored. Without
-    documents or items: no rows.
+    equal words match alike; a repeated row or item gives its rows again. Null
+    ids are kept as null. Other columns are ignored. Without documents or
+    items: no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, edits int, first_word int, n_words int"
@@ -243,8 +243,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
         total = part if total is None else total.union(part)
     if total is None:
         total = docs.sparkSession.createDataFrame([], schema)
-    best = F.min(F.struct("edits", "first_word", "n_words")).alias("x")
-    return total.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
+    return total
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
