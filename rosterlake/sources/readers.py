@@ -12,8 +12,10 @@ JOB_POSTING = "struct<title:string,datePosted:string,validThrough:string,descrip
 
 def read_cache(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, bad lines) of JSON lines; unreadable files are skipped."""
-    rows = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("ignoreCorruptFiles", "true").json(path)
-    return rows.filter("_bad is null").drop("_bad"), rows.filter("_bad is not null").select("_bad")
+    lines = spark.read.option("ignoreCorruptFiles", "true").text(path).filter("trim(value) <> ''")
+    x = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    parsed = lines.select(x.alias("x"))
+    return parsed.filter("x._bad is null").select("x.*").drop("_bad"), parsed.filter("x._bad is not null").select("x._bad")
 
 
 def read_rules(spark: SparkSession, path: str, schema: str) -> DataFrame:
