@@ -25,7 +25,7 @@ _MULT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULT, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
 #: Bytes of text worked on at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def _powers(kind: str, base: int, n: int) -> np.ndarray:

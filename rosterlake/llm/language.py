@@ -28,7 +28,7 @@ from .kernels import blocks, buffers, hash_spans, words
 #: Longest piece in bytes; longest run of bytes that is segmented at once.
 PIECE, RUN = 16, 60
 #: Bytes of text worked on at a time.
-BLOCK = 6 << 20
+BLOCK = 3 << 20
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _ASCII_LETTER = _LETTER & (np.arange(256) < 128)

@@ -26,7 +26,7 @@ from .language import held_out
 BUCKETS, BINS, RANK = 1 << 16, 10, 8
 #: Labelled rows that the model is fitted on at most.
 MAX_ROWS = 8_000
-_BLOCK = 4 << 20
+_BLOCK = 1 << 20
 
 
 def _class(*codes: int) -> np.ndarray:

@@ -78,7 +78,7 @@ def _row_chunks(min_bytes: int, every: int):
         for batch in batches:
             rid = batch.column(0).to_numpy()
             data, offsets = buffers(batch.column(1))
-            for lo, hi in blocks(offsets, 16 << 20):
+            for lo, hi in blocks(offsets, 4 << 20):
                 found = [chunks(data[offsets[r] : offsets[r + 1]], min_bytes, every) for r in range(lo, hi)]
                 sizes = [len(x[0]) for x in found]
                 digest = np.concatenate([x[0] for x in found]).view(np.int64)
