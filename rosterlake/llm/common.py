@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,16 +61,16 @@ _PIECE = 1 << 15
 
 def sketch_rows(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
     """A partial sketch as (piece number, packed counters) without all-zero pieces."""
-    pieces = counts.astype(np.uint32).reshape(-1, _PIECE)
+    pieces = counts.astype(np.uint32, copy=False).reshape(-1, _PIECE)
     used = np.flatnonzero(pieces.any(axis=1))
     return used.tolist(), [zlib.compress(pieces[k].tobytes(), 1) for k in used]
 
 
-def merged_sketch(partials: DataFrame, slots: int) -> np.ndarray:
-    """Sum of partial sketches (piece int, packed binary); `slots` uint64 counters.
+def merged_sketch(partials: DataFrame, slots: int, finish: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """`finish` (counters to bytes) of the sum of partial sketches (piece int, packed binary): `slots` uint8.
 
-    The sum is distributed over the pieces and streams; only `slots` counters,
-    a fixed number, reach the driver.
+    The sum is distributed over the pieces and streams; only `slots` bytes, a
+    fixed number, reach the driver.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,11 +79,11 @@ def merged_sketch(partials: DataFrame, slots: int) -> np.ndarray:
             for k, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 part = np.frombuffer(zlib.decompress(packed), dtype=np.uint32).astype(np.uint64)
                 total[k] = total[k] + part if k in total else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], ["piece", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([finish(v).tobytes() for v in total.values()], pa.binary())], ["piece", "bytes"])
 
-    out = np.zeros((slots // _PIECE, _PIECE), dtype=np.uint64)
-    for row in partials.select("piece", "packed").repartition("piece").mapInArrow(add, "piece int, packed binary").collect():
-        out[row.piece] += np.frombuffer(zlib.decompress(row.packed), dtype=np.uint64)
+    out = np.zeros((slots // _PIECE, _PIECE), dtype=np.uint8)
+    for row in partials.select("piece", "packed").repartition("piece").mapInArrow(add, "piece int, bytes binary").collect():
+        out[row.piece] = np.frombuffer(row.bytes, dtype=np.uint8)
     return out.reshape(-1)
 
 
@@ -97,7 +97,7 @@ def membership(keys: DataFrame, slots: int = 1 << 22) -> np.ndarray:
         k, packed = sketch_rows(hit)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(packed, pa.binary())], ["piece", "packed"])
 
-    return merged_sketch(keys.mapInArrow(count, "piece int, packed binary"), slots) > 0
+    return merged_sketch(keys.mapInArrow(count, "piece int, packed binary"), slots, lambda c: (c > 0).astype(np.uint8)) > 0
 
 
 def slot_of(keys: np.ndarray, slots: int) -> np.ndarray:
@@ -151,7 +151,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = settle(small.filter("u > v").distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
 

@@ -17,6 +17,7 @@ different components are looked at again.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import Scratch, components, membership, merged_sketch, settle, shared_dir, sketch_rows, slot_of, sorted_groups
 
-#: Counters of the frequency sketch: a power of two, 1 byte each once broadcast.
-SLOTS = 1 << 20
+#: Counters of the frequency sketch: powers of two from the first to the second, one for each TEXT bytes of text; 1 byte each once broadcast.
+LEAST_SLOTS, MOST_SLOTS, TEXT = 1 << 16, 1 << 25, 128
 #: Sets in one bundle besides the set that all were found with.
 BUNDLE = 256
+#: Where more classes share a prefix shingle they are compared as a crowd, block against block, instead of pair by pair; classes in a block.
+CROWD, BLOCK = 64, 1024
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -99,8 +102,13 @@ class Trie:
             stack += [(c, overlap) for c in children]
 
 
-def linked(sets: list[np.ndarray], percent: int, first: int = 0) -> list[tuple[int, int]]:
-    """A spanning forest of the similarity links between the rank sequences `sets`."""
+def linked(sets: list[np.ndarray], percent: int, first: int = 0, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Similarity links between the rank sequences `sets` that span their components.
+
+    known: labels of sets that are already linked (equal labels). Sets linked
+    with the most common label, or else with the first set, need not look for
+    partners: whatever they could find looks for them.
+    """
     parent = list(range(len(sets)))
 
     def find(k: int) -> int:
@@ -109,15 +117,22 @@ def linked(sets: list[np.ndarray], percent: int, first: int = 0) -> list[tuple[i
             k = parent[k]
         return k
 
+    base = first
+    if known is not None:
+        seen: dict[int, int] = {}
+        for k, label in enumerate(known):
+            parent[k] = seen.setdefault(label, k)
+        common = Counter(known).most_common(1)[0]
+        base = seen[common[0]]
+    left = sum(parent[k] == k for k in range(len(sets)))
     trie = Trie(sets)
     universe = 1 + max((int(s[-1]) for s in sets if len(s)), default=0)
     links = []
-    order = [first, *(k for k in range(len(sets)) if k != first)]
-    left = len(sets)
-    for k in order:
+    looks = known is None or left == len(sets)  # nothing is known of the base: it looks first
+    for k in [base, *(k for k in range(len(sets)) if k != base)]:
         if left == 1:
             break
-        if k != first and find(k) == find(first):  # the first set's partners are linked; what they link to looks for them
+        if find(k) == find(base) and not (k == base and looks):
             continue
         for y in trie.similar(k, universe, percent):
             if find(y) != find(k):
@@ -127,7 +142,7 @@ def linked(sets: list[np.ndarray], percent: int, first: int = 0) -> list[tuple[i
     return links
 
 
-def ngram_components(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, bundle: int = BUNDLE) -> DataFrame:
+def ngram_components(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", bundle: int = BUNDLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs`.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their
@@ -145,25 +160,23 @@ def ngram_components(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col:
     shared_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << int(size // TEXT).bit_length()))
+
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(slots, dtype=np.int64)
+        counts = np.zeros(slots, dtype=np.uint32)
         seen: set[int] = set()
         mask = np.uint64(slots - 1)
         names = ["doc_id", "n", "cid", "piece", "packed"]
         for batch in batches:
-            size, cid, at = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
+            size, cid = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for r, s in K.distinct_sets(batch.column(1), n):
                 size[r] = len(s)
                 if len(s):
                     cid[r] = K.digest(s)[0]
                     if cid[r] not in seen:
                         seen.add(int(cid[r]))
-                        at.append(s & mask)
-                if sum(map(len, at[-64:])) > 1 << 20 or len(at) > 512:
-                    counts += np.bincount(np.concatenate(at).astype(np.int64), minlength=slots)
-                    at = []
-            if at:
-                counts += np.bincount(np.concatenate(at).astype(np.int64), minlength=slots)
+                        np.add.at(counts, (s & mask).astype(np.int64), np.uint32(1))
             blank = pa.nulls(batch.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(cid, mask=size == 0), blank, pa.nulls(batch.num_rows, pa.binary())], names)
         k, packed = sketch_rows(counts)
@@ -172,7 +185,7 @@ def ngram_components(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col:
 
     with Scratch(spark) as scratch:
         prep = scratch.keep(rows.mapInArrow(first_pass, "doc_id long, n long, cid long, piece int, packed binary"), "prep")
-        level = spark.sparkContext.broadcast(_levels(merged_sketch(prep.filter("piece is not null"), slots)))
+        level = spark.sparkContext.broadcast(merged_sketch(prep.filter("piece is not null"), slots, _levels))
         own = prep.filter("piece is null").select("doc_id", "n", "cid")
         links = _class_links(rows, level, scratch, n, percent, bundle)
         roots = components(links)
@@ -235,28 +248,37 @@ def _class_links(rows: DataFrame, level, scratch: Scratch, n: int, percent: int,
         yield found.taken()
 
     best = _possible(live.mapInArrow(partners, _MET), percent).groupBy("cid").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub")).select("hub", "cid")
-    one = scratch.keep(_verified(best, rows, level, n, percent, bundle), "one")
+    one = scratch.keep(_verified(_paired(best, bundle), rows, level, n, percent), "one")
     roots = components(one)
-
     apart = live.join(roots, F.col("cid") == F.col("node"), "left").select("tok", "n", "cid", "pos", F.coalesce("root", "cid").alias("root"))
 
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of different components that share a token; under a crowded one (first class, class) with n1 = 0."""
         found = _Met()
         for group in sorted_groups(batches, 1):
             _, size, cid, pos, root = (group.column(k).to_numpy() for k in range(5))
             if (root == root[0]).all():
                 continue
-            for k in range(1, len(cid)):  # each class with the shorter ones before it
+            if len(cid) > CROWD:
+                none = np.zeros(len(cid), dtype=np.int32)
+                found.add(np.full(len(cid), cid[0]), cid, none, none, none, none)
+            for k in range(1, len(cid)) if len(cid) <= CROWD else ():  # each class with the shorter ones before it
                 lo = int(np.searchsorted(size[:k], -(-percent * int(size[k]) // 100)))
-                other = lo + np.flatnonzero(root[lo:k] != root[k])
+                # Shared shingles come in one order in both sets: where this one is too late to be the first, so are all after it.
+                most = np.minimum(size[lo:k] - pos[lo:k], size[k] - pos[k]).astype(np.int64)
+                other = lo + np.flatnonzero((root[lo:k] != root[k]) & (most * (100 + percent) >= (size[lo:k].astype(np.int64) + size[k]) * percent))
                 own = np.full(len(other), k)
                 found.add(cid[other], cid[own], size[other], size[own], pos[other], pos[own])
-                if found.rows > 1 << 18:
-                    yield found.taken()
+            if found.rows > 1 << 18:
+                yield found.taken()
         yield found.taken()
 
-    met = apart.repartition("tok").sortWithinPartitions("tok", "n", "cid").mapInArrow(crossing, _MET)
-    return one.union(_verified(_possible(met, percent).select("hub", "cid"), rows, level, n, percent, bundle))
+    met = scratch.keep(apart.repartition("tok").sortWithinPartitions("tok", "n", "cid").mapInArrow(crossing, _MET), "met")
+    # A pair that also meets under a crowded token is compared there, so its other meetings may be too few to keep it here.
+    pairs = _paired(_possible(met.filter("n1 > 0"), percent).select("hub", "cid"), bundle)
+    seats = pairs.withColumn("part", -1 - F.col("part")).unionByName(_crowds(met.filter("n1 = 0").select("hub", "cid").distinct()))
+    labelled = seats.join(roots, F.col("cid") == F.col("node"), "left").select("hub", "part", "cid", F.coalesce("root", "cid").alias("label"))
+    return one.union(_verified(labelled, rows, level, n, percent))
 
 
 #: Pairs of classes that met under prefix tokens: how often, and the last positions where.
@@ -318,12 +340,26 @@ def _shared(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from table.filter(pa.array(several)).combine_chunks().to_batches(max_chunksize=1 << 16)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, level, n: int, percent: int, bundle: int) -> DataFrame:
-    """(a, b): links that span those among each hub and the classes paired with it."""
+def _paired(pairs: DataFrame, bundle: int) -> DataFrame:
+    """(hub, part, cid): each hub in bundles of at most about `bundle` of the classes paired with it."""
     pairs = settle(pairs)
     many = pairs.groupBy("hub").agg(F.count("*").alias("m")).select("hub", F.ceil(F.col("m") / bundle).alias("parts"))
-    dealt = pairs.join(many, "hub").select("hub", F.pmod(F.xxhash64("cid"), "parts").alias("part"), "cid")
-    seats = settle(dealt.union(dealt.select("hub", "part", F.col("hub").alias("cid")).distinct()))
+    dealt = settle(pairs.join(many, "hub").select("hub", F.pmod(F.xxhash64("cid"), "parts").alias("part"), "cid"))
+    return dealt.union(dealt.select("hub", "part", F.col("hub").alias("cid")).distinct())
+
+
+def _crowds(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(hub, part, cid): the classes of a hub's crowd by pairs of blocks, so that any two are together somewhere."""
+    members = settle(members)
+    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(block)).alias("b"))
+    placed = members.join(sizes, "hub").select("hub", "cid", "b", F.pmod(F.xxhash64("cid"), "b").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("b") - 1)).alias("j"))
+    return placed.select("hub", (F.least("i", "j") * F.col("b") + F.greatest("i", "j")).alias("part"), "cid")
+
+
+def _verified(seats: DataFrame, rows: DataFrame, level, n: int, percent: int) -> DataFrame:
+    """(a, b): links that span those among the classes of each bundle (hub, part); label, where there is one, is equal for linked classes."""
+    known = "label" in seats.columns
+    seats = settle(seats if known else seats.withColumn("label", F.col("cid")))
     classes = rows.sparkSession.sparkContext.broadcast(membership(seats.select("cid").distinct()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,18 +377,18 @@ def _verified(pairs: DataFrame, rows: DataFrame, level, n: int, percent: int, bu
         out: list[tuple[int, int]] = []
         for group in sorted_groups(batches, 2):
             hub = group.column(0)[0].as_py()
-            members = dict(zip(group.column(2).to_pylist(), group.column(3).to_pylist(), strict=True))
+            members = dict(zip(group.column(2).to_pylist(), zip(group.column(4).to_pylist(), group.column(3).to_pylist(), strict=True), strict=True))
             if len(members) < 2:
                 continue
             names = list(members)
-            tokens = [_unpacked(members[c]) for c in names]
+            tokens = [_unpacked(members[c][0]) for c in names]
             every = np.unique(np.concatenate(tokens))
             every = _in_order(every, level.value)
             by_value = np.argsort(every)
             ranks = [np.sort(by_value[np.searchsorted(every, t, sorter=by_value)]) for t in tokens]
-            out += [(names[a], names[b]) for a, b in linked(ranks, percent, names.index(hub) if hub in members else 0)]
+            out += [(names[a], names[b]) for a, b in linked(ranks, percent, names.index(hub) if hub in members else 0, [members[c][1] for c in names] if known else None)]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     whole = rows.select("text").mapInArrow(sets, "cid long, tokens binary").dropDuplicates(["cid"])  # each task gives a class once
-    seated = seats.join(whole, "cid").select("hub", "part", "cid", "tokens")
+    seated = seats.join(whole, "cid").select("hub", "part", "cid", "label", "tokens")
     return seated.repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(walk, "a long, b long")
