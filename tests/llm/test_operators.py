@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlake.llm import decontaminate, kernels, license_scan, mixing, quality, substring_dedup, url_filter
+from rosterlake.llm import decontaminate, kernels, license_scan, mixing, ngram_join, quality, substring_dedup, url_filter
 from rosterlake.llm.bpe import ByteBpe, default_path, token_counts
 from rosterlake.llm.common import components
 from rosterlake.llm.language import Pieces, language_predictions
@@ -74,9 +74,11 @@ def brute_components(rows, n, percent):
     return sorted(((rows[k][0], len(sets[k]), least[find(k)]) for k in range(len(rows))), key=str)
 
 
-@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (2, 50)])
-def test_ngram_components_equal_brute_force(spark, odd, n, percent):
-    got = sorted((tuple(r) for r in ngram_components(odd, n=n, percent=percent, slots=1 << 15, bundle=2).collect()), key=str)
+@pytest.mark.parametrize(("n", "percent", "crowd"), [(4, 85, 64), (5, 80, 1), (2, 50, 1)])
+def test_ngram_components_equal_brute_force(spark, odd, monkeypatch, n, percent, crowd):
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    monkeypatch.setattr(ngram_join._crowds, "__defaults__", (2,))
+    got = sorted((tuple(r) for r in ngram_components(odd, n=n, percent=percent, bundle=2).collect()), key=str)
     assert got == brute_components(odd_rows(), n, percent)
 
 
@@ -99,7 +101,13 @@ def test_trie_links_random_sets():
         for k in range(12):
             want = {j for j in range(12) if j != k and 100 * len(np.intersect1d(sets[k], sets[j])) >= 70 * len(np.union1d(sets[k], sets[j]))}
             assert set(trie.similar(k, 300, 70)) == want
-        assert len(linked(sets, 0)) == 11
+        pairs = {(a, b) for a in range(12) for b in trie.similar(a, 300, 70)}
+        for known in (None, [0] * 5 + list(range(5, 12))):
+            parent = list(range(12))
+            for a, b in [*linked(sets, 70, 3, known), *((0, k) for k in range(5) if known)]:
+                parent = [parent[b] if x == parent[a] else x for x in parent]
+            for a, b in pairs:
+                assert parent[a] == parent[b]
 
 
 def test_components(spark):
