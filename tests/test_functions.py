@@ -195,3 +195,29 @@ def test_job_pruning(spark):
     rows = spark.createDataFrame([("a", "running", 1.0), ("b", "failed", 2.0), ("c", "succeeded", 3.0), ("d", "cancelled", 4.0)], "id string, state string, updated_at double")
     assert {r.id for r in jobs.prune(rows, 2).collect()} == {"a", "d"}
     assert {r.id for r in jobs.prune(rows, 9).collect()} == {"a", "b", "c", "d"}
+
+
+def test_terms_by_the_number_of_nots():
+    assert boolquery.signed_terms('a NOT (b AND NOT "c d") OR NOT e') == (["a", "c d"], ["b", "e"])
+    assert boolquery.signed_terms("") == ([], []) and boolquery.signed_terms("NOT NOT x)") == (["x"], [])
+
+
+def test_pay_ranges():
+    assert vectorised.pay_range("RM 13-15k") == {"low": 13000, "high": 15000}
+    assert vectorised.pay_range("8,000 to 7,000") == {"low": 7000, "high": 8000}
+    assert vectorised.pay_range("10% more") is None and vectorised.pay_range("") is None and vectorised.pay_range(None) is None
+
+
+def test_leads_and_cvs(spark):
+    from rosterlake.functions import cv, leads
+
+    assert value(spark, leads.is_job_page(F.lit("https://x.com/job/kl/123"))) is True
+    assert value(spark, leads.is_job_page(F.lit(None).cast("string"))) is False
+    assert value(spark, leads.contact_key(F.lit(None).cast("string"), F.lit("Ann  Bo"), F.lit("Acme"))) == "nc:ann bo|acme"
+    assert tuple(value(spark, c) for c in leads.percent_increase(F.lit("raise of 10 to 15 percent"))) == (10.0, 15.0)
+    assert value(spark, leads.pay_display(F.lit(""), F.lit(5000), F.lit(5000))) == "5,000/month"
+    text = "Intro\nExperience\n- one\n2) two\nplain\nSkills\n- x"
+    assert value(spark, cv.bullet_count(cv.section_lines(F.lit(text), "Experience", "Skills"))) == 2
+    assert value(spark, cv.section_lines(F.lit("none"), "Experience", "Skills")) is None
+    assert value(spark, cv.languages(F.lit("Native Klingon, english"))) == ["English", "Klingon"]
+    assert value(spark, cv.in_date_range(F.lit("2024-01-01"), F.lit(None).cast("string"), "2024-01-01", "")) is True
