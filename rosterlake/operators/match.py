@@ -90,14 +90,19 @@ def lookup_with_fallback(rows: DataFrame, prices: DataFrame, key: str, group: st
     return out.select(*rows.columns, *(F.coalesce(f"__e_{v}", f"__g_{v}").alias(v) for v in values), source.alias("price_source"))
 
 
-def first_match(rows: DataFrame, names: DataFrame, text_col: str, name_col: str, id_col: str) -> DataFrame:
-    """Each row with its first name: an equal one first, else the first in order that holds or lies in the text. names: a short manual list."""
-    low = lambda c: F.lower(F.trim(F.col(c)))
-    n = names.select(F.col(name_col).alias("__name"))
-    exact = (low(text_col) == low("__name")).cast("int")
-    met = rows.join(n, low(text_col).contains(low("__name")) | low("__name").contains(low(text_col)))
-    best = met.groupBy(id_col).agg(F.min_by("__name", F.struct(-exact, F.col("__name"))).alias("matched_name"))
-    return rows.join(best, id_col, "left")
+def first_match(text: Column, names: Sequence[str]) -> Column:
+    """The name of a manual list that a text means: an equal one, else the first in order that holds or lies in the text; case ignored, null if none.
+
+    The list is part of the expression, so there is no join.
+    """
+    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    out = F.lit(None).cast("string")
+    for n in reversed(names):
+        key = n.strip().lower()
+        out = F.when((low != "") & (low.contains(key) | F.lit(key).contains(low)), F.lit(n)).otherwise(out)
+    for n in reversed(names):
+        out = F.when(low == n.strip().lower(), F.lit(n)).otherwise(out)
+    return out
 
 
 def nearest_earlier(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:

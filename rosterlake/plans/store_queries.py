@@ -228,3 +228,8 @@ f AS (SELECT user_id, 0::BIGINT AS k, '' AS state, 0 AS attempts, 0 AS refused,
 SELECT user_id, state, attempts, refused, n AS n_events FROM f WHERE k = n""")
 def job_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.fold(_transitions(table(spark, sf_dir, "events")), "user_id", "event_id", "event")
+
+
+@query("""SELECT p_partkey, CASE WHEN contains(lower(p_type), 'tin') THEN 'Tin' WHEN contains(lower(p_type), 'steel') THEN 'STEEL' END AS section FROM part""")
+def manual_section_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", match.first_match(F.col("p_type"), ["Tin", "STEEL"]).alias("section"))
