@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, people, vectorised, web
+from ..operators import nested
 from ..sources import readers
 from .catalog import query, table
 
@@ -117,3 +118,15 @@ def date_ranges_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = F.array(F.unhex(F.lit("255044462D312E37")), F.unhex(F.lit("504B030414000000")), F.unhex(F.lit("D0CF11E0A1B11AE1")), F.unhex(F.lit("0102")))
     return table(spark, sf_dir, "part").select("p_partkey", web.content_kind(F.element_at(heads, (F.col("p_partkey") % 4 + 1).cast("int"))).alias("kind"))
+
+
+@query("""SELECT user_id, sha256(string_agg(DISTINCT h, '' ORDER BY h)) AS fingerprint, count(*) AS n FROM (SELECT user_id, sha256('{"event_type":"' || event_type || '","k":' || (event_id % 5) || '}') AS h FROM events) GROUP BY user_id""")
+def record_set_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", (F.col("event_id") % 5).alias("k"))
+    return nested.set_fingerprint(e, ["user_id"], "event_type", "k")
+
+
+@query("""SELECT o_custkey, b - a AS total_difference, CASE WHEN a <> 0 THEN round((b - a) / a, 6) END AS total_uplift FROM (SELECT o_custkey, max(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS a, max(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS b FROM orders GROUP BY o_custkey)""")
+def compared_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", F.col("o_totalprice").alias("total"))
+    return nested.compared(o, "o_custkey", "o_orderstatus", ["total"], "F", "O")

@@ -221,3 +221,18 @@ def test_leads_and_cvs(spark):
     assert value(spark, cv.section_lines(F.lit("none"), "Experience", "Skills")) is None
     assert value(spark, cv.languages(F.lit("Native Klingon, english"))) == ["English", "Klingon"]
     assert value(spark, cv.in_date_range(F.lit("2024-01-01"), F.lit(None).cast("string"), "2024-01-01", "")) is True
+
+
+def test_arrays_of_structs(spark):
+    from rosterlake.operators import nested
+
+    rows = spark.sql("""SELECT array(named_struct('t', 'a', 'd', named_struct('year', 2019, 'month', 1)), named_struct('t', 'b', 'd', NULL), named_struct('t', 'c', 'd', named_struct('year', 2020, 'month', 5))) AS r,
+      array(named_struct('heading', 'H', 'text', ''), named_struct('heading', '', 'text', 'x'), named_struct('heading', NULL, 'text', 'y'), named_struct('heading', 'I', 'text', 'z'), named_struct('heading', 'J', 'text', '')) AS b,
+      array(named_struct('fieldId', 4, 'name', 'Currency', 'value', ' MYR '), named_struct('fieldId', NULL, 'name', 'currency', 'value', 'SGD'), named_struct('fieldId', 5, 'name', 'x', 'value', 'y')) AS f""")
+    got = rows.select(nested.newest_first(F.col("r"), "d").alias("r"), nested.absorb_labels(F.col("b")).alias("b"), nested.custom_values(F.col("f"), 4, ["Currency"]).alias("f"), nested.update_element(F.col("f"), "fieldId", F.lit(5), value=F.lit("new")).alias("u"), nested.span(F.col("r"), "d", "d").alias("s"), nested.without_sections(F.col("b"), "heading", "^I$").alias("w")).first()
+    assert [x.t for x in got.r] == ["c", "a", "b"]
+    assert [(x.heading, x.text) for x in got.b] == [("H", "x"), ("H", "y"), ("I", "z")]
+    assert got.f == ["MYR", "SGD"] and got.u[2].value == "new" and got.u[0].value == " MYR "
+    assert tuple(got.s.start) == (2019, 1) and tuple(got.s.end) == (2020, 5) and len(got.w) == 4
+    grid = nested.search_grid(spark.createDataFrame([(1, "s1"), (2, "s2")], "source_n int, source string"), spark.createDataFrame([(1, "t1"), (2, "t2")], "title_n int, title string"), 3)
+    assert [tuple(r) for r in grid.collect()] == [("s1", "t1"), ("s1", "t2"), ("s2", "t1")]
