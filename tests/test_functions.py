@@ -236,3 +236,14 @@ def test_arrays_of_structs(spark):
     assert tuple(got.s.start) == (2019, 1) and tuple(got.s.end) == (2020, 5) and len(got.w) == 4
     grid = nested.search_grid(spark.createDataFrame([(1, "s1"), (2, "s2")], "source_n int, source string"), spark.createDataFrame([(1, "t1"), (2, "t2")], "title_n int, title string"), 3)
     assert [tuple(r) for r in grid.collect()] == [("s1", "t1"), ("s1", "t2"), ("s2", "t1")]
+
+
+def test_availability(spark):
+    at = date(2026, 8, 1)
+    read = lambda t: value(spark, dates.availability(F.lit(t), at))
+    dated = lambda t: str(read(t).date)
+    assert (dated("from 2026-08-15"), dated("15/09/2026"), dated("3 Jan"), dated("20 Dec"), dated("March 5, 2027")) == ("2026-08-15", "2026-09-15", "2027-01-03", "2026-12-20", "2027-03-05")
+    relative = lambda t: (read(t).period, read(t).unit)
+    assert [relative(t) for t in ("1.5 months", "0.5 month", "two weeks", "6 wks", "10 days", "45 days", "a mth")] == [(1, "Month"), (2, "Week"), (2, "Week"), (2, "Month"), (2, "Week"), (2, "Month"), (1, "Month")]
+    assert read("Immediately").kind == "immediate" and read("none").kind == "immediate" and read("0 days").kind == "immediate"
+    assert read("2026-13-40") is None and read("ask") is None and read("") is None and read(None) is None
