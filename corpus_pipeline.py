@@ -8,6 +8,7 @@ one's docs.
 from __future__ import annotations
 
 import atexit
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,5 +86,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _forget(scratch: Scratch) -> None:
-    if scratch.spark.sparkContext._jsc is not None:  # the session still runs
+    with contextlib.suppress(Exception):  # the session may have ended, and with it the way to the folder
         scratch.drop()
