@@ -6,6 +6,9 @@ the JVM; the streaming form in `rosterlake.streaming` uses the same rules.
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,3 +83,7 @@ def prune(jobs: DataFrame, most: int) -> DataFrame:
 
 def job_id(kind: Column, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", kind, *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
+
+
+# Executors need not have this package: its functions travel with the query.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -81,7 +81,7 @@ def alias_tokens_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.token_or_substring(F.col("p_type"), "tin").alias("short_alias"), text.token_or_substring(F.col("p_type"), "plat").alias("long_alias"))
 
 
-@query("""SELECT doc_id, n AS line, t AS text, s AS section FROM (
+@query("""SELECT doc_id, n::INT AS line, t AS text, s AS section FROM (
   SELECT doc_id, n, t, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n), 'core') AS s FROM (
     SELECT doc_id, n, trim(regexp_replace(l, '\\s+', ' ', 'g')) AS t,
       CASE lower(regexp_replace(trim(regexp_replace(l, '\\s+', ' ', 'g')), ':$', '')) WHEN 'is.' THEN 'nice' WHEN 'the.' THEN 'nice' WHEN 'of.' THEN 'noise' WHEN 'be.' THEN 'core' END AS h

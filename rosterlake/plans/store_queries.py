@@ -85,7 +85,7 @@ def title_cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.merged_cache(e, "family", "evidence", "titles", "hits", "created", 12).select("family", "evidence", "hits", "created")
 
 
-@query("""SELECT source, turn, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn, min(doc_id) OVER (PARTITION BY source) AS f FROM documents) ORDER BY turn, f LIMIT 50""")
+@query("""SELECT source, turn, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS turn, min(doc_id) OVER (PARTITION BY source) AS f FROM documents) ORDER BY turn, f LIMIT 50""")
 def round_robin_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.round_robin(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", ["doc_id"], 50).select("source", "turn", "doc_id")
 

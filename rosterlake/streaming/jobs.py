@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -47,3 +49,7 @@ def keyed_sink(read: Callable[[], DataFrame | None], write: Callable[[DataFrame]
         write(latest_wins(changes.dropDuplicates(), key, order).drop("revision"))
 
     return apply
+
+
+# Executors need not have this package: its functions travel with the query.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
