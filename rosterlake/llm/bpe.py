@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 #: The split of the byte-level format: contractions, letters, numbers, other signs, white space. Fixed values.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens of at most so many bytes are kept, at most so many of them.
@@ -135,6 +137,7 @@ def token_counts(docs: DataFrame, *, path: str | None = None, limit: int = 512,
     counted whole. Repeated rows stay; null ids stay null; other columns are
     ignored. Empty table: no rows. `path` must exist on every executor.
     """
+    ship(docs.sparkSession)
     where = path or default_path()
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python this package, once a context: they need not have it installed."""
+    sc = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    if getattr(sc, "_rosterlake_shipped", False) or not package.is_dir():  # already in an archive
+        return
+    sc._rosterlake_shipped = True
+    archive = Path(tempfile.mkdtemp(prefix="rosterlake-")) / "rosterlake.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))  # the driver serves it; nothing else reads the local file
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset (tests), one of our own."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
-        import tempfile
-
         where = getattr(sc, "_rosterlake_dir", None) or tempfile.mkdtemp(prefix="rosterlake-")
         sc._rosterlake_dir = where
     if sc._jsc.sc().getCheckpointDir().isEmpty():

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
 from .kernels import blocks, buffers, mix, words
 
 #: Items in one pass over the documents.
@@ -190,6 +191,7 @@ def nearest(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
 
 
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str, similarity: float) -> Iterator[Index]:
+    ship(benchmark.sparkSession)
     rows = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     parts = max(1, -(-rows.count() // ITEMS))
     for k in range(parts):

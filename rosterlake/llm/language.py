@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, ship
 from .kernels import blocks, buffers, hash_spans, words
 
 #: Longest piece in bytes; longest run of bytes that is segmented at once.
@@ -178,6 +178,7 @@ class LanguageModel:
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", path: str | None = None, smoothing: float = 0.1) -> LanguageModel:
     """Learns from every row with a language and a text: expected piece counts under equal piece probabilities, plus `smoothing`."""
+    ship(docs.sparkSession)
     where = path or default_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +222,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -
     Repeated rows stay. Columns named lang_pred or score are replaced. Empty
     table: no rows.
     """
+    ship(docs.sparkSession)
     rows = docs.drop("lang_pred", "score")
     at = rows.columns.index(text_col)
     names, where = model.languages, model.path

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
 from .kernels import buffers
 
 #: Bytes to whose positive multiple a payload is filled up.
@@ -99,6 +100,8 @@ def media_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     table: no rows.
     """
 
+    ship(docs.sparkSession)
+
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Scratch, components, membership, merged_sketch, settle, shared_dir, sketch_rows, slot_of, sorted_groups
+from .common import Scratch, components, membership, merged_sketch, settle, shared_dir, ship, sketch_rows, slot_of, sorted_groups
 
 #: Counters of the frequency sketch: powers of two from the first to the second, one for each TEXT bytes of text; 1 byte each once broadcast.
 LEAST_SLOTS, MOST_SLOTS, TEXT = 1 << 16, 1 << 25, 128
@@ -157,6 +157,7 @@ def ngram_components(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col:
     Other columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     shared_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 

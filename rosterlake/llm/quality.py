@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, ship
 from .kernels import blocks, buffers, hash_spans, words
 from .language import held_out
 
@@ -197,6 +197,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_RO
     statistics alone, and a null n_chars is counted from the text. Repeated rows
     stay and score alike. Other columns are ignored. Empty table: no rows.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("n_chars").cast("long").alias("n_chars"))
     model = fit(rows, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(~held_out()), max_rows=max_rows)
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from .common import ship
 from .kernels import _SPACE, BLOCK, blocks, buffers, mix
 
 #: Chunks cover at least so many bytes; one of so many word starts is a boundary.
@@ -120,6 +121,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, every: int = EVERY) -> DataFrame:
     """(rid, spans): for rows with repeats, the chunks to cut as array<struct<start, size>> in bytes; rid is a hash of id and text."""
+    ship(docs.sparkSession)
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text")).filter("text is not null")
     found = rows.mapInArrow(_row_chunks(min_bytes, every), "key long, rid long, start int, size int")
     again = found.repartition("key").sortWithinPartitions("key", "rid", "start").mapInArrow(_repeats, "rid long, start int, size int")
