@@ -56,10 +56,13 @@ def best_jaccard(left: DataFrame, right: DataFrame, *, family: str, left_id: str
         ranked = long.select(family, "id", F.size("s").alias("n"), F.explode("s").alias("t")).join(counts, [family, "t"])
         order = ranked.groupBy(family, "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
         take = F.greatest(F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))
-        return order.select(family, "id", F.explode(F.slice("o", F.lit(1), take)).alias("x"), "n").select(family, "id", F.col("x.t").alias("t"), "n")
+        return order.select(family, "id", F.posexplode(F.slice("o", F.lit(1), take)).alias("pos", "x"), "n").select(family, "id", F.col("x.t").alias("t"), "n", "pos")
 
     a, b = prefixes(left, left_id, left_tokens), prefixes(right, right_id, right_tokens)
-    pairs = a.join(b.select(family, F.col("id").alias("id2"), "t", F.col("n").alias("n2")), [family, "t"]).filter((F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(least) - F.lit(1e-9))).select("id", "id2").distinct()
+    met = a.join(b.select(family, F.col("id").alias("id2"), "t", F.col("n").alias("n2"), F.col("pos").alias("pos2")), [family, "t"])
+    # At the first shared token no more can be shared than what is left of either set.
+    need = (F.col("n") + F.col("n2")) * F.lit(least / (1 + least)) - F.lit(1e-9)
+    pairs = met.filter((F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(least) - F.lit(1e-9)) & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)).select("id", "id2").distinct()
     sets = pairs.join(left.select(F.col(left_id).alias("id"), F.array_distinct(left_tokens).alias("s")), "id").join(right.select(F.col(right_id).alias("id2"), F.array_distinct(right_tokens).alias("s2")), "id2")
     scored = sets.select("id", "id2", jaccard(F.col("s"), F.col("s2")).alias("similarity")).filter(F.col("similarity") >= least)
     best = scored.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("id2")).alias("minus"))).alias("x"))
