@@ -115,3 +115,17 @@ def nearest_earlier(left: DataFrame, right: DataFrame, by: str, at: str, value:
     both = a.unionByName(b, allowMissingColumns=True)
     w = Window.partitionBy(by).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(f"{value}_as_of", F.last("__v", ignorenulls=True).over(w)).filter("__side = 1").drop("__v", "__side")
+
+
+def greedy_assignment(pairs: DataFrame, group: str, left: str, right: str, score: str, least: float) -> DataFrame:
+    """(group, left, right, score): within each group the best pairs first, each side used once; ties by left, then right.
+
+    A fold over a group's sorted pairs in the JVM. A group is one document's own pairs.
+    """
+    kinds = dict(pairs.dtypes)
+    row = F.struct((-F.col(score)).alias("minus"), F.col(left).alias("l"), F.col(right).alias("r"))
+    ordered = F.array_sort(F.collect_set(row))
+    start = F.array().cast(f"array<struct<minus:{kinds[score]},l:{kinds[left]},r:{kinds[right]}>>")
+    kept = F.aggregate(ordered, start, lambda acc, x: F.when(F.exists(acc, lambda y: (y["l"] == x["l"]) | (y["r"] == x["r"])), acc).otherwise(F.concat(acc, F.array(x))))
+    found = pairs.filter(F.col(score) >= least).groupBy(group).agg(kept.alias("kept")).select(group, F.explode("kept").alias("x"))
+    return found.select(group, F.col("x.l").alias(left), F.col("x.r").alias(right), (-F.col("x.minus")).alias(score))

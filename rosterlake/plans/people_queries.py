@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, people, vectorised, web
-from ..operators import nested
+from ..operators import match, nested
 from ..sources import readers
 from .catalog import query, table
 
@@ -104,7 +104,7 @@ def job_posting_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_pairs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("event_id"), F.max("event_id").alias("other"))
     rows = ends.withColumn("v", F.lit(5.0)).union(ends.withColumn("v", F.lit(4.5))).union(ends.select("user_id", "other", "event_id", F.lit(3.0)))
-    return vectorised.greedy_assignment(rows, "user_id", "event_id", "other", "v", 4.0)
+    return match.greedy_assignment(rows, "user_id", "event_id", "other", "v", 4.0)
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%b %Y') || ' to Present' AS range, year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m FROM orders""")

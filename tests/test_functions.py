@@ -247,3 +247,9 @@ def test_availability(spark):
     assert [relative(t) for t in ("1.5 months", "0.5 month", "two weeks", "6 wks", "10 days", "45 days", "a mth")] == [(1, "Month"), (2, "Week"), (2, "Week"), (2, "Month"), (2, "Week"), (2, "Month"), (1, "Month")]
     assert read("Immediately").kind == "immediate" and read("none").kind == "immediate" and read("0 days").kind == "immediate"
     assert read("2026-13-40") is None and read("ask") is None and read("") is None and read(None) is None
+
+
+def test_greedy_assignment(spark):
+    rows = spark.createDataFrame([(1, "a", "x", 5.0), (1, "a", "y", 9.0), (1, "b", "y", 8.0), (1, "b", "x", 4.5), (1, "c", "z", 1.0), (2, "a", "x", 4.0)], "g int, l string, r string, s double")
+    got = sorted(tuple(r) for r in match.greedy_assignment(rows, "g", "l", "r", "s", 4.0).collect())
+    assert got == [(1, "a", "y", 9.0), (1, "b", "x", 4.5), (2, "a", "x", 4.0)]
