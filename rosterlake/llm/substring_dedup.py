@@ -87,6 +87,9 @@ def _row_chunks(min_bytes: int, every: int):
                 row = np.repeat(rid[lo:hi], sizes)
                 order = np.lexsort((start, row, digest))
                 digest, start, end, row = digest[order], start[order], end[order], row[order]
+                # The very same row read again (repeated rows) is no repeat of itself.
+                same = np.flatnonzero((digest[1:] == digest[:-1]) & (row[1:] == row[:-1]) & (start[1:] == start[:-1])) + 1
+                digest, start, end, row = (np.delete(x, same) for x in (digest, start, end, row))
                 first = np.concatenate(([True], digest[1:] != digest[:-1])) if len(digest) else np.zeros(0, bool)
                 # Of one digest here, all but the first are repeats wherever the corpus' first is; they need not meet it.
                 key = np.where(first, digest, mix(row.view(np.uint64) + start.astype(np.uint64)).view(np.int64))
