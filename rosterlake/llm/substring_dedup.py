@@ -27,7 +27,7 @@ from .common import ship
 from .kernels import _SPACE, BLOCK, blocks, buffers, mix
 
 #: Chunks cover at least so many bytes; one of so many word starts is a boundary.
-MIN_BYTES, EVERY = 100, 5
+MIN_BYTES, EVERY = 100, 2
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _SEED, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow.parquet as pq
+
 from rosterlake.llm import substring_dedup
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_row_repeated_in_one_partition_keeps_its_text(spark):
     rng = random.Random(8)
@@ -16,3 +21,20 @@ def test_row_repeated_in_one_partition_keeps_its_text(spark):
         got = sorted((r.doc_id, r.text) for r in substring_dedup.substring_dedup(docs).collect())
         assert [g for g in got if g[0] == 1] == [(1, text), (1, text)]
         assert sorted(len(t) for k, t in got if k != 1)[1] == len(other)  # of two documents one keeps the text
+
+
+def test_passages_of_51_words_are_found():
+    rng = random.Random(9)
+    words = [w for r in pq.read_table(f"{SF}/documents.parquet", columns=["text"]).column(0).to_pylist() for w in (r or "").split()]
+    kept = []
+    for _ in range(3000):
+        passage = rng.choices(words, k=51)
+        before = [rng.choices(words, k=20) for _ in range(2)]
+        data = [np.frombuffer(" ".join([*b, *passage, *rng.choices(words, k=20)]).encode(), dtype=np.uint8) for b in before]
+        (one, _, _), (two, start, end) = map(substring_dedup.chunks, data)
+        at = len((" ".join(before[1]) + " ").encode())
+        left = np.ones(len(" ".join(passage).encode()), dtype=bool)
+        for a, b in zip(start[np.isin(two, one)] - at, end[np.isin(two, one)] - at, strict=True):
+            left[max(a, 0) : max(b, 0)] = False
+        kept.append(left.mean())
+    assert max(kept) < 0.5 and np.mean(kept) < 0.12
