@@ -30,6 +30,8 @@ from .kernels import blocks, buffers, mix, words
 ITEMS = 20_000
 #: Random walks, samples from each, words in a sample.
 WALKS, SAMPLES, WORDS = 2, 4, 4
+#: Walks of the classes of under 4 words, whose samples are few.
+SHORT_WALKS = 8
 #: Words of the shortest item of a class, in order: an item's walks stay in it.
 CLASSES = (1, 2, 4, 8, 16, 32)
 #: An item is found where at least this share of its words needs no edit.
@@ -47,9 +49,10 @@ class Sample:
     steps: tuple[int, ...]
 
 
-def samples(least: int, walks: int = WALKS, each: int = SAMPLES, n_words: int = WORDS) -> list[Sample]:
+def samples(least: int, walks: int | None = None, each: int = SAMPLES, n_words: int = WORDS) -> list[Sample]:
     """Steps up to 3/2 of the least size (a walk moves on at every second step on average), one from each equal part."""
     length = max(1, least * 3 // 2) if least > 1 else 1
+    walks = walks or (1 if least == 1 else SHORT_WALKS if least < 4 else WALKS)
     found = set()
     for w in range(walks):
         rng = np.random.default_rng([least, w])
@@ -78,38 +81,57 @@ def walk_keys(word_hash: np.ndarray, starts: int, wanted: list[Sample]) -> np.nd
     return mix(keys ^ np.arange(len(wanted), dtype=np.uint64)[:, None])
 
 
+def walk_spans(word_hash: np.ndarray, starts: int, sample: Sample) -> np.ndarray:
+    """How many words a sample depends on, from each of the first `starts` words: up to where its last sampled step stands."""
+    last = max(sample.steps)
+    w = np.concatenate([word_hash, np.zeros(last + 2, dtype=np.uint64)])
+    bits = mix(w + np.uint64(0x632BE59BD9B4E019 * (sample.walk + 1) & (1 << 64) - 1))
+    pos = np.arange(starts)
+    for j in range(last):
+        pos = pos + ((bits[pos] >> np.uint64(j & 63)) & np.uint64(1)).astype(np.int64)
+    return pos - np.arange(starts) + 1
+
+
 class Index:
     """The keys of a block of items; `items` are (id, words) with at least a word each."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], similarity: float = SIMILARITY):
         self.items = items
         self.most_edits = [int(np.floor((1 - similarity) * len(w) + 1e-9)) for _, w in items]
-        self.classes = sorted({max(c for c in CLASSES if c <= len(w)) for _, w in items} | {max(c for c in CLASSES if c <= len(w) - o) for _, w in items for o in _offsets(len(w))})
-        self.wanted = {w: [s for c in self.classes for s in samples(c) if s.walk == w] for w in range(WALKS)}
-        keys, whose = [], []
+        plans = [_starts(len(w)) for _, w in items]
+        self.classes = sorted({c for plan in plans for c, _ in plan} | ({1} if any(len(w) < 5 for _, w in items) else set()))
+        every = [s for c in self.classes for s in samples(c)]
+        self.wanted = {walk: [s for s in every if s.walk == walk] for walk in range(max((s.walk for s in every), default=-1) + 1)}
+        keys: dict[int, list[np.ndarray]] = {walk: [] for walk in self.wanted}
+        owners: dict[int, list[np.ndarray]] = {walk: [] for walk in self.wanted}
         for number, (_, w) in enumerate(items):
-            for o in _offsets(len(w)):
-                own = max(c for c in CLASSES if c <= len(w) - o)
+            found = False
+            for least, starts in [*plans[number], (1, np.zeros(1, dtype=np.int64))]:
+                if least == 1 and found:
+                    continue  # a single word is the key only of an item that no walk stays in
                 for walk, wanted in self.wanted.items():
-                    if not wanted:
+                    if not any(s.least == least for s in wanted):
                         continue
-                    got = walk_keys(w[o:], 1, wanted)[:, 0]
+                    got = walk_keys(w, len(w), wanted)
                     for k, s in enumerate(wanted):
-                        if s.least == own:
-                            keys.append((walk, int(got[k])))
-                            whose.append((number, o))
+                        if s.least == least:
+                            span = walk_spans(w, len(w), s)[starts]
+                            own = starts[(starts + span <= len(w)) & (span >= min(2, least))]
+                            found = found or len(own) > 0
+                            keys[walk].append(got[k][own])
+                            owners[walk].append(np.stack([np.full(len(own), number), own], 1))
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for walk in self.wanted:
-            at = [k for k, x in enumerate(keys) if x[0] == walk]
-            key = np.array([keys[k][1] for k in at], dtype=np.uint64)
+            key = np.concatenate([np.zeros(0, dtype=np.uint64), *keys[walk]])
+            whose = np.concatenate([np.zeros((0, 2), dtype=np.int64), *owners[walk]])
             order = np.argsort(key, kind="stable")
             bitmap = np.zeros(1 << _TABLE, dtype=bool)
             bitmap[(key >> np.uint64(64 - _TABLE)).astype(np.int64)] = True
-            self.tables[walk] = (key[order], np.array([whose[k] for k in at], dtype=np.int64).reshape(-1, 2)[order], bitmap)
+            self.tables[walk] = (key[order], whose[order], bitmap)
 
     def candidates(self, w: np.ndarray) -> np.ndarray:
         """Distinct (item, word where it would start) of walks that share a key with the word sequence."""
-        found = [np.zeros((0, 2), dtype=np.int64)]
+        found = [np.zeros(0, dtype=np.int64)]
         for lo in range(0, len(w), _PART):
             hi = min(len(w), lo + _PART)
             for walk, wanted in self.wanted.items():
@@ -124,17 +146,18 @@ class Index:
                     times = b - a
                     if times.any():
                         own = np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                        found.append(np.stack([whose[own, 0], lo + np.repeat(hit, times) - whose[own, 1]], 1))
-        return np.unique(np.concatenate(found), axis=0)
+                        found.append((whose[own, 0] << 40) + (1 << 39) + lo + np.repeat(hit, times) - whose[own, 1])
+        code = np.unique(np.concatenate(found))
+        return np.stack([code >> 40, (code & (1 << 40) - 1) - (1 << 39)], 1)
 
     def matches(self, w: np.ndarray, row: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """{(row, item): (edits, first word, words)} of the verified items, the best place of each, of the rows' joined words."""
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
         found = self.candidates(w)
         begin = np.searchsorted(row, np.arange((row[-1] if len(row) else -1) + 2))
-        for number in np.unique(found[:, 0]).tolist():
+        numbers, first = np.unique(found[:, 0], return_index=True)
+        for number, at in zip(numbers.tolist(), np.split(found[:, 1], first[1:]), strict=False):
             item, edits = self.items[number][1], self.most_edits[number]
-            at = found[found[:, 0] == number, 1]
             # Starts near each other are one place to look at, from the first to past the end of the last.
             new = np.flatnonzero(np.concatenate(([True], np.diff(at) > edits + 1)))
             lo = np.maximum(at[new] - 2 * edits, 0)
@@ -165,9 +188,20 @@ class Index:
         return np.flatnonzero(has.sum(axis=1) >= len(kinds) - edits)
 
 
-def _offsets(n: int) -> list[int]:
-    """Places in an item of n words where walks start: what is left there is no short class."""
-    return sorted({o for o in (0, n // 3, 2 * n // 3) if n - o >= 8} | {0})
+def _starts(n: int) -> list[tuple[int, np.ndarray]]:
+    """(class, places where its walks start) in an item of n words.
+
+    With a fifth of the words edited, an item of 5 words has two without an
+    edit between them, one of 8 to 24 words three or four. So items under 25
+    words are walked from every word, and the walks are short.
+    """
+    if n < 5:  # no edits
+        return [(max(c for c in CLASSES if c <= n), np.zeros(1, dtype=np.int64))]
+    if n < 25:
+        return [(2 if n < 8 else 4, np.arange(n))]
+    places = np.array(sorted({0, *range(0, n - 7, 4), n // 3, 2 * n // 3}))
+    own = np.array([max(c for c in CLASSES if c <= n - o) for o in places])
+    return [(int(c), places[own == c]) for c in np.unique(own) if c >= 8]
 
 
 def nearest(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:

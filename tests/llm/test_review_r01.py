@@ -6,8 +6,9 @@ import random
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
-from rosterlake.llm import substring_dedup
+from rosterlake.llm import decontaminate, kernels, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +39,25 @@ def test_passages_of_51_words_are_found():
             left[max(a, 0) : max(b, 0)] = False
         kept.append(left.mean())
     assert max(kept) < 0.5 and np.mean(kept) < 0.12
+
+
+def edited(rng, words, edits):
+    w = list(words)
+    for _ in range(edits):
+        at = rng.randrange(len(w))
+        w[at : at + rng.choice([0, 1, 1])] = [f"edit{rng.random()}"] * rng.choice([0, 1])
+    return w
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24, 25, 32, 45, 59])
+def test_leaks_recall_of_each_length_at_all_allowed_edits(n):
+    rng = random.Random(n)
+    words = [w for r in pq.read_table(f"{SF}/documents.parquet", columns=["text"]).column(0).to_pylist() for w in (r or "").split()]
+    hashes = lambda ws: kernels.words(d := np.frombuffer(" ".join(ws).encode(), dtype=np.uint8), np.array([0, len(d)]))[0]
+    items = [rng.choices(words, k=n) for _ in range(250)]
+    index = decontaminate.Index([(k, hashes(i)) for k, i in enumerate(items)])
+    found = 0
+    for k, item in enumerate(items):
+        doc = hashes(rng.choices(words, k=40) + edited(rng, item, int(0.2 * n + 1e-9)) + rng.choices(words, k=40))
+        found += (0, k) in index.matches(doc, np.zeros(len(doc), dtype=np.int64))
+    assert found / len(items) >= (1.0 if n < 5 else 0.95), found / len(items)
