@@ -43,9 +43,10 @@ def fuzzy_semi_join(left: DataFrame, right: DataFrame, left_col: str, right_col:
     return own.join(found, "__name", "left_semi").drop("__name")
 
 
-def best_jaccard(left: DataFrame, right: DataFrame, *, family: str, left_id: str, right_id: str, left_tokens: str, right_tokens: str, least: float) -> DataFrame:
+def best_jaccard(left: DataFrame, right: DataFrame, *, family: str, left_id: str, right_id: str, left_tokens: str, right_tokens: str, least: float, same_rows: bool = False) -> DataFrame:
     """(left id, right id, similarity): for each left row the most similar right row of its family, from `least` on; the least right id of equals.
 
+    same_rows: both sides are the same rows, and none is matched with its own id.
     Sets of similarity t share one of the (1 - t) n + 1 first tokens in any
     common order, so only those prefixes (rare tokens first) are joined.
     """
@@ -62,6 +63,8 @@ def best_jaccard(left: DataFrame, right: DataFrame, *, family: str, left_id: str
     met = a.join(b.select(family, F.col("id").alias("id2"), "t", F.col("n").alias("n2"), F.col("pos").alias("pos2")), [family, "t"])
     # At the first shared token no more can be shared than what is left of either set.
     need = (F.col("n") + F.col("n2")) * F.lit(least / (1 + least)) - F.lit(1e-9)
+    if same_rows:
+        met = met.filter(F.col("id") != F.col("id2"))
     pairs = met.filter((F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(least) - F.lit(1e-9)) & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)).select("id", "id2").distinct()
     sets = pairs.join(left.select(F.col(left_id).alias("id"), F.array_distinct(left_tokens).alias("s")), "id").join(right.select(F.col(right_id).alias("id2"), F.array_distinct(right_tokens).alias("s2")), "id2")
     scored = sets.select("id", "id2", jaccard(F.col("s"), F.col("s2")).alias("similarity")).filter(F.col("similarity") >= least)

@@ -172,9 +172,9 @@ _TOKENS = "SELECT doc_id, lang, list_distinct(list_filter(string_split_regex(low
 @query(f"""WITH t AS ({_TOKENS}), p AS (SELECT a.doc_id, b.doc_id AS o, len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) AS similarity FROM t a JOIN t b ON a.lang = b.lang AND a.doc_id % 2 = 1 AND b.doc_id % 2 = 0 AND least(len(a.s), len(b.s)) >= 0.6 * greatest(len(a.s), len(b.s)))
 SELECT doc_id, arg_min(o, (-similarity, o)) AS other_id_best, max(similarity) AS similarity FROM p WHERE similarity >= 0.6 GROUP BY doc_id""")
 def jaccard_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").filter("n_chars < 4000").select("doc_id", "lang", text.tokens(F.col("text")).alias("s"))
-    right = d.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("other_id"), "lang", F.col("s").alias("s2"))
-    return match.best_jaccard(d.filter("doc_id % 2 = 1"), right, family="lang", left_id="doc_id", right_id="other_id", left_tokens="s", right_tokens="s2", least=0.6)
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", text.tokens(F.col("text")).alias("s"))
+    right = d.select(F.col("doc_id").alias("other_id"), "lang", F.col("s").alias("s2"))
+    return match.best_jaccard(d, right, family="lang", left_id="doc_id", right_id="other_id", left_tokens="s", right_tokens="s2", least=0.6, same_rows=True)
 
 
 @query("""SELECT c.c_custkey AS k, CASE WHEN c_custkey % 3 = 0 OR c_custkey IS NULL THEN c_mktsegment || '2' ELSE c_mktsegment END AS v FROM customer c""")
