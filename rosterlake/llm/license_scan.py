@@ -9,6 +9,8 @@ All is done within a row: no shuffle, no join; the tables are constants.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,20 +75,55 @@ RULES: tuple[tuple[tuple[str, ...], str], ...] = (
     (("ccbync-long",), "CC-BY-NC-4.0"),
     (("unlicense-free",), "Unlicense"),
 )
+#: Texts that hold sentence ends within, as their licences give them, and their identifiers.
+TEXTS: dict[str, str] = {
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl3-later",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "gpl2-later",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.": "gpl-warranty",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl2-form",
+}
+#: Rules after RULES.
+LAST_RULES: tuple[tuple[tuple[str, ...], str], ...] = ((("reserved",), "LicenseRef-All-Rights-Reserved"),)
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Sentences end at line ends and at . ! ? ; : before white space or the end; a line break within a sentence is not seen.
+#: Sentences of the SQL: they end at line ends too.
 _BREAK = r"[\n\r]+|[.!?;:]+(?:[ \t]+|$)"
+#: A sentence end (. ! ? ; : before white space or the end) and a line end in a normalised text, and how it is made: (pattern, replacement) in order.
+_END, _LINE = "\x01", "\x02"
+_STEPS = (
+    (r"[\x01\x02]", " "),
+    (r"[.!?;:]+(?=[ \t\n\r]|$)", _END),
+    (r"[^a-z0-9\x01\n\r]+", " "),
+    (r" *[\n\r][ \n\r]*", _LINE),
+    (r"[ \x02]*\x01[ \x01\x02]*", _END),
+)
+
+
+def normalised(text: Column) -> Column:
+    """Lower case, other signs as single spaces, but for _END and _LINE; _END at both ends."""
+    out = F.translate(F.coalesce(text, F.lit("")), _UPPER, _SMALL)
+    for pattern, by in _STEPS:
+        out = F.regexp_replace(out, pattern, by)
+    return F.concat(F.lit(_END), F.trim(out), F.lit(_END))
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text, in order; an empty array for a null text."""
-    small = F.translate(F.coalesce(text, F.lit("")), _UPPER, _SMALL)
-    return F.transform(F.split(small, _BREAK), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+def _known() -> dict[str, str]:
+    """Normalised sentences and texts, all on one line."""
+    found = dict(SENTENCES)
+    for text, i in TEXTS.items():
+        text = text.translate(str.maketrans(_UPPER, _SMALL))
+        for pattern, by in _STEPS:
+            text = re.sub(pattern, by, text)
+        found[text.strip(" " + _END)] = i
+    return found
 
 
 def identifiers(text: Column) -> Column:
-    known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    return F.transform(F.filter(sentences(text), lambda s: s.isin(list(SENTENCES))), lambda s: known[s])
+    """Identifiers of the known sentences in order. They begin and end at sentence or line ends and may be wrapped."""
+    known = _known()
+    wrapped = [s.replace(" ", f"[ {_LINE}]") for s in sorted(known, key=lambda s: (-len(s), s))]
+    found = F.regexp_extract_all(normalised(text), F.lit(f"(?<=[{_END}{_LINE}])(?:{'|'.join(wrapped)})(?=[{_END}{_LINE}])"), F.lit(0))
+    names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    return F.transform(found, lambda s: names[F.translate(s, _LINE, " ")])
 
 
 def licence_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,7 +140,7 @@ def licence_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     found = docs.select(F.col(id_col).alias("doc_id"), identifiers(F.col(text_col)).alias("sentence_ids")).filter(F.size("sentence_ids") > 0)
     path = F.concat(F.lit("|"), F.array_join("sentence_ids", "|"), F.lit("|"))
-    named = F.array_distinct(F.array_compact(F.array(*(F.when(path.contains("|" + "|".join(ids) + "|"), F.lit(name)) for ids, name in RULES))))
+    named = F.array_distinct(F.array_compact(F.array(*(F.when(path.contains("|" + "|".join(ids) + "|"), F.lit(name)) for ids, name in RULES + LAST_RULES))))
     return found.withColumn("licences", named).filter(F.size("licences") > 0).withColumn("primary_licence", F.element_at("licences", 1))
 
 
