@@ -92,7 +92,7 @@ def section_lines_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(substr(text, 1, 400)), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ('the', 'of', 'and'))) AS x FROM documents""".replace("list_distinct(", "list_sort(list_distinct(").replace(") AS x", ")) AS x"))
 def token_sets_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(text.tokens(F.substring("text", 1, 400), ["the", "of", "and"])).alias("x"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(text.tokens(F.col("text"), ["the", "of", "and"])).alias("x"))
 
 
 @query("""SELECT c_custkey, CASE WHEN levenshtein(c_mktsegment, 'MACHINERY') <= 3 THEN levenshtein(c_mktsegment, 'MACHINERY') ELSE 4 END::INT AS d FROM customer""")

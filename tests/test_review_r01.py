@@ -29,3 +29,8 @@ def test_jaccard_best_over_all_documents(spark):
             want[d] = (min(near)[1], round(-min(near)[0], 9))
     got = {r.doc_id: (r.other_id_best, round(r.similarity, 9)) for r in QUERIES["jaccard_best"](spark, SF).collect()}
     assert got == want
+
+
+def test_token_sets_of_whole_texts(spark):
+    want = {d: sorted(tokens(t) - {"the", "of", "and"}) for d, t in rows_of("documents", "doc_id", "text")}
+    assert {r.doc_id: r.x for r in QUERIES["token_sets_docs"](spark, SF).collect()} == want
