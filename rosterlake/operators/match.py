@@ -79,6 +79,29 @@ def grouped_evidence(quotes: DataFrame, texts: DataFrame, key: str, quote_col: s
     return joined.withColumn("grounded", (flat(quote_col) != "") & flat("__text").contains(flat(quote_col))).drop("__text")
 
 
+def evidence_anywhere(quotes: DataFrame, texts: DataFrame, quote_col: str, id_col: str, text_col: str) -> DataFrame:
+    """quotes with id_col and grounded: a row for each text that holds the quote, white space squeezed; a null id and false where none does.
+
+    A text that holds a quote has all words of it but the first and last whole,
+    so texts are looked up by the one of those that the fewest have. Quotes of
+    one or two words are looked for in every text.
+    """
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
+    own = quotes.drop(id_col).withColumn("__q", flat(quote_col))
+    wanted = own.select("__q").filter("__q <> ''").distinct()
+    t = texts.select(F.col(id_col).alias("__id"), flat(text_col).alias("__t"))
+    words = F.split("__q", " ")
+    inner = wanted.filter(F.size(words) > 2).select("__q", F.explode(F.array_distinct(F.slice(words, F.lit(2), F.size(words) - 2))).alias("w"))
+    hold = t.select("__id", F.explode(F.array_distinct(F.split("__t", " "))).alias("w")).join(inner.select("w").distinct(), "w", "left_semi")
+    seen = inner.join(hold.groupBy("w").agg(F.count("*").alias("n")), "w", "left")
+    rare = seen.groupBy("__q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))["w"].alias("w"))
+    near = rare.join(hold, "w").select("__q", F.col("__id").alias("__at")).distinct()
+    long = near.join(t, F.col("__at").eqNullSafe(F.col("__id"))).filter(F.col("__t").contains(F.col("__q"))).select("__q", "__id")
+    short = wanted.filter(F.size(words) <= 2).crossJoin(t).filter(F.col("__t").contains(F.col("__q"))).select("__q", "__id")
+    found = long.union(short).distinct().withColumn("__g", F.lit(True))
+    return own.join(found, "__q", "left").select(*quotes.drop(id_col).columns, F.col("__id").alias(id_col), F.coalesce("__g", F.lit(False)).alias("grounded"))
+
+
 def merge_missing(primary: DataFrame, secondary: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Outer merge by key: the primary's values, its blanks filled from the secondary."""
     p = primary.select(key, *(F.col(c).alias(f"__p_{c}") for c in columns))

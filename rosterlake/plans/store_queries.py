@@ -99,7 +99,7 @@ def blanks_last_sort_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, label FROM (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END AS label FROM events) ORDER BY label <> '', label, event_id LIMIT 3000""")
 def blanks_first_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, "").otherwise(F.col("event_type")).alias("label"))
-    return e.orderBy(*rank.blanks_first("label", ["event_id"])).limit(3000)
+    return e.orderBy(*rank.blanks_first("label", ["event_id"]))
 
 
 @query("""SELECT source, doc_id, running FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM documents) WHERE running <= 14000""")
@@ -185,9 +185,9 @@ def merge_missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT item_id, doc_id, contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) AS grounded FROM benchmark b JOIN documents d ON d.doc_id = item_id * 7""")
 def grounded_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") * 7).alias("doc_id"), F.col("text").alias("quote"))
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return match.grouped_evidence(q, d, "doc_id", "quote", "text").select("item_id", "doc_id", "grounded").join(d.select("doc_id"), "doc_id", "left_semi")
+    return match.evidence_anywhere(q, d, "quote", "doc_id", "text").select("item_id", "doc_id", "grounded")
 
 
 @query("""SELECT e.event_id, arg_max(p.value, (p.ts, p.event_id)) AS value_as_of FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts WHERE e.event_type = 'click' GROUP BY e.event_id""")
