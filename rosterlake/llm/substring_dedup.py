@@ -1,16 +1,20 @@
 """Substring dedup by content-defined chunks under a gear rolling hash.
 
-Where the gear hash of the last bytes before a word falls under a limit lies a
-boundary, so boundaries move with the text that they lie in. Each boundary
-opens a chunk that ends at the first boundary at least `min_bytes` on: chunks
-have all lengths, overlap, and need no common start, so a repeated passage has
-the same chunks wherever it stands. Chunks are compared by digest; of equal
-ones the first in a fixed order stays, and what all others cover is cut out.
-
-At scale: a chunk is four numbers in one shuffle by digest; equal chunks of one
+The gear hash of the bytes before a word start ranks it; a word start that is
+the least of some WINDOW of them in a row is a boundary. So boundaries move with
+the text that they lie in, and any WINDOW word starts of a passage hold one.
+Each boundary opens a chunk that ends at the first boundary at least
+`min_bytes` on: chunks have all lengths, overlap, and need no common start, so a
+repeated passage has the same chunks wherever it stands. Chunks are compared by
+digest; of equal ones the first in a fixed order stays, and what all others
+cover is cut out.
+
+At scale: a chunk is three numbers in one shuffle by digest; equal chunks of one
 Arrow batch are found before the shuffle, so that a passage in a third of all
 rows sends one row a batch to its digest's task and spreads the rest; the
 sorted stream keeps one digest in memory. Cuts go back to the rows by a join.
+Digests have 96 bits, and a cut is made only where the row's own chunk there has
+the digest that asked for it.
 """
 
 from __future__ import annotations
@@ -26,37 +30,70 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from .common import ship
 from .kernels import _SPACE, BLOCK, blocks, buffers, mix
 
-#: Chunks cover at least so many bytes; one of so many word starts is a boundary.
-MIN_BYTES, EVERY = 100, 2
+#: Chunks cover at least so many bytes; a boundary is the least of so many places in a row.
+MIN_BYTES, WINDOW = 100, 5
+#: In a run without white space, letters this many bytes in are places too, one in eight; of letters of three bytes and more one in four is.
+RUN = 32
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-_SEED, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-
-
-def boundaries(data: np.ndarray, every: int = EVERY) -> np.ndarray:
-    """Boundaries of one text: 0, its end, and content-defined word starts (or starts of 3-byte letters)."""
+_FIRST, _SECOND = np.arange(1, 257, dtype=np.uint64), mix(np.arange(1001, 1257, dtype=np.uint64))
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BACK = tuple(pow(b, -1, 1 << 64) for b in _BASES)
+_FLAG = np.uint64(1 << 31)
+
+
+def _least(h: np.ndarray, window: int) -> np.ndarray:
+    """Which are the least of some `window` in a row (equal ones all are)."""
+    n = len(h)
+    if n <= window:
+        return h == h.min(initial=(1 << 32) - 1)
+    low = h[: n - window + 1].copy()
+    for k in range(1, window):
+        np.minimum(low, h[k : k + len(low)], out=low)
+    wide = np.concatenate((np.zeros(window - 1, h.dtype), low, np.zeros(window - 1, h.dtype)))
+    high = wide[:n].copy()
+    for k in range(1, window):
+        np.maximum(high, wide[k : k + n], out=high)
+    return high == h
+
+
+def boundaries(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Boundaries of one text: 0, its end, and content-defined starts of words or letters."""
     n = len(data)
     if n < 2:
         return np.array([0, n])
     h = _GEAR[data]
-    for k in (1, 2, 4, 8):  # h[i] = sum of gear[data[i - j]] << 2 j for j < 16
-        h[k:] = h[k:] + (h[:-k] << np.uint32(2 * k))
+    for k in (1, 2, 4):  # h[i] = sum of gear[data[i - j]] << 4 j for j < 8
+        h[k:] = h[k:] + (h[:-k] << np.uint32(4 * k))
+    h = h[:-1]
     space = _SPACE[data]
-    start = np.flatnonzero((space[:-1] & ~space[1:]) | (data[1:] >= 0xE0))
-    cut = start[h[start] < np.uint32((1 << 32) // every)] + 1
-    return np.concatenate(([0], cut[cut < n], [n]))
-
-
-def chunks(data: np.ndarray, min_bytes: int = MIN_BYTES, every: int = EVERY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(digest, start, end) of all chunks of one text, by start; none if it is shorter than min_bytes."""
-    at = boundaries(data, every)
+    place = (space[:-1] & ~space[1:]) | ((data[1:] >= 0xE0) & (h < np.uint32(1 << 30)))
+    blank = np.flatnonzero(space)
+    if np.diff(blank, prepend=-1, append=n).max() > RUN:
+        deep = np.arange(n) - np.maximum.accumulate(np.where(space, np.arange(n), -1)) > RUN
+        place |= deep[1:] & ((data[1:] & 0xC0) != 0x80) & (h < np.uint32(1 << 29))
+    at = np.flatnonzero(place)
+    return np.concatenate(([0], at[_least(h[at], window)] + 1, [n]))
+
+
+def _digests(data: np.ndarray, min_bytes: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, check, start, end) of all chunks of one text, by start; none if it is shorter than min_bytes."""
+    at = boundaries(data, window)
     stop = np.searchsorted(at, at[:-1] + min_bytes)
     start = at[:-1][stop < len(at)]
     end = at[stop[stop < len(at)]]
     if not len(start):
-        return np.zeros(0, np.uint64), start, end
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_SEED, len(data)), out=total[1:])
-    digest = mix((total[end] - total[start]) * _power(_BACK, len(data))[start] + (end - start).astype(np.uint64))
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), start, end
+    both = []
+    for base, back, values in zip(_BASES, _BACK, (_FIRST, _SECOND), strict=True):
+        total = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(values[data] * _power(base, len(data)), out=total[1:])
+        both.append(mix((total[end] - total[start]) * _power(back, len(data))[start] + (end - start).astype(np.uint64)))
+    return both[0], both[1] >> np.uint64(32), start, end
+
+
+def chunks(data: np.ndarray, min_bytes: int = MIN_BYTES, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, start, end) of all chunks of one text, by start; none if it is shorter than min_bytes."""
+    digest, _, start, end = _digests(data, min_bytes, window)
     return digest, start, end
 
 
@@ -74,74 +111,94 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def _row_chunks(min_bytes: int, every: int):
+def _row_chunks(min_bytes: int, window: int):
+    """(key, rid, at) of the chunks: at holds, from the top, 32 bits of check, a flag, 31 bits of start."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column(0).to_numpy()
             data, offsets = buffers(batch.column(1))
             for lo, hi in blocks(offsets, 4 << 20):
-                found = [chunks(data[offsets[r] : offsets[r + 1]], min_bytes, every) for r in range(lo, hi)]
-                sizes = [len(x[0]) for x in found]
-                digest = np.concatenate([x[0] for x in found]).view(np.int64)
-                start, end = (np.concatenate([x[k] for x in found]).astype(np.int32) for k in (1, 2))
-                row = np.repeat(rid[lo:hi], sizes)
-                order = np.lexsort((start, row, digest))
-                digest, start, end, row = digest[order], start[order], end[order], row[order]
+                found = [_digests(data[offsets[r] : offsets[r + 1]], min_bytes, window) for r in range(lo, hi)]
+                digest = np.concatenate([x[0] for x in found])
+                at = np.concatenate([x[1] for x in found]) << np.uint64(32) | np.concatenate([x[2] for x in found]).astype(np.uint64)
+                row = np.repeat(rid[lo:hi], [len(x[0]) for x in found])
+                tag = at >> np.uint64(31)
+                order = np.lexsort((at, row, tag, digest))
+                digest, at, row, tag = digest[order], at[order], row[order], tag[order]
+                again = np.zeros(len(digest), dtype=bool)
+                again[1:] = (digest[1:] == digest[:-1]) & (tag[1:] == tag[:-1])
                 # The very same row read again (repeated rows) is no repeat of itself.
-                same = np.flatnonzero((digest[1:] == digest[:-1]) & (row[1:] == row[:-1]) & (start[1:] == start[:-1])) + 1
-                digest, start, end, row = (np.delete(x, same) for x in (digest, start, end, row))
-                first = np.concatenate(([True], digest[1:] != digest[:-1])) if len(digest) else np.zeros(0, bool)
+                once = np.ones(len(digest), dtype=bool)
+                once[1:] = ~(again[1:] & (row[1:] == row[:-1]) & (at[1:] == at[:-1]))
                 # Of one digest here, all but the first are repeats wherever the corpus' first is; they need not meet it.
-                key = np.where(first, digest, mix(row.view(np.uint64) + start.astype(np.uint64)).view(np.int64))
-                size = np.where(first, end - start, start - end).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.array(start), pa.array(size)], ["key", "rid", "start", "size"])
+                key = np.where(again, mix(row.view(np.uint64) + at), digest)
+                at = np.where(again, at | _FLAG, at)
+                yield pa.RecordBatch.from_arrays([pa.array(x[once].view(np.int64)) for x in (key, row, at)], ["key", "rid", "at"])
 
     return find
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, rid, start): all with a negative size, and all but the first of those of a key."""
-    last: tuple[int, int, int] | None = None
+    """(rid, at) of the flagged rows and of all but the first of those of a digest; the rows come by (key, check and flag, rid, at)."""
+    last: tuple[int, int, int, int] | None = None
     for batch in batches:
-        key, rid, start, size = (batch.column(k).to_numpy() for k in range(4))
-        opened = np.flatnonzero(size > 0)
-        k, r, s = key[opened], rid[opened], start[opened]
-        again = np.zeros(len(k), dtype=bool)
-        again[1:] = k[1:] == k[:-1]
-        if len(k):
-            again[0] = last is not None and last[0] == k[0]
+        key, rid, at = (batch.column(k).to_numpy() for k in range(3))
+        at = at.view(np.uint64)
+        tag = at >> np.uint64(31)
+        flagged = (tag & np.uint64(1)).astype(bool)
+        again = np.zeros(len(key), dtype=bool)
+        again[1:] = (key[1:] == key[:-1]) & (tag[1:] == tag[:-1])
+        if len(key):
+            again[0] = last is not None and last[:2] == (key[0], tag[0])
             # The very same row read again (repeated rows) is no repeat of itself.
-            group = np.maximum.accumulate(np.where(again, 0, np.arange(len(k))))
-            head_r, head_s = r[group], s[group]
+            head = np.maximum.accumulate(np.where(again, 0, np.arange(len(key))))
+            head_rid, head_at = rid[head], at[head]
             if again[0]:
-                own = k == k[0]
-                head_r, head_s = np.where(own, last[1], head_r), np.where(own, last[2], head_s)
-            last = (int(k[-1]), int(head_r[-1]), int(head_s[-1]))
-            again &= (r != head_r) | (s != head_s)
-        keep = np.sort(np.concatenate((np.flatnonzero(size < 0), opened[again])))
-        yield pa.RecordBatch.from_arrays([pa.array(rid[keep]), pa.array(start[keep]), pa.array(np.abs(size[keep]))], ["rid", "start", "size"])
+                own = (head == 0) & (key == key[0]) & (tag == tag[0])
+                head_rid, head_at = np.where(own, last[2], head_rid), np.where(own, np.uint64(last[3]), head_at)
+            last = (int(key[-1]), int(tag[-1]), int(head_rid[-1]), int(head_at[-1]))
+            again &= (rid != head_rid) | (at != head_at)
+        keep = again | flagged
+        yield pa.RecordBatch.from_arrays([pa.array(rid[keep]), pa.array((at[keep] & ~_FLAG).view(np.int64))], ["rid", "at"])
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, every: int = EVERY) -> DataFrame:
-    """(rid, spans): for rows with repeats, the chunks to cut as array<struct<start, size>> in bytes; rid is a hash of id and text."""
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, window: int = WINDOW) -> DataFrame:
+    """(rid, spans): for rows with repeats, the chunks to cut as array<long> of check << 32 | start byte; rid is a hash of id and text."""
     ship(docs.sparkSession)
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text")).filter("text is not null")
-    found = rows.mapInArrow(_row_chunks(min_bytes, every), "key long, rid long, start int, size int")
-    again = found.repartition("key").sortWithinPartitions("key", "rid", "start").mapInArrow(_repeats, "rid long, start int, size int")
-    return again.groupBy("rid").agg(F.collect_set(F.struct("start", "size")).alias("spans"))  # at most the chunks of one text
-
-
-def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, every: int = EVERY) -> DataFrame:
+    found = rows.mapInArrow(_row_chunks(min_bytes, window), "key long, rid long, at long")
+    again = found.repartition("key").sortWithinPartitions("key", F.shiftrightunsigned("at", 31), "rid", "at").mapInArrow(_repeats, "rid long, at long")
+    return again.groupBy("rid").agg(F.collect_set("at").alias("spans"))  # at most the chunks of one text
+
+
+def _left(raw: bytes, spans: np.ndarray, min_bytes: int, window: int) -> tuple[bytes, list[int]]:
+    """What stays of one text, and (start, end, start, ...) of what does not."""
+    _, check, start, end = _digests(np.frombuffer(raw, dtype=np.uint8), min_bytes, window)
+    own = np.isin(check << np.uint64(32) | start.astype(np.uint64), spans.astype(np.int64).view(np.uint64))
+    joined: list[int] = []
+    for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True):
+        if joined and a <= joined[-1]:
+            joined[-1] = max(joined[-1], b)
+        else:
+            joined += (a, b)
+    edges = [0, *joined, len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), joined
+
+
+def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, window: int = WINDOW) -> DataFrame:
     """All rows and columns of `docs`, repeats cut out of the text, with cut_bytes and cut_spans (array<int>: start, end, start, ...).
 
     Of equal chunks the first in the order of (hash of id and text, place)
-    stays. Chunks start and end at word starts, so no word is cut in two. Rows
-    stay even if nothing is left of the text (then it is empty); null and empty
-    texts and those under min_bytes are unchanged. Rows with the same id and
-    text count as one and are cut alike. Columns named cut_bytes or cut_spans
-    are replaced. Empty table: no rows.
+    stays. Chunks start and end at word starts (in long runs without white
+    space, and among letters of three bytes, at letter starts), so no letter is
+    cut in two. Rows stay even if nothing is left of the text (then it is
+    empty); null and empty texts and those under min_bytes are unchanged. Rows
+    with the same id and text count as one and are cut alike, however they are
+    partitioned; rows with a null id and equal texts are such. Columns named
+    cut_bytes or cut_spans are replaced. Empty table: no rows.
     """
-    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, min_bytes=min_bytes, every=every)
+    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, min_bytes=min_bytes, window=window)
     rows = docs.drop("cut_bytes", "cut_spans")
     at = rows.columns.index(text_col)
     schema = StructType([*rows.schema.fields, StructField("cut_bytes", IntegerType()), StructField("cut_spans", ArrayType(IntegerType()))])
@@ -154,27 +211,17 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 texts, found = batch.column(at), batch.column(width)
                 out, bytes_, places = [], [], []
                 for k in range(batch.num_rows):
-                    text = texts[k].as_py()
-                    own = found[k].as_py()
-                    if not own:
+                    text, own = texts[k].as_py(), found[k].as_py()
+                    if own:
+                        raw = text.encode("utf-8")
+                        left, joined = _left(raw, np.array(own, dtype=np.int64), min_bytes, window)
+                        out.append(left.decode("utf-8"))
+                        bytes_.append(len(raw) - len(left))
+                        places.append(joined)
+                    else:
                         out.append(text)
                         bytes_.append(0)
                         places.append([])
-                        continue
-                    raw, parts, joined, done = text.encode("utf-8"), [], [], 0
-                    for s in sorted((x["start"], x["start"] + x["size"]) for x in own):
-                        if joined and s[0] <= joined[-1]:
-                            joined[-1] = max(joined[-1], s[1])
-                        else:
-                            joined += s
-                    for a, b in zip(joined[::2], joined[1::2], strict=True):
-                        parts.append(raw[done:a])
-                        done = b
-                    parts.append(raw[done:])
-                    left = b"".join(parts)
-                    out.append(left.decode("utf-8"))
-                    bytes_.append(len(raw) - len(left))
-                    places.append(joined)
                 columns = list(batch.columns[:width])
                 columns[at] = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(bytes_, pa.int32()), pa.array(places, pa.list_(pa.int32()))], names=schema.names)
