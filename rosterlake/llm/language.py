@@ -3,8 +3,10 @@
 A fixed public vocabulary of pieces is shared by all languages. A language is a
 unigram distribution over the pieces; the probability of a word (its space and
 bytes) is the sum over all its segmentations, by a forward algorithm; that of a
-text is the product over its words. Distributions are learned from expected
-piece counts (forward-backward) over all the labelled rows that may be used.
+text is the product over its words. Words of any length are summed whole; where
+no piece reaches over a place, the sum is a product of two and is worked out in
+units. Distributions are learned in one expectation step: expected piece counts
+over all the labelled rows that may be used, all pieces taken as equally likely.
 
 At scale: learning reads the corpus once, each task gives at most (languages x
 pieces) partial sums, and the model has that size, however much text there is;
@@ -23,10 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, ship
-from .kernels import blocks, buffers, hash_spans, words
+from .kernels import blocks, buffers, words
 
-#: Longest piece in bytes; longest run of bytes that is segmented at once.
-PIECE, RUN = 16, 60
 #: Bytes of text worked on at a time.
 BLOCK = 3 << 20
 _LETTER = np.zeros(256, dtype=bool)
@@ -34,8 +34,10 @@ _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _ASCII_LETTER = _LETTER & (np.arange(256) < 128)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-#: Factor a byte, which keeps products of probabilities in the range of doubles.
-_STEP = 16.0
+#: Factor a byte, which keeps products of probabilities in the range of doubles for _RESCALE bytes, after which they are scaled anew.
+_STEP, _RESCALE = 16.0, 32
+#: Numbers in the forward table of one group of units.
+_TABLE = 1 << 22
 
 
 def default_path() -> str:
@@ -50,7 +52,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 class Pieces:
-    """The vocabulary as a byte trie: all its pieces of up to PIECE bytes, A-Z folded, a space for the word mark, and all single bytes."""
+    """The vocabulary as a byte trie: all pieces that a word can hold, A-Z folded, a space for the word mark, and all single bytes."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -60,9 +62,10 @@ class Pieces:
         for k in range(sp.get_piece_size()):
             if not (sp.is_unknown(k) or sp.is_control(k) or sp.is_byte(k)):
                 raw = bytes(_FOLD[list(sp.id_to_piece(k).replace("▁", " ").encode("utf-8"))])
-                if 0 < len(raw) <= PIECE and b" " not in raw[1:]:
+                if raw and b" " not in raw[1:]:
                     names.add(raw)
         self.names = sorted(names)
+        self.longest = max(map(len, self.names))
         self.length = np.array([len(x) for x in self.names])
         paths = sorted({x[:k] for x in self.names for k in range(1, len(x) + 1)})
         number = {x: k + 1 for k, x in enumerate(paths)}
@@ -76,58 +79,123 @@ class Pieces:
     def __len__(self) -> int:
         return len(self.names)
 
-    def arcs(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
-        """Every piece in every word: (word, piece, order) in order of start and length, and the ranges of equal (start, length)."""
-        word = np.repeat(np.arange(len(size)), size)
-        start = np.arange(len(flat)) - np.repeat(begin, size)
-        left = np.repeat(size, size) - start
-        pos = np.arange(len(flat))
-        node = np.zeros(len(flat), dtype=np.int64)
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for k in range(PIECE):
-            node = self.child[node, flat[pos + k]].astype(np.int64)
+    def lattice(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Lattice:
+        """Every piece in every word; words lie back to back in `flat`."""
+        n = len(flat)
+        start = np.arange(n)
+        left = np.repeat(begin + size, size) - start
+        node = np.zeros(n, dtype=np.int64)
+        reach = start + 1  # where the longest piece from each place ends
+        got: list[tuple[np.ndarray, np.ndarray, int]] = []
+        k = 0
+        while len(start):
+            node = self.child[node, flat[start + k]].astype(np.int64)
+            k += 1
             p = self.piece[node]
             hit = p >= 0
-            got.append((word[hit], p[hit], (start[hit] * PIECE + k).astype(np.int16)))
-            on = (node > 0) & (left > k + 1)
-            word, start, left, pos, node = word[on], start[on], left[on], pos[on], node[on]
-            if not len(pos):
-                break
-        words_, pieces, key = (np.concatenate([g[x] for g in got]) for x in range(3))
-        order = np.argsort(key, kind="stable")
-        words_, pieces, key = words_[order], pieces[order], key[order]
-        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        ends = np.append(cut[1:], len(key))
-        return words_, pieces, key, [(int(a), int(b), int(key[a]) // PIECE, int(key[a]) % PIECE + 1) for a, b in zip(cut, ends, strict=True)]
+            got.append((start[hit], p[hit], k))
+            reach[start[hit]] = start[hit] + k
+            on = (node > 0) & (left > k)
+            start, left, node = start[on], left[on], node[on]
+        head = np.ones(n, dtype=bool)
+        head[1:] = np.maximum.accumulate(reach)[:-1] <= np.arange(1, n)  # no piece reaches over the place
+        first = np.flatnonzero(head)
+        at = np.concatenate([np.zeros(0, np.int64), *(g[0] for g in got)])
+        piece = np.concatenate([np.zeros(0, np.int32), *(g[1] for g in got)])
+        length = np.repeat([g[2] for g in got], [len(g[0]) for g in got])
+        unit = np.cumsum(head)[at] - 1
+        return Lattice(np.diff(first, append=n), np.searchsorted(first, begin), unit, piece, at - first[unit], length)
 
     def forward(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, chance: np.ndarray) -> np.ndarray:
         """log P(word) for each column of chance (pieces x languages, times _STEP ** length)."""
-        words_, pieces, _, steps = self.arcs(flat, begin, size)
-        alpha = np.zeros((int(size.max(initial=0)) + 1, len(size), chance.shape[1]))
-        alpha[0] = 1
-        for a, b, at, n in steps:
-            w = words_[a:b]
-            alpha[at + n][w] += alpha[at][w] * chance[pieces[a:b]]
-        return np.log(alpha[size, np.arange(len(size))]) - (size * np.log(_STEP))[:, None]
+        lattice = self.lattice(flat, begin, size)
+        logs = np.empty((len(lattice.size), chance.shape[1]))
+        for own, units, pieces, steps in lattice.groups(chance.shape[1]):
+            longest = int(lattice.size[own[-1]])
+            alpha = np.zeros((longest + 1, len(own), chance.shape[1]))
+            alpha[0] = 1
+            scale = np.zeros(alpha.shape[1:])
+            done = 0
+            for a, b, at, n in steps:
+                if at - done >= _RESCALE:
+                    done = at
+                    scale += _rescaled(alpha[at : at + self.longest])
+                u = units[a:b]
+                alpha[at + n][u] += alpha[at][u] * chance[pieces[a:b]]
+            logs[own] = np.log(alpha[lattice.size[own], np.arange(len(own))]) + scale
+        logs -= (lattice.size * np.log(_STEP))[:, None]
+        return np.add.reduceat(logs, lattice.words) if len(size) else np.zeros((0, chance.shape[1]))
 
     def expected(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, times: np.ndarray, chance: np.ndarray) -> np.ndarray:
         """Expected piece counts (groups x pieces) where each word occurs times[word, group] times, under one distribution."""
-        words_, pieces, _, steps = self.arcs(flat, begin, size)
-        n = len(size)
-        alpha = np.zeros((int(size.max(initial=0)) + 1, n))
-        beta = np.zeros_like(alpha)
-        alpha[0] = 1
-        beta[size, np.arange(n)] = 1
-        for a, b, at, k in steps:
-            w = words_[a:b]
-            alpha[at + k][w] += alpha[at][w] * chance[pieces[a:b]]
-        share = np.empty(len(words_))
-        for a, b, at, k in reversed(steps):
-            w, p = words_[a:b], chance[pieces[a:b]]
-            beta[at][w] += p * beta[at + k][w]
-            share[a:b] = alpha[at][w] * p * beta[at + k][w]
-        share /= alpha[size, np.arange(n)][words_]
-        return np.stack([np.bincount(pieces, share * times[words_, g], minlength=len(self)) for g in range(times.shape[1])])
+        lattice = self.lattice(flat, begin, size)
+        word = np.repeat(np.arange(len(size)), np.diff(lattice.words, append=len(lattice.size)))
+        out = np.zeros((times.shape[1], len(self)))
+        for own, units, pieces, steps in lattice.groups(1):
+            longest = int(lattice.size[own[-1]])
+            alpha = np.zeros((longest + 1, len(own)))
+            alpha[0] = 1
+            scales = [np.zeros(len(own))]
+            for a, b, at, n in steps:
+                if at // _RESCALE == len(scales):
+                    scales.append(scales[-1] + _rescaled(alpha[at : at + self.longest]))
+                u = units[a:b]
+                alpha[at + n][u] += alpha[at][u] * chance[pieces[a:b]]
+            # gamma: how likely a piece ends at a place; its pieces share it as they made alpha there.
+            gamma = np.zeros_like(alpha)
+            gamma[lattice.size[own], np.arange(len(own))] = 1
+            share = np.empty(len(units))
+            for a, b, at, n in reversed(steps):
+                u, x, y = units[a:b], at // _RESCALE, min((at + n) // _RESCALE, len(scales) - 1)
+                share[a:b] = gamma[at + n][u] * alpha[at][u] * chance[pieces[a:b]] / alpha[at + n][u]
+                if x != y:
+                    share[a:b] *= np.exp(scales[x][u] - scales[y][u])
+                gamma[at][u] += share[a:b]
+            whose = word[own][units]
+            out += np.stack([np.bincount(pieces, share * times[whose, g], minlength=len(self)) for g in range(times.shape[1])])
+        return out
+
+
+def _rescaled(rows: np.ndarray) -> np.ndarray:
+    """Divides the rows of a forward table by their greatest values, of which it gives the logs."""
+    top = rows.max(axis=0)
+    top[top == 0] = 1
+    rows /= top
+    return np.log(top)
+
+
+@dataclass(frozen=True)
+class Lattice:
+    """Units' sizes, each word's first unit, and arcs: unit, piece, start in the unit, length."""
+
+    size: np.ndarray
+    words: np.ndarray
+    unit: np.ndarray
+    piece: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+
+    def groups(self, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]]:
+        """Units by size, as many as _TABLE allows at once: (units, arcs' places in them, arcs' pieces, ranges of arcs of one (start, length) in order)."""
+        by_size = np.argsort(self.size, kind="stable")
+        place = np.empty(len(by_size), dtype=np.int64)
+        place[by_size] = np.arange(len(by_size))
+        sizes = self.size[by_size]
+        lo = 0
+        while lo < len(by_size):
+            # Of 32 bytes and less together, then of up to twice the least.
+            hi = int(np.searchsorted(sizes, max(32, 2 * int(sizes[lo])), side="right"))
+            hi = lo + max(1, min(hi - lo, _TABLE // (width * (int(sizes[hi - 1]) + 1))))
+            own = np.flatnonzero((place[self.unit] >= lo) & (place[self.unit] < hi)) if hi - lo < len(by_size) else np.arange(len(self.unit))
+            key = self.start[own] * 256 + self.length[own]
+            if hi and sizes[hi - 1] < 127:
+                key = key.astype(np.int16)
+            own = own[np.argsort(key, kind="stable")]
+            start, length = self.start[own], self.length[own]
+            cut = np.flatnonzero(np.concatenate(([True], (start[1:] != start[:-1]) | (length[1:] != length[:-1]))))
+            ends = np.append(cut[1:], len(own))
+            yield by_size[lo:hi], place[self.unit[own]] - lo, self.piece[own], list(zip(cut.tolist(), ends.tolist(), start[cut].tolist(), length[cut].tolist(), strict=True))
+            lo = hi
 
 
 _LOADED: dict[str, Pieces] = {}
@@ -140,31 +208,24 @@ def _pieces(path: str) -> Pieces:
 
 
 def _word_types(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(flat bytes, begin, size) of the distinct words with a letter; for each occurrence its row and word."""
-    _, begin, end, row = words(data, offsets)
+    """(flat bytes, begin, size) of the distinct words with a letter, each after a space; for each occurrence its row and word."""
+    h, begin, end, row = words(data, offsets)
     if len(begin):
         has = np.logical_or.reduceat(_LETTER[data], np.stack([begin, end], 1).reshape(-1)[: 2 * len(begin) - (end[-1] == len(data))])[::2]
-        begin, end, row = begin[has], end[has], row[has]
-    parts = -(-(end - begin) // RUN)
-    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    row, last = np.repeat(row, parts), np.repeat(end, parts)
-    begin = np.repeat(begin, parts) + RUN * nth
-    end = np.minimum(begin + RUN, last)
-    h = hash_spans(data, begin, end) + (nth > 0).astype(np.uint64)
+        h, begin, end, row = h[has], begin[has], end[has], row[has]
     _, first, which = np.unique(h, return_index=True, return_inverse=True)
-    lead = (nth[first] == 0).astype(np.int64)
-    size = end[first] - begin[first] + lead
+    size = end[first] - begin[first] + 1
     at = np.cumsum(size) - size
     total = int(size.sum())
-    source = np.arange(total) - np.repeat(at + lead, size) + np.repeat(begin[first], size)
+    source = np.arange(total) - np.repeat(at + 1, size) + np.repeat(begin[first], size)
     flat = _FOLD[data[np.maximum(source, 0)]] if total else np.zeros(0, np.uint8)
-    flat[at[lead > 0]] = 32
+    flat[at] = 32
     return flat, at, size, row, which
 
 
-def _slices(size: np.ndarray, n: int = 20_000) -> Iterator[tuple[int, int]]:
-    for a in range(0, len(size), n):
-        yield a, min(a + n, len(size))
+def _slices(size: np.ndarray, n: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of words of about n bytes; a longer word is alone in its range."""
+    return blocks(np.concatenate(([0], np.cumsum(size))), n)
 
 
 @dataclass(frozen=True)

@@ -178,7 +178,7 @@ def test_forward_sums_all_segmentations():
         total = np.zeros((len(d) + 1, 3))
         total[0] = 1
         for i in range(len(d)):
-            for j in range(i + 1, min(len(d), i + 16) + 1):
+            for j in range(i + 1, min(len(d), i + p.longest) + 1):
                 if d[i:j] in index:
                     total[j] += total[i] * chance[index[d[i:j]]]
         assert np.allclose(g, np.log(total[-1]))
