@@ -3,11 +3,12 @@
 The CGK walk reads a word sequence by random bits: at each step it notes the
 word it stands on and moves on or stays by a random bit of that word and step,
 so a small edit distance becomes a small Hamming distance of the notes. Some
-steps are sampled to a key; several walks and samples reach the wanted recall.
-Walks start at every word of a document, and in each item at several places, so
-that an item is found by any stretch without edits. What shares a key
-is verified by the exact edit distance of the item to the best part of the
-document there.
+steps are sampled to a key, in several walks and samples. Walks start at every
+word of a document, and in each item at as many places, over windows of as many
+words, as the wanted recall needs: the window is as long as the item where no
+edits are allowed, and shorter, repeated along the item, the more are. What
+shares a key is verified by the exact edit distance of the item to the best part
+of the document there.
 
 At scale: one map over the documents, no shuffle of texts. Items are taken in
 blocks of ITEMS, so what is broadcast is bounded whatever the benchmark's size.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,10 @@ WALKS, SAMPLES, WORDS = 2, 4, 4
 SHORT_WALKS = 8
 #: Words of the shortest item of a class, in order: an item's walks stay in it.
 CLASSES = (1, 2, 4, 8, 16, 32)
-#: An item is found where at least this share of its words needs no edit.
-SIMILARITY = 0.8
+#: An item is found where at least this share of its words needs no edit, with this chance at the most edits allowed.
+SIMILARITY, RECALL = 0.8, 0.98
+#: Random placements of edits that a plan is tried on.
+TRIALS = 400
 _PART = 1 << 14
 _TABLE = 20
 
@@ -95,11 +99,11 @@ def walk_spans(word_hash: np.ndarray, starts: int, sample: Sample) -> np.ndarray
 class Index:
     """The keys of a block of items; `items` are (id, words) with at least a word each."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], similarity: float = SIMILARITY):
+    def __init__(self, items: list[tuple[int, np.ndarray]], similarity: float = SIMILARITY, target: float = RECALL):
         self.items = items
         self.most_edits = [int(np.floor((1 - similarity) * len(w) + 1e-9)) for _, w in items]
-        plans = [_starts(len(w)) for _, w in items]
-        self.classes = sorted({c for plan in plans for c, _ in plan} | ({1} if any(len(w) < 5 for _, w in items) else set()))
+        plans = [_starts(len(w), e, target) for (_, w), e in zip(items, self.most_edits, strict=True)]
+        self.classes = sorted({c for p in plans for c, _ in p} | ({1} if any(len(w) < 5 for _, w in items) else set()))
         every = [s for c in self.classes for s in samples(c)]
         self.wanted = {walk: [s for s in every if s.walk == walk] for walk in range(max((s.walk for s in every), default=-1) + 1)}
         keys: dict[int, list[np.ndarray]] = {walk: [] for walk in self.wanted}
@@ -188,20 +192,45 @@ class Index:
         return np.flatnonzero(has.sum(axis=1) >= len(kinds) - edits)
 
 
-def _starts(n: int) -> list[tuple[int, np.ndarray]]:
-    """(class, places where its walks start) in an item of n words.
+#: Lengths that have a plan of their own; those between have that of the next lower one.
+PLANNED = (*range(1, 25), 25, 28, 32, 36, 40, 45, 50, 57, 64, 72, 80, 90, 100, 114, 128)
 
-    With a fifth of the words edited, an item of 5 words has two without an
-    edit between them, one of 8 to 24 words three or four. So items under 25
-    words are walked from every word, and the walks are short.
+
+@lru_cache(maxsize=4096)
+def plan(n: int, edits: int, target: float = RECALL) -> tuple[int, int]:
+    """(class, words between starts) of an item of n words: the longest window, started as seldom, that reaches the target.
+
+    Recall is worked out on TRIALS random placements of the edits: the item is
+    found if a sample of some start reads a stretch without one. A sample reads
+    as many words as its walk has moved on at its last step, at every second
+    step by chance. Where no plan reaches the target: the one of most recall.
     """
-    if n < 5:  # no edits
-        return [(max(c for c in CLASSES if c <= n), np.zeros(1, dtype=np.int64))]
-    if n < 25:
-        return [(2 if n < 8 else 4, np.arange(n))]
-    places = np.array(sorted({0, *range(0, n - 7, 4), n // 3, 2 * n // 3}))
-    own = np.array([max(c for c in CLASSES if c <= n - o) for o in places])
-    return [(int(c), places[own == c]) for c in np.unique(own) if c >= 8]
+    rng = np.random.default_rng([n, edits])
+    edited = np.ones((TRIALS, 3 * n + 64), dtype=np.int32)  # what lies past the end is no match either
+    edited[:, :n] = rng.random((TRIALS, n)).argsort(axis=1).argsort(axis=1) < edits
+    before = np.concatenate([np.zeros((TRIALS, 1), np.int32), np.cumsum(edited, axis=1, dtype=np.int32)], axis=1)
+    best = (0.0, 1, 1)
+    for least in sorted((c for c in CLASSES if c <= n), reverse=True):
+        wanted = samples(least)
+        for apart in sorted({least, max(1, least // 2), max(1, least // 4), 1}, reverse=True):
+            starts = np.arange(0, n if edits else 1, apart)
+            found = np.zeros(TRIALS, dtype=bool)
+            for walk in {s.walk for s in wanted}:
+                steps = sorted({max(s.steps) for s in wanted if s.walk == walk})
+                moved = rng.binomial(np.diff([0, *steps]), 0.5, (TRIALS, len(starts), len(steps))).cumsum(axis=2)
+                for k in range(len(steps)):
+                    found |= (np.take_along_axis(before, starts + 1 + moved[:, :, k], 1) == before[:, starts]).any(axis=1)
+            best = max(best, (float(found.mean()), least, -apart))
+            if found.mean() >= target:
+                return least, apart
+    return best[1], abs(best[2])
+
+
+def _starts(n: int, edits: int, target: float) -> list[tuple[int, np.ndarray]]:
+    """(class, places where its walks start) in an item of n words."""
+    like = max(x for x in PLANNED if x <= n)
+    least, apart = plan(like, edits * like // n, target)
+    return [(least, np.arange(0, n if edits else 1, apart))]
 
 
 def nearest(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
@@ -224,7 +253,7 @@ def nearest(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
-def _indexes(benchmark: DataFrame, item_col: str, text_col: str, similarity: float) -> Iterator[Index]:
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, similarity: float, target: float) -> Iterator[Index]:
     ship(benchmark.sparkSession)
     rows = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     parts = max(1, -(-rows.count() // ITEMS))
@@ -236,7 +265,7 @@ def _indexes(benchmark: DataFrame, item_col: str, text_col: str, similarity: flo
             if len(w):
                 items.append((r.id, w))
         if items:
-            yield Index(items, similarity)
+            yield Index(items, similarity, target)
 
 
 def _found(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
@@ -249,12 +278,14 @@ def _found(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int,
                 yield lo + r, number, *best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY, target_recall: float = RECALL) -> DataFrame:
     """(doc_id, item_id, edits, first_word, n_words): a row for each item in a row of docs, at its best place.
 
     An item is in a document if some run of its words (split at white space,
     A-Z lower-cased) has a word edit distance of at most (1 - similarity) times
-    the item's words to it, as far as the sampled keys find it.
+    the item's words to it, as far as the sampled keys find it: each such item
+    with a chance of about target_recall or more, and surely where nothing is
+    edited.
 
     Null and empty texts, and items without words, match nothing. Items of
     equal words match alike; a repeated row or item gives its rows again. Null
@@ -264,7 +295,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, edits int, first_word int, n_words int"
     total = None
-    for index in _indexes(benchmark, item_col, "text", similarity):
+    for index in _indexes(benchmark, item_col, "text", similarity, target_recall):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def find(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -282,11 +313,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     return total
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", similarity: float = SIMILARITY, target_recall: float = RECALL) -> DataFrame:
     """The rows of `docs`, all columns, that hold no item; see leaks. Null texts hold none."""
     at = docs.columns.index(text_col)
     out = docs
-    for index in _indexes(benchmark, item_col, "text", similarity):
+    for index in _indexes(benchmark, item_col, "text", similarity, target_recall):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
