@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-#: Most rows of the rate table that are broadcast (each about 16 * mean + 400 bytes).
-BROADCAST_SOURCES = 2_000
+#: Most rows of the rate table that are broadcast, and most numbers in them (about rate + 10 * sqrt(rate) + 30 a row, 8 bytes each).
+BROADCAST_SOURCES, BROADCAST_NUMBERS = 10_000, 1 << 20
 SALTS = 64
 
 
@@ -29,6 +29,11 @@ def _draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("null")) for p in parts))), 1, 13), 16, 10).cast("long")
 
 
+def _name(row_id: Column, text: Column) -> Column:
+    """What a row draws by: its id, or where that is null its text."""
+    return F.coalesce(row_id.cast("string"), F.concat(F.lit("null|"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
 def rates(docs: DataFrame, targets: DataFrame | None = None, *, source_col: str = "source", alpha: float = 0.5, scale: float = 1.0) -> DataFrame:
     """(source, n_docs, rate): the mean number of copies of each document of a source.
 
@@ -50,16 +55,17 @@ def rates(docs: DataFrame, targets: DataFrame | None = None, *, source_col: str
     return weighed.select("source", "n_docs", (F.col("weight") / F.lit(float(total.w)) * F.lit(float(total.n)) * F.lit(float(scale)) / F.col("n_docs")).alias("rate"))
 
 
-def poisson_mix(docs: DataFrame, targets: DataFrame | None = None, *, id_col: str = "doc_id", source_col: str = "source", alpha: float = 0.5, scale: float = 1.0, seed: int = 7) -> DataFrame:
+def poisson_mix(docs: DataFrame, targets: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", alpha: float = 0.5, scale: float = 1.0, seed: int = 7) -> DataFrame:
     """All columns of `docs` with copy (1, 2, ...) and shuffle_key, in the global order of shuffle_key within hash partitions.
 
     A document of rate r appears k times with the Poisson probability of k for
     mean r; k = 0 leaves it out, as the operator is meant to.
 
-    Null ids and sources are values of their own; repeated rows (one id) draw
-    the same number; null and empty texts are copied like others; columns named
-    like the operator's own (copy, shuffle_key) are replaced; other columns are
-    kept. Empty table: no rows.
+    A row of null id draws by its text; repeated rows (one id, or none and one
+    text) draw the same number. A null source is a source of its own; null and
+    empty texts of any length are copied like others; columns named like the
+    operator's own (copy, shuffle_key) are replaced; other columns are kept.
+    Empty table: no rows.
     """
     rated = rates(docs, targets, source_col=source_col, alpha=alpha, scale=scale)
     top = F.ceil(F.col("rate") + 10 * F.sqrt("rate") + 30).cast("int")
@@ -68,16 +74,18 @@ def poisson_mix(docs: DataFrame, targets: DataFrame | None = None, *, id_col: st
     table = settle(rated.filter("rate > 0").select(F.col("source").alias("__source"), F.slice(cdf, 2, top + 1).alias("__cdf")))
     rows = docs.drop("copy", "shuffle_key")
     match = rows[source_col].eqNullSafe(F.col("__source"))
-    if table.count() <= BROADCAST_SOURCES:
+    size = table.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("__cdf")), F.lit(0)).alias("numbers")).first()
+    own = _name(F.col(id_col), F.col(text_col))
+    if size.rows <= BROADCAST_SOURCES and size.numbers <= BROADCAST_NUMBERS:
         joined = rows.join(F.broadcast(table), match)
     else:
-        salted = rows.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
+        salted = rows.withColumn("__salt", F.pmod(F.xxhash64(own), F.lit(SALTS)))
         copies = table.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = salted.join(copies, salted[source_col].eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__salt2")))
-    u = (_draw(F.lit(seed), F.col(id_col)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    u = (_draw(F.lit(seed), own) + F.lit(0.5)) / F.lit(float(1 << 52))
     times = F.size(F.filter("__cdf", lambda c: c < u))
     drawn = joined.withColumn("__times", times).filter("__times > 0").select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("copy"))
-    placed = drawn.withColumn("shuffle_key", _draw(F.lit(seed), F.col(id_col), F.col("copy")))
+    placed = drawn.withColumn("shuffle_key", _draw(F.lit(seed), own, F.col("copy")))
     return placed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
@@ -88,8 +96,8 @@ r AS (SELECT source, sqrt(c.n) / t.w * t.n / c.n AS rate FROM c, t),
 p AS (SELECT source, unnest(range(0, ceil(rate + 10 * sqrt(rate) + 30)::BIGINT + 1)) AS k, rate FROM r),
 f AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
 l AS (SELECT source, list(cdf) AS cdf FROM f GROUP BY source),
-d AS (SELECT d.*, len(list_filter(l.cdf, lambda x: x < (('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)) AS times
+d AS (SELECT d.*, len(list_filter(l.cdf, lambda x: x < (('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, 'null|' || md5(coalesce(text, '')))), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)) AS times
   FROM documents d JOIN l ON d.source IS NOT DISTINCT FROM l.source),
 e AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, times + 1))::INT AS copy FROM d)
-SELECT *, ('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy), 1, 13))::BIGINT AS shuffle_key FROM e
+SELECT *, ('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, 'null|' || md5(coalesce(text, ''))) || '|' || copy), 1, 13))::BIGINT AS shuffle_key FROM e
 """
