@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -30,25 +32,34 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder of spark.checkpoint.dir; where that is unset (tests, one machine), one of our own."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = getattr(sc, "_rosterlake_dir", None) or tempfile.mkdtemp(prefix="rosterlake-")
         sc._rosterlake_dir = where
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(where)
     return where
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df computed once into the shared checkpoint folder; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df computed once into a table in the shared folder; survives lost executors. The tables of a session are deleted at its end."""
+    sc = df.sparkSession.sparkContext
+    kept = getattr(sc, "_rosterlake_settled", None)
+    if kept is None:
+        kept = sc._rosterlake_settled = Scratch(df.sparkSession)
+        atexit.register(_forget, kept)
+    return kept.keep(df, uuid.uuid4().hex)
+
+
+def _forget(scratch: Scratch) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended, and with it the way to the folder
+        scratch.drop()
 
 
 class Scratch:
-    """Parquet tables in the shared folder that live until the end of a `with` block."""
+    """Parquet tables in the shared folder that live until the end of a `with` block (or until `drop`)."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -62,6 +73,9 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self, df: DataFrame) -> DataFrame:
+        return self.keep(df, uuid.uuid4().hex)
+
     def drop(self, name: str = "") -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -151,23 +165,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star steps; each round is a map-side
     combined minimum and a join, so that a hub's edges are never in one task's
-    memory, and is cut by a checkpoint.
+    memory, and is cut by a written table, of which the last two are kept.
     Nulls and self-loops link nothing; repeated edges count once; without edges it is empty.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u > v").distinct()
-    e = settle(e)
-    before = None
-    while True:
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
-            break
-        before = now
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = settle(small.filter("u > v").distinct())
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
-
-
+    with Scratch(edges.sparkSession) as scratch:
+        e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u > v").distinct()
+        e = scratch.keep(e, "0")
+        before, k = None, 0
+        while True:
+            now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+            if now == before or not now[0]:
+                break
+            before = now
+            both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+            e = scratch.keep(small.filter("u > v").distinct(), str(k + 1))
+            scratch.drop(str(k))
+            k += 1
+        return settle(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct()))

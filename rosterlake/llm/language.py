@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, ship
+from .common import Scratch, ship
 from .kernels import blocks, buffers, words
 
 #: Bytes of text worked on at a time.
@@ -266,10 +266,11 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", path
     sums = usable.mapInArrow(count, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {}
     pieces = _pieces(where)
-    for r in settle(sums).toLocalIterator():  # languages x pieces rows at most
-        c = counts.setdefault(r.lang, np.zeros(len(pieces)))
-        if r.piece >= 0:
-            c[r.piece] = r.n
+    with Scratch(docs.sparkSession) as scratch:
+        for r in scratch.settle(sums).toLocalIterator():  # languages x pieces rows at most
+            c = counts.setdefault(r.lang, np.zeros(len(pieces)))
+            if r.piece >= 0:
+                c[r.piece] = r.n
     langs = sorted(counts)
     table = np.stack([(counts[x] + smoothing) / (counts[x].sum() + smoothing * len(pieces)) for x in langs], 1) if langs else np.zeros((len(pieces), 0))
     return LanguageModel(langs, table, where)

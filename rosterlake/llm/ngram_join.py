@@ -193,7 +193,7 @@ def ngram_components(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col:
         classes = own.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
         joined = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "rep", "copies", F.coalesce("root", "cid").alias("root"), F.col("root").isNotNull().alias("linked"))
         # Only classes of several rows or with links need more than their own row.
-        joined = settle(joined.filter("linked or copies > 1"))
+        joined = scratch.settle(joined.filter("linked or copies > 1"))
         least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
         found = joined.join(least, "root").select("cid", "component_id")
         out = own.join(found, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -249,7 +249,7 @@ def _class_links(rows: DataFrame, level, scratch: Scratch, n: int, percent: int,
         yield found.taken()
 
     best = _possible(live.mapInArrow(partners, _MET), percent).groupBy("cid").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub")).select("hub", "cid")
-    one = scratch.keep(_verified(_paired(best, bundle), rows, level, n, percent), "one")
+    one = scratch.keep(_verified(_paired(best, scratch, bundle), scratch, rows, level, n, percent), "one")
     roots = components(one)
     apart = live.join(roots, F.col("cid") == F.col("node"), "left").select("tok", "n", "cid", "pos", F.coalesce("root", "cid").alias("root"))
 
@@ -276,10 +276,10 @@ def _class_links(rows: DataFrame, level, scratch: Scratch, n: int, percent: int,
 
     met = scratch.keep(apart.repartition("tok").sortWithinPartitions("tok", "n", "cid").mapInArrow(crossing, _MET), "met")
     # A pair that also meets under a crowded token is compared there, so its other meetings may be too few to keep it here.
-    pairs = _paired(_possible(met.filter("n1 > 0"), percent).select("hub", "cid"), bundle)
-    seats = pairs.withColumn("part", -1 - F.col("part")).unionByName(_crowds(met.filter("n1 = 0").select("hub", "cid").distinct()))
+    pairs = _paired(_possible(met.filter("n1 > 0"), percent).select("hub", "cid"), scratch, bundle)
+    seats = pairs.withColumn("part", -1 - F.col("part")).unionByName(_crowds(met.filter("n1 = 0").select("hub", "cid").distinct(), scratch))
     labelled = seats.join(roots, F.col("cid") == F.col("node"), "left").select("hub", "part", "cid", F.coalesce("root", "cid").alias("label"))
-    return one.union(_verified(labelled, rows, level, n, percent))
+    return one.union(_verified(labelled, scratch, rows, level, n, percent))
 
 
 #: Pairs of classes that met under prefix tokens: how often, and the last positions where.
@@ -341,26 +341,26 @@ def _shared(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from table.filter(pa.array(several)).combine_chunks().to_batches(max_chunksize=1 << 16)
 
 
-def _paired(pairs: DataFrame, bundle: int) -> DataFrame:
+def _paired(pairs: DataFrame, scratch: Scratch, bundle: int) -> DataFrame:
     """(hub, part, cid): each hub in bundles of at most about `bundle` of the classes paired with it."""
-    pairs = settle(pairs)
+    pairs = scratch.settle(pairs)
     many = pairs.groupBy("hub").agg(F.count("*").alias("m")).select("hub", F.ceil(F.col("m") / bundle).alias("parts"))
-    dealt = settle(pairs.join(many, "hub").select("hub", F.pmod(F.xxhash64("cid"), "parts").alias("part"), "cid"))
+    dealt = scratch.settle(pairs.join(many, "hub").select("hub", F.pmod(F.xxhash64("cid"), "parts").alias("part"), "cid"))
     return dealt.union(dealt.select("hub", "part", F.col("hub").alias("cid")).distinct())
 
 
-def _crowds(members: DataFrame, block: int = BLOCK) -> DataFrame:
+def _crowds(members: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """(hub, part, cid): the classes of a hub's crowd by pairs of blocks, so that any two are together somewhere."""
-    members = settle(members)
+    members = scratch.settle(members)
     sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(block)).alias("b"))
     placed = members.join(sizes, "hub").select("hub", "cid", "b", F.pmod(F.xxhash64("cid"), "b").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("b") - 1)).alias("j"))
     return placed.select("hub", (F.least("i", "j") * F.col("b") + F.greatest("i", "j")).alias("part"), "cid")
 
 
-def _verified(seats: DataFrame, rows: DataFrame, level, n: int, percent: int) -> DataFrame:
+def _verified(seats: DataFrame, scratch: Scratch, rows: DataFrame, level, n: int, percent: int) -> DataFrame:
     """(a, b): links that span those among the classes of each bundle (hub, part); label, where there is one, is equal for linked classes."""
     known = "label" in seats.columns
-    seats = settle(seats if known else seats.withColumn("label", F.col("cid")))
+    seats = scratch.settle(seats if known else seats.withColumn("label", F.col("cid")))
     classes = rows.sparkSession.sparkContext.broadcast(membership(seats.select("cid").distinct()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,4 +392,6 @@ def _verified(seats: DataFrame, rows: DataFrame, level, n: int, percent: int) ->
 
     whole = rows.select("text").mapInArrow(sets, "cid long, tokens binary").dropDuplicates(["cid"])  # each task gives a class once
     seated = seats.join(whole, "cid").select("hub", "part", "cid", "label", "tokens")
-    return seated.repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(walk, "a long, b long")
+    # Few bytes can be long walks: a fixed number of tasks, which adaptive execution does not join.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return seated.repartition(parts, "hub", "part").sortWithinPartitions("hub", "part").mapInArrow(walk, "a long, b long")
