@@ -50,21 +50,58 @@ SENTENCES: dict[str, str] = {
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "ccbync-long",
     "this is free and unencumbered software released into the public domain": "unlicense-free",
     "all rights reserved": "reserved",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-asis",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liable",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-asis",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "zero-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-asis",
+    "gnu general public license": "gpl-title",
+    "gnu lesser general public license": "lgpl-title",
+    "gnu affero general public license": "agpl-title",
+    "mozilla public license version 2 0": "mpl2-title",
+    "version 3 29 june 2007": "gnu-version3",
+    "version 2 june 1991": "gnu-version2",
+    "version 3 19 november 2007": "gnu-agpl3",
+    "licensed under the gnu general public license version 2": "gpl2-notice",
+    "licensed under the gnu lesser general public license version 3": "lgpl3-notice",
+    "licensed under the gnu affero general public license version 3": "agpl3-notice",
+    "licensed under the bsd 3 clause license": "bsd3-notice",
+    "licensed under the bsd 2 clause license": "bsd2-notice",
+    "licensed under the isc license": "isc-notice",
 }
 #: Rules in order of precedence: identifiers that follow each other among the known sentences of a document, and the licence they name.
 RULES: tuple[tuple[tuple[str, ...], str], ...] = (
-    (("apache2-the", "apache2-comply"), "Apache-2.0"),
     (("apache2-title", "apache2-version"), "Apache-2.0"),
+    (("apache2-the", "apache2-comply", "apache2-copy", "apache2-asis", "apache2-see"), "Apache-2.0"),
+    (("apache2-the", "apache2-comply"), "Apache-2.0"),
+    (("apache2-asis", "apache2-see"), "Apache-2.0"),
     (("apache2-notice",), "Apache-2.0"),
+    (("mit-title", "mit-grant", "mit-keep", "mit-warranty", "mit-liable"), "MIT"),
+    (("mit-grant", "mit-keep", "mit-warranty", "mit-liable"), "MIT"),
     (("mit-grant", "mit-keep", "mit-warranty"), "MIT"),
     (("mit-title", "mit-grant"), "MIT"),
     (("mit-notice",), "MIT"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-asis"), "BSD-3-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"), "BSD-3-Clause"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-asis"), "BSD-2-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
+    (("bsd3-notice",), "BSD-3-Clause"),
+    (("bsd2-notice",), "BSD-2-Clause"),
+    (("isc-grant", "isc-asis"), "ISC"),
     (("isc-grant",), "ISC"),
+    (("isc-notice",), "ISC"),
+    (("zero-grant", "isc-asis"), "0BSD"),
+    (("lgpl-title", "gnu-version3"), "LGPL-3.0-only"),
+    (("agpl-title", "gnu-agpl3"), "AGPL-3.0-only"),
+    (("gpl-title", "gnu-version3"), "GPL-3.0-only"),
+    (("gpl-title", "gnu-version2"), "GPL-2.0-only"),
+    (("agpl3-notice",), "AGPL-3.0-only"),
+    (("lgpl3-notice",), "LGPL-3.0-only"),
+    (("gpl2-notice",), "GPL-2.0-only"),
     (("gpl3-later", "gpl-warranty"), "GPL-3.0-or-later"),
     (("gpl2-later", "gpl-warranty"), "GPL-2.0-or-later"),
     (("gpl3-notice",), "GPL-3.0-only"),
+    (("mpl2-title",), "MPL-2.0"),
     (("mpl2-form",), "MPL-2.0"),
     (("mpl2-notice",), "MPL-2.0"),
     (("ccby-notice",), "CC-BY-4.0"),
@@ -85,8 +122,6 @@ TEXTS: dict[str, str] = {
 #: Rules after RULES.
 LAST_RULES: tuple[tuple[tuple[str, ...], str], ...] = ((("reserved",), "LicenseRef-All-Rights-Reserved"),)
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Sentences of the SQL: they end at line ends too.
-_BREAK = r"[\n\r]+|[.!?;:]+(?:[ \t]+|$)"
 #: A sentence end (. ! ? ; : before white space or the end) and a line end in a normalised text, and how it is made: (pattern, replacement) in order.
 _END, _LINE = "\x01", "\x02"
 _STEPS = (
@@ -131,29 +166,59 @@ def licence_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     sentence_ids: identifiers of the known sentences in order; licences: those
     that rules name, each once, in the order of rules; primary_licence: the
-    first. A rule fits where its identifiers follow each other in sentence_ids.
+    first. A rule fits where its identifiers follow each other in sentence_ids
+    and no rule before it has taken one of them; it takes them wherever they do.
 
-    Null and empty texts have no licence; repeated rows stay; a null id stays
-    null; other columns are ignored. A longer rule stands before those that it
-    contains, and rules do not exclude each other, so ties cannot arise. Empty
-    table: no rows.
+    Null and empty texts have no licence; texts of any length are read whole;
+    repeated rows stay; a null id stays null; other columns are ignored,
+    whatever their names. A longer rule stands before those that it contains,
+    so ties cannot arise. Empty table: no rows.
     """
     found = docs.select(F.col(id_col).alias("doc_id"), identifiers(F.col(text_col)).alias("sentence_ids")).filter(F.size("sentence_ids") > 0)
-    path = F.concat(F.lit("|"), F.array_join("sentence_ids", "|"), F.lit("|"))
-    named = F.array_distinct(F.array_compact(F.array(*(F.when(path.contains("|" + "|".join(ids) + "|"), F.lit(name)) for ids, name in RULES + LAST_RULES))))
+    rules = F.array(*(F.struct(F.lit(_path(ids)).alias("path"), F.lit(name).alias("name")) for ids, name in RULES + LAST_RULES))
+    none = F.array().cast("array<string>")
+    path = F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|"))
+    named = F.aggregate(
+        rules,
+        F.struct(path.alias("left"), none.alias("names")),
+        lambda at, rule: F.struct(
+            F.replace(at["left"], rule["path"], F.lit(_TAKEN)).alias("left"),
+            F.when(at["left"].contains(rule["path"]), F.concat(at["names"], F.array(rule["name"]))).otherwise(at["names"]).alias("names"),
+        ),
+        lambda at: F.array_distinct(at["names"]),
+    )
     return found.withColumn("licences", named).filter(F.size("licences") > 0).withColumn("primary_licence", F.element_at("licences", 1))
 
 
+#: Stands for identifiers that a rule has taken.
+_TAKEN = "#"
+
+
+def _path(ids: tuple[str, ...]) -> str:
+    return "".join(f"|{i}|" for i in ids)
+
+
 def _sql() -> str:
-    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
-    rules = ", ".join(f"({k}, '|{'|'.join(ids)}|', '{name}')" for k, (ids, name) in enumerate(RULES))
+    """Known sentences are looked for one by one in the text on one line, their places held against sentence and line ends; rules take turns."""
+    quoted = lambda s: "'" + s.replace(_END, "' || chr(1) || '") + "'"
+    known = ", ".join(f"({quoted(s)}, '{i}')" for s, i in _known().items())
+    rules = ", ".join(f"({k}, '{_path(ids)}', '{name}')" for k, (ids, name) in enumerate(RULES + LAST_RULES))
     return f"""
-WITH known(s, i) AS (VALUES {known}), rules(k, ids, name) AS (VALUES {rules}),
-x AS (SELECT doc_id, regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_SMALL}'), '{_BREAK}') AS a FROM documents),
-e AS (SELECT doc_id, generate_subscripts(a, 1) AS n, trim(regexp_replace(unnest(a), '[^a-z0-9]+', ' ', 'g')) AS s FROM x),
-f AS (SELECT doc_id, list(i ORDER BY n) AS sentence_ids FROM e JOIN known USING (s) GROUP BY doc_id),
-g AS (SELECT doc_id, any_value(sentence_ids) AS sentence_ids, name, min(k) AS k FROM f JOIN rules ON contains('|' || array_to_string(sentence_ids, '|') || '|', ids) GROUP BY doc_id, name)
-SELECT doc_id, any_value(sentence_ids) AS sentence_ids, list(name ORDER BY k) AS licences, arg_min(name, k) AS primary_licence FROM g GROUP BY doc_id
+WITH RECURSIVE known(s, i) AS (VALUES {known}), rules(k, ids, name) AS (VALUES {rules}),
+a AS (SELECT row_number() OVER () AS rid, doc_id, translate(translate(coalesce(text, ''), chr(1) || chr(2), '  '), '{_UPPER}', '{_SMALL}') AS t FROM documents),
+b AS (SELECT rid, doc_id, regexp_replace(regexp_replace(t, '[.!?;:]+([ \t\n\r]|$)', chr(1) || '\1', 'g'), '[^a-z0-9\n\r\x01]+', ' ', 'g') AS t FROM a),
+c AS (SELECT rid, doc_id, chr(1) || trim(regexp_replace(regexp_replace(t, ' *[\n\r][ \n\r]*', chr(2), 'g'), '[ \x02]*\x01[ \x01\x02]*', chr(1), 'g'), ' ') || chr(1) AS t FROM b),
+d AS (SELECT rid, doc_id, t, replace(t, chr(2), ' ') AS flat FROM c),
+o AS (SELECT rid, doc_id, t, i, length(s) AS n, string_split(flat, s) AS parts, unnest(range(1, len(string_split(flat, s)))) AS k FROM d JOIN known ON contains(flat, s)),
+p AS (SELECT rid, doc_id, t, i, n, 1 + list_sum(list_transform(parts[1:k], lambda x: length(x)))::BIGINT + (k - 1) * n AS pos FROM o),
+q AS (SELECT * FROM p WHERE substr(t, pos - 1, 1) IN (chr(1), chr(2)) AND substr(t, pos + n, 1) IN (chr(1), chr(2))),
+f AS (SELECT rid, doc_id, list(i ORDER BY pos) AS sentence_ids FROM q WHERE NOT EXISTS (
+        SELECT 1 FROM q AS z WHERE z.rid = q.rid AND z.pos < q.pos + q.n AND q.pos < z.pos + z.n AND (z.pos < q.pos OR z.pos = q.pos AND z.n > q.n)) GROUP BY rid, doc_id),
+r AS (SELECT rid, doc_id, sentence_ids, 0 AS k, '|' || array_to_string(sentence_ids, '||') || '|' AS path, []::VARCHAR[] AS names FROM f
+      UNION ALL
+      SELECT rid, doc_id, sentence_ids, r.k + 1, replace(path, rules.ids, '{_TAKEN}'),
+        CASE WHEN contains(path, rules.ids) AND NOT list_contains(names, name) THEN list_append(names, name) ELSE names END FROM r JOIN rules ON rules.k = r.k)
+SELECT doc_id, sentence_ids, names AS licences, names[1] AS primary_licence FROM r WHERE k = {len(RULES + LAST_RULES)} AND len(names) > 0
 """
 
 
