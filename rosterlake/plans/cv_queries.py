@@ -31,8 +31,8 @@ def date_range_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", cv.in_date_range(F.lit(""), stamp, "2024-01-10", "2024-01-20T23:59:59", "either").alias("inside"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_id % 50 + event_id % 30 ELSE event_id % 100 END AS input_tokens,
-  CASE WHEN event_id % 4 <> 0 AND event_id % 100 > 0 AND event_id % 50 + event_id % 30 > event_id % 100 THEN 'inconsistent' WHEN event_id % 7 = 0 THEN 'missing' ELSE 'complete' END AS state FROM (SELECT * FROM events WHERE event_id % 100 > 0)""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 OR event_id % 100 = 0 THEN event_id % 50 + event_id % 30 ELSE event_id % 100 END AS input_tokens,
+  CASE WHEN event_id % 4 <> 0 AND event_id % 100 > 0 AND event_id % 50 + event_id % 30 > event_id % 100 THEN 'inconsistent' WHEN event_id % 7 = 0 THEN 'missing' ELSE 'complete' END AS state FROM events""")
 def usage_counters_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     c = cv.usage_counters([F.when(k % 4 != 0, k % 100), F.lit(0).cast("bigint")], [F.when(k % 7 != 0, k)], [k % 50], [k % 30])

@@ -90,7 +90,7 @@ def section_lines_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.sections(table(spark, sf_dir, "documents"), "doc_id", "text", {"is.": "nice", "the.": "nice", "of.": "noise", "be.": "core"})
 
 
-@query("""SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(substr(text, 1, 400)), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ('the', 'of', 'and'))) AS x FROM documents""".replace("list_distinct(", "list_sort(list_distinct(").replace(") AS x", ")) AS x"))
+@query("""SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ('the', 'of', 'and'))) AS x FROM documents""".replace("list_distinct(", "list_sort(list_distinct(").replace(") AS x", ")) AS x"))
 def token_sets_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(text.tokens(F.col("text"), ["the", "of", "and"])).alias("x"))
 
