@@ -59,12 +59,15 @@ def languages(text: Column, evidence: Column | None = None, names: dict[str, tup
 
 
 def section_lines(text: Column, start: str, stop: str) -> Column:
-    """Lines after the first heading that fits `start` up to one that fits `stop` (both regular expressions of a whole line); null without a start."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), F.trim)
-    numbered = F.transform(lines, lambda l, i: F.struct(i.alias("i"), l.alias("l")))
-    first = F.array_min(F.transform(F.filter(numbered, lambda x: x["l"].rlike(f"^(?:{start})$")), lambda x: x["i"]))
-    last = F.coalesce(F.array_min(F.transform(F.filter(numbered, lambda x: (x["i"] > first) & x["l"].rlike(f"^(?:{stop})$")), lambda x: x["i"])), F.size(lines))
-    return F.when(first.isNotNull(), F.slice(lines, first + 2, F.greatest(last - first - 1, F.lit(0))))
+    """Lines after the first heading that fits `start` up to one that fits `stop` (both regular expressions of a whole line); null without a start.
+
+    The text is cut by three matches, each over the text once, so the work is in proportion to its length.
+    """
+    t = F.concat(F.lit("\n"), F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n", "\n"), r"(?m)^[ ]+|[ ]+$", ""))
+    after = F.regexp_replace(t, rf"\A(?s:.*?)\n(?:{start})(?=\n|\z)", "")
+    inside = F.regexp_replace(after, rf"\n(?:{stop})(?=\n|\z)(?s:.*)", "")
+    lines = F.when(inside == "", F.array().cast("array<string>")).otherwise(F.split(F.substr(inside, F.lit(2)), "\n"))
+    return F.when(t.rlike(rf"\n(?:{start})(?=\n|\z)"), lines)
 
 
 def bullet_count(lines: Column) -> Column:

@@ -14,7 +14,7 @@ from .web import canonical_url, url_host, url_path
 
 @dataclass(frozen=True)
 class SiteRule:
-    """What a job's own page looks like on hosts that hold one of `hosts`: the path fits `path` or the query `query`, and the path not `never`."""
+    """What a job's own page looks like on hosts that hold one of `hosts`: the query fits `query`, or the path `path` and not `never`."""
 
     hosts: tuple[str, ...]
     path: str = "(?!)"
@@ -24,12 +24,14 @@ class SiteRule:
 
 #: Sites and the shape of their job pages.
 SITES: tuple[SiteRule, ...] = (
-    SiteRule(("linkedin.com",), path=r"/jobs/view"),
+    SiteRule(("google.",), path=r"^/about/careers/applications/jobs/results/\d+"),
+    SiteRule(("linkedin.com",), path=r"/jobs/view", query=r"(^|&)currentjobid=\d+"),
     SiteRule(("jobstreet", "jobsdb"), path=r"^/.{8,}$", query=r"(^|&)job[_-]?id=\d+", never=r"^/(companies|my-activity|profile|sign-in|login|register|account|saved-jobs|saved|applied-jobs|applied|applications)(/|$)|/(jobs|job-search)/|-jobs(/|$)"),
-    SiteRule(("indeed",), path=r"/viewjob"),
+    SiteRule(("indeed",), path=r"/viewjob", query=r"(^|&)jk=[0-9a-z]+"),
     SiteRule(("glassdoor",), path=r"job-listing", query=r"jl="),
     SiteRule(("mycareersfuture",), path=r"/job/"),
     SiteRule(("monster", "foundit"), path=r"/job/", query=r"jobid"),
+    SiteRule(("hiredly.", "kalibrr."), path=r"/jobs/[^/]{3,}|/c/[^/]+/jobs/\d+"),
     SiteRule(("greenhouse.io", "lever.co", "ashbyhq.com", "workdayjobs.com", "smartrecruiters.com", "bamboohr.com", "icims.com", "jobvite.com", "workable.com", "recruitee.com", "teamtailor.com", "personio.com"), path=r"^/.{9,}", never=r"/(jobs|careers|search|openings)/?$"),
 )
 _GENERIC = SiteRule((), path=r"/(?:job|vacancy|position|opening|role)/[^/]*[a-z0-9]|/(?:jobs|careers?|vacancies|positions|openings|roles)/[^/]+/[^/]|/(?:jobs|careers?|vacancies|positions|openings|roles)/[^/]{5,}$", query=r"(jobid|job_id|job=|reqid|req_id|requisition|gh_jid|currentjobid)=", never=r"/(jobs?|careers?|vacancies|positions|openings|search|listings?)/?$")
@@ -44,14 +46,14 @@ def url_query(url: Column) -> Column:
 def is_job_page(url: Column, sites: Sequence[SiteRule] = SITES) -> Column:
     """Whether a url is one job's own page, not a search, list, account or article page. The first rule of its host decides."""
     host, path, query = url_host(url), F.lower(url_path(url)), F.lower(url_query(url))
-    fits = lambda r: ~path.rlike(r.never) & (path.rlike(r.path) | query.rlike(r.query))
+    fits = lambda r: query.rlike(r.query) | (~path.rlike(r.never) & path.rlike(r.path))
     out = fits(_GENERIC)
     for rule in reversed(sites):
         here = F.lit(False)
         for h in rule.hosts:
             here = here | host.contains(h)
         out = F.when(here, fits(rule)).otherwise(out)
-    return F.when((host == "") | path.isin("", "/") | host.rlike(r"(^|\.)(google\.[a-z.]+|bing\.com|yahoo\.com|duckduckgo\.com)$"), F.lit(False)).otherwise(out)
+    return F.when((host == "") | path.isin("", "/") | host.rlike(r"(^|\.)(bing\.com|yahoo\.com|duckduckgo\.com)$"), F.lit(False)).otherwise(out)
 
 
 def is_editorial(url: Column, markers: Sequence[str] = EDITORIAL) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,11 +21,19 @@ def blanks_first(key: str, then: Sequence[str] = ()) -> list[Column]:
     return [(c.isNotNull() & (F.trim(c.cast("string")) != "")).asc(), c.asc_nulls_first(), *map(F.col, then)]
 
 
+#: Letters with marks that no table of marks takes off, and what they are without.
+_PLAIN = {"ø": "o", "ł": "l", "đ": "d", "ħ": "h", "ŧ": "t", "ı": "i"}
+
+
 def natural_key(text: Column) -> Column:
-    """Case- and accent-insensitive key in which 9 is before 10: digit runs are padded to 12."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    padded = F.regexp_replace(plain, r"(\d+)", "000000000000$1")
-    return F.regexp_replace(padded, r"0*(\d{12})(?!\d)", "$1")
+    """Case- and accent-insensitive key in which 9 is before 10, for numbers of any length: each has the number of its digits before it."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    accented = "".join(chr(c) for c in range(0xC0, 0x250) if unicodedata.decomposition(chr(c)) and not unicodedata.decomposition(chr(c)).startswith("<") and chr(c).islower())
+    base = "".join(unicodedata.normalize("NFD", c)[0] for c in accented)
+    plain = F.translate(low, accented + "".join(_PLAIN), base + "".join(_PLAIN.values()))
+    parts = F.regexp_extract_all(plain, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    number = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(p)).cast("string"), 5, "0"), number(p))).otherwise(p)), "")
 
 
 def round_robin(rows: DataFrame, group: str, order: list[str], n: int) -> DataFrame:

@@ -5,8 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cv, vectorised
-from .catalog import query, table
+from ..functions import cv, dates, vectorised
+from .catalog import query, table, values
+
+#: Date ranges as they are written, and in the house style.
+DATE_RANGES: tuple[tuple[str, str], ...] = (
+    ("1 Dec - 31 Jan 2026", "Dec to Jan 2026"),
+    ("Dec 1 - Jan 31, 2026", "Dec to Jan 2026"),
+    ("1 December - 31 January, 2026", "Dec to Jan 2026"),
+    ("Dec - Jan 2026", "Dec to Jan 2026"),
+    ("1 Dec 2025 - 31 Jan 2026", "Dec 2025 to Jan 2026"),
+    ("December 1, 2025 - January 31, 2026", "Dec 2025 to Jan 2026"),
+    ("1\u00a0March\u00a02021 - Present", "Mar 2021 to Present"),
+    ("March\u202f1, 2021 - Present", "Mar 2021 to Present"),
+    ("Apr 2022-11\u00a0Jul 2026", "Apr 2022 to Jul 2026"),
+    ("Jan 20 - Dec 21", "Jan 20 to Dec 21"),
+    ("May 21 to Jun 23", "May 21 to Jun 23"),
+    ("Sep 99 - May 01", "Sep 99 to May 01"),
+    ("Jan 20 to Dec 2021", "Jan 20 to Dec 2021"),
+    ("Jan 2020 to Dec 21", "Jan 2020 to Dec 21"),
+    ("Jan 20", "Jan 20"),
+    ("Jan '20 - Dec '21", "Jan '20 to Dec '21"),
+    ("20 Jan to 21 Dec", "20 Jan to 21 Dec"),
+    ("Jul 1 - Aug 31, 2026", "Jul 2026 to Aug 2026"),
+    ("1 Jul - 31 Aug 2026", "Jul 2026 to Aug 2026"),
+    ("1 Jul - 31 Aug, 2026", "Jul 2026 to Aug 2026"),
+    ("1 Jul. - 31 Aug., 2026", "Jul 2026 to Aug 2026"),
+    ("20 March, 2021 - Present", "Mar 2021 to Present"),
+    ("20 Mar., 2021 - Present", "Mar 2021 to Present"),
+    ("12 Jul\u201331 Aug 2026", "Jul 2026 to Aug 2026"),
+    ("Jul 1 to Aug 31, 2026", "Jul 2026 to Aug 2026"),
+    ("Jul. 1 - Aug. 31, 2026", "Jul 2026 to Aug 2026"),
+    ("July 1st \u2014 August 31st, 2026", "Jul 2026 to Aug 2026"),
+    ("Apr 2022\u201311 Jul 2026", "Apr 2022 to Jul 2026"),
+    ("Apr 2022-11 Jul 2026", "Apr 2022 to Jul 2026"),
+    ("31 Aug 2026 - Present", "Aug 2026 to Present"),
+    ("Jul 11, 2026", "Jul 2026"),
+    ("Jun 5 2019", "Jun 2019"),
+    ("1st Mar 2020 - 15th Jun 2021", "Mar 2020 to Jun 2021"),
+    ("May 2018 - Dec 2020", "May 2018 to Dec 2020"),
+    ("2020-06 to 2025-07", "Jun 2020 to Jul 2025"),
+    ("2020-06-15", "Jun 2020"),
+    ("2019-12", "Dec 2019"),
+    ("2020-06-15 - 2025-07-11", "Jun 2020 to Jul 2025"),
+    ("2020-06\nJun 2021", "Jun 2020 Jun 2021"),
+    ("06/2024", "Jun 2024"),
+    ("6/2020 - 7/2025", "Jun 2020 to Jul 2025"),
+    ("13/2024", "13/2024"),
+    ("to 2001", "2001"),
+    ("- 2001", "2001"),
+    ("\u2022 2001", "2001"),
+    ("to", ""),
+    ("", ""),
+    ("2018 - 2018", "2018"),
+    ("Jul - Dec 2019", "Jul 2019 to Dec 2019"),
+    ("2020 - Present", "2020 to Present"),
+    ("2020 - now", "2020 to Present"),
+    ("2020 - 2023", "2020 to 2023"),
+)
+
+
+@query(f"SELECT o_orderkey, v.want AS house FROM orders JOIN ({values('k, want', [(k, w) for k, (_, w) in enumerate(DATE_RANGES)])}) v ON o_orderkey % {len(DATE_RANGES)} = k")
+def date_ranges_house_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.array(*(F.lit(s) for s, _ in DATE_RANGES)), (F.col("o_orderkey") % len(DATE_RANGES) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.date_range(said).alias("house"))
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN ['English', 'Malay', 'Chinese'] WHEN 1 THEN ['German', 'Swahili'] ELSE []::VARCHAR[] END AS languages, CASE c_custkey % 3 WHEN 0 THEN ['Chinese'] ELSE []::VARCHAR[] END AS grounded FROM customer""")

@@ -107,7 +107,7 @@ def text_budget_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.within_budget(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"], F.col("n_chars"), 14_000).select("source", "doc_id", "running")
 
 
-@query("""SELECT c_custkey, lower(c_mktsegment) || lpad(c_custkey::VARCHAR, 12, '0') AS key FROM customer""")
+@query("""SELECT c_custkey, lower(c_mktsegment) || lpad(length(c_custkey::VARCHAR)::VARCHAR, 5, '0') || c_custkey AS key FROM customer""")
 def natural_sort_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", rank.natural_key(F.concat("c_mktsegment", F.col("c_custkey").cast("string"))).alias("key"))
 
