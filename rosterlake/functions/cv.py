@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dates import MONTHS, date_range, range_parts
 from .money import first_positive
+from .text import match_key, token_overlap, tokens
 
 #: Names of languages and what they are called besides.
 LANGUAGES: dict[str, tuple[str, ...]] = {
@@ -111,3 +113,45 @@ def currencies(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
     places = F.array_compact(F.array(*(F.when(t.rlike(p), F.struct(F.regexp_instr(t, F.lit(p)).alias("at"), F.lit(code).alias("code"))) for code, p in patterns)))
     return F.transform(F.array_sort(places), lambda x: x["code"])
+
+
+#: The least share of tokens by which two employers are the same.
+SAME_EMPLOYER = 0.67
+
+
+def employers_match(a: Column, b: Column) -> Column:
+    """Equal match keys, or at least SAME_EMPLOYER of the tokens shared."""
+    key = match_key(a)
+    return ((key != "") & (key == match_key(b))) | (token_overlap(tokens(a), tokens(b)) >= SAME_EMPLOYER)
+
+
+def distinct_employers(names: Column) -> Column:
+    """Employers in order, the first spelling of each match key."""
+    known = F.filter(F.transform(names, lambda n: F.trim(F.coalesce(n, F.lit("")))), lambda n: match_key(n) != "")
+    keys = F.transform(known, match_key)
+    return F.filter(known, lambda n, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1)
+
+
+def row_match_score(row: dict[str, Column], role: dict[str, Column]) -> Column:
+    """How well a table's row fits a role, by company (5, 3 or 1.5), title (3, 2 or 1) and dates (2.5, else 1 an end)."""
+
+    def part(a: Column, b: Column, equal: float, near: float, far: float) -> Column:
+        shared = token_overlap(tokens(a), tokens(b))
+        return F.when((match_key(a) != "") & (match_key(a) == match_key(b)), equal).when(shared >= 0.67, near).when(shared >= 0.34, far).otherwise(0.0)
+
+    x, y = (F.lower(date_range(d["dates"])) for d in (row, role))
+    one = lambda a, b: F.when((a != "") & (a == b), 1.0).otherwise(0.0)
+    ends = F.when((x != "") & (x == y), 2.5).otherwise(sum((one(a, b) for a, b in zip(range_parts(x), range_parts(y), strict=True)), F.lit(0.0)))
+    return part(row["company"], role["company"], 5.0, 3.0, 1.5) + part(row["title"], role["title"], 3.0, 2.0, 1.0) + ends
+
+
+def employment_label(joined: Column, left: Column, current: Column, shown: Column) -> Column:
+    """`Jan 2020 to Present` of ISO months or years; without a start whether it was not shown or not asked for."""
+    month = F.array(*(F.lit(m.title()) for m in MONTHS))
+
+    def label(c: Column) -> Column:
+        t = F.coalesce(c, F.lit(""))
+        return F.when(F.length(t) > 4, F.concat(F.try_element_at(month, F.substring(t, 6, 2).try_cast("int")), F.lit(" "), F.substring(t, 1, 4))).otherwise(t)
+
+    tail = F.when(current, " to Present").when(~current, F.concat(F.lit(" to "), label(left))).otherwise("")
+    return F.when(label(joined) != "", F.concat(label(joined), tail)).when(shown == "not_shown", "Not confirmed").otherwise("Not checked")
