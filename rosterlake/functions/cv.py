@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .dates import MONTHS, date_range, range_parts
 from .money import first_positive
-from .text import match_key, token_overlap, tokens
+from .text import let, match_key, token_overlap, tokens
 
 #: Names of languages and what they are called besides.
 LANGUAGES: dict[str, tuple[str, ...]] = {
@@ -66,10 +66,10 @@ def section_lines(text: Column, start: str, stop: str) -> Column:
     The text is cut by three matches, each over the text once, so the work is in proportion to its length.
     """
     t = F.concat(F.lit("\n"), F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n", "\n"), r"(?m)^[ ]+|[ ]+$", ""))
-    after = F.regexp_replace(t, rf"\A(?s:.*?)\n(?:{start})(?=\n|\z)", "")
-    inside = F.regexp_replace(after, rf"\n(?:{stop})(?=\n|\z)(?s:.*)", "")
-    lines = F.when(inside == "", F.array().cast("array<string>")).otherwise(F.split(F.substr(inside, F.lit(2)), "\n"))
-    return F.when(t.rlike(rf"\n(?:{start})(?=\n|\z)"), lines)
+    after = lambda x: F.regexp_replace(x, rf"\A(?s:.*?)\n(?:{start})(?=\n|\z)", "")
+    inside = lambda x: F.regexp_replace(after(x), rf"\n(?:{stop})(?=\n|\z)(?s:.*)", "")
+    lines = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(F.substr(x, F.lit(2)), "\n"))
+    return let(t, lambda x: F.when(x.rlike(rf"\n(?:{start})(?=\n|\z)"), let(inside(x), lines)))
 
 
 def bullet_count(lines: Column) -> Column:
@@ -139,9 +139,12 @@ def row_match_score(row: dict[str, Column], role: dict[str, Column]) -> Column:
         shared = token_overlap(tokens(a), tokens(b))
         return F.when((match_key(a) != "") & (match_key(a) == match_key(b)), equal).when(shared >= 0.67, near).when(shared >= 0.34, far).otherwise(0.0)
 
-    x, y = (F.lower(date_range(d["dates"])) for d in (row, role))
     one = lambda a, b: F.when((a != "") & (a == b), 1.0).otherwise(0.0)
-    ends = F.when((x != "") & (x == y), 2.5).otherwise(sum((one(a, b) for a, b in zip(range_parts(x), range_parts(y), strict=True)), F.lit(0.0)))
+
+    def dated(x: Column, y: Column) -> Column:
+        return F.when((x != "") & (x == y), 2.5).otherwise(sum((one(a, b) for a, b in zip(range_parts(x), range_parts(y), strict=True)), F.lit(0.0)))
+
+    ends = let(F.struct(*(F.lower(date_range(d["dates"])).alias(n) for n, d in (("x", row), ("y", role)))), lambda p: dated(p["x"], p["y"]))
     return part(row["company"], role["company"], 5.0, 3.0, 1.5) + part(row["title"], role["title"], 3.0, 2.0, 1.0) + ends
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import company_name, squeezed, tokens
+from .text import company_name, let, squeezed, tokens
 from .web import canonical_url, url_host, url_path
 
 
@@ -141,3 +141,33 @@ def lead_reviewable(company: Column, role: Column, url: Column, bad_companies: S
     for w in role_words:
         named = named | r.contains(w)
     return F.coalesce((c != "") & ~c.isin(*bad_companies) & named & F.lower(url).rlike(r"^https?://"), F.lit(False))
+
+
+#: Parts of hosts of portals and of application systems, second levels of domains, words that end or are no company.
+PORTALS = ("linkedin", "jobstreet", "indeed", "glassdoor", "foundit", "monster", "hiredly", "jobsdb", "mycareersfuture", "kalibrr", "google")
+SYSTEMS = ("jobs", "careers", "workdayjobs", "myworkdayjobs", "greenhouse", "lever", "ashbyhq", "smartrecruiters")
+SECOND_LEVELS = ("com", "co", "net", "org")
+JOB_WORDS = ("job", "jobs", "career", "careers", "vacancy", "vacancies", "recruitment")
+NO_COMPANY = ("jobs", "job", "careers", "career", "malaysia", "singapore", "remote", "hiring", "linkedin", "jobstreet", "indeed", "search", "source")
+
+
+def company_of_host(url: Column) -> Column:
+    """The company that a url's host is named for; empty for portals and application systems."""
+    host = url_host(url)
+    parts = F.split(F.regexp_replace(host, r"^www\.", ""), r"\.")
+    from_end = lambda k: F.try_element_at(parts, F.lit(-k))
+    base = F.when((F.size(parts) >= 3) & from_end(2).isin(*SECOND_LEVELS), from_end(3)).when(F.size(parts) >= 2, from_end(2)).otherwise(from_end(1))
+    named = F.trim(F.regexp_replace(base, "[-_]+", " "))
+    return F.when((host == "") | host.rlike("|".join(PORTALS)) | (named == "") | named.isin(*SYSTEMS), "").otherwise(F.initcap(named))
+
+
+def guessed_company(text: Column, most: int = 90) -> Column:
+    """A company's name out of a title: without what follows words of hiring, jobs and portals, a doubled name once; empty if none is left."""
+    strip = lambda c: F.regexp_replace(c, r"^[ \-|,•:]+|[ \-|,•:]+$", "")
+    t = strip(squeezed(text))
+    ends = [w for w in PORTALS if w != "google"] + ["serpapi", "tavily"]
+    for tail in (r"\b(?:is\s+)?hiring\b.*$", r"\bis\s*$", rf"\b(?:{'|'.join(JOB_WORDS)})\b.*$", rf"\b(?:{'|'.join(ends)})\b.*$"):
+        t = strip(F.regexp_replace(t, f"(?i){tail}", ""))
+    t = F.regexp_replace(t, r"(?i)^(.+) \1$", "$1")
+    t = strip(F.regexp_replace(t, r"(?i)^(\S+) (?=\1(?: |$))", ""))
+    return let(strip(F.substring(t, 1, most)), lambda x: F.when(F.lower(x).isin(*NO_COMPANY) | (F.length(x) < 2), "").otherwise(x))

@@ -109,3 +109,46 @@ def current_people(rows: DataFrame) -> DataFrame:
     rest = [c for c in rows.columns if c != "scanned_at"]
     newest = rows.groupBy(key.alias("key")).agg(F.max(F.struct("scanned_at", *rest)).alias("x"), F.count("*").alias("ads"))
     return newest.select("key", "x.*", "ads")
+
+
+#: Words of addresses, which no name holds, and words of languages and education, which no fit counts.
+ADDRESS_WORDS = (
+    "avenue", "ave", "street", "st", "road", "rd", "lane", "ln", "drive", "dr", "boulevard", "blvd", "highway", "jalan", "jln", "lorong", "lrg", "taman", "kampung", "kampong", "kg", "bandar", "persiaran", "lebuh", "lebuhraya",
+    "block", "blok", "suite", "unit", "floor", "tingkat", "apartment", "apt", "residency", "residence", "condominium", "postcode", "poskod", "malaysia", "singapore", "indonesia", "brunei", "thailand", "vietnam", "philippines",
+    "selangor", "kuala lumpur", "putrajaya", "cyberjaya", "petaling", "subang", "shah alam", "klang", "johor", "penang", "perak", "kedah", "kelantan", "terengganu", "pahang", "melaka", "negeri sembilan", "sarawak", "sabah", "labuan",
+    "bangi", "cheras", "ampang", "kajang", "seremban",
+)
+UNCOUNTED = (
+    "language", "languages", "linguistic", "fluent", "fluency", "spoken", "written", "bilingual", "multilingual", "english", "mandarin", "chinese", "cantonese", "hokkien", "hakka", "teochew", "malay", "bahasa", "japanese", "korean",
+    "thai", "vietnamese", "tagalog", "filipino", "indonesian", "degree", "diploma", "bachelor", "master", "masters", "phd", "doctorate", "university", "college", "education", "academic", "cgpa", "gpa", "spm", "stpm",
+)
+
+
+def _whole_word(text: Column, words: tuple[str, ...]) -> Column:
+    return text.rlike(r"(?i)\b(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + r")\b")
+
+
+def is_place_line(name: Column) -> Column:
+    """Whether a name field holds an address or contact line: an at sign, a digit or a word of addresses."""
+    t = F.trim(F.coalesce(name, F.lit("")))
+    return (t != "") & (t.rlike(r"[@0-9]") | _whole_word(t, ADDRESS_WORDS))
+
+
+def is_person_name(line: Column) -> Column:
+    """Whether a line can be a person's name: two to six words of letters, no comma, nothing of an address."""
+    t = F.regexp_replace(F.trim(F.coalesce(line, F.lit(""))), r"^[\s,]+|[\s,]+$", "")
+    return t.rlike(r"^[A-Za-z][A-Za-z'.\-/]*(?:\s+[A-Za-z][A-Za-z'.\-/]*){1,5}$") & ~is_place_line(t)
+
+
+def uncounted_term(term: Column) -> Column:
+    """Whether a term is about languages or education, or blank."""
+    t = F.trim(F.coalesce(term, F.lit("")))
+    return (t == "") | _whole_word(t, UNCOUNTED)
+
+
+def evidence_text(resume: Column, profile: Column, first: int = 14_000, most: int = 20_000) -> Column:
+    """The resume's beginning, then as much of the profile as is left of `most` characters; white space squeezed."""
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    head, rest = F.substring(flat(resume), 1, first), flat(profile)
+    room = F.greatest(F.lit(most - 1) - F.length(head), F.lit(0))
+    return F.when(head == "", F.substring(rest, 1, most)).otherwise(F.trim(F.concat(head, F.lit(" "), F.substr(rest, F.lit(1), room))))

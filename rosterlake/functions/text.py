@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 LEGAL_FORMS = ("sdn", "bhd", "pte", "ltd", "limited", "inc", "llc", "plc", "corp", "corporation", "company", "co", "group", "holdings")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out once, however often `then` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 

@@ -7,13 +7,13 @@ check allows it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.text import company_name, jaccard
+from ..functions.text import companies_match, company_name, jaccard
 
 
 def _grams(name: Column, n: int = 4) -> Column:
@@ -155,3 +155,50 @@ def greedy_assignment(pairs: DataFrame, group: str, left: str, right: str, score
     kept = F.aggregate(ordered, start, lambda acc, x: F.when(F.exists(acc, lambda y: (y["l"] == x["l"]) | (y["r"] == x["r"])), acc).otherwise(F.concat(acc, F.array(x))))
     found = pairs.filter(F.col(score) >= least).groupBy(group).agg(kept.alias("kept")).select(group, F.explode("kept").alias("x"))
     return found.select(group, F.col("x.l").alias(left), F.col("x.r").alias(right), (-F.col("x.minus")).alias(score))
+
+
+def with_rules(scenarios: DataFrame, rules: DataFrame, rates: DataFrame) -> DataFrame:
+    """scenarios (country, tax_year, residency, reporting_currency, fx_override) with their rule (null where there is none) and exchange rate.
+
+    A rule is met by country and residency, case ignored, and year; what is
+    reported in is the rule's currency if nothing is said. rates: (base, quote,
+    rate, fresh); the rate is the override, 1 for one currency, else the fresh
+    one or, for want of that, the stale one; fx_source tells which.
+    """
+    low = lambda c: F.lower(F.trim(c))
+    r = rules.withColumns({"__c": low(F.col("country")), "__r": low(F.col("residency"))}).drop("country", "residency").withColumnRenamed("tax_year", "__y")
+    met = scenarios.join(r, (low(F.col("country")) == F.col("__c")) & (F.col("tax_year") == F.col("__y")) & (low(F.coalesce("residency", F.lit("Resident"))) == F.col("__r")), "left").drop("__c", "__r", "__y")
+    local, quote = F.upper(F.trim("currency")), F.upper(F.trim(F.coalesce(F.nullif("reporting_currency", F.lit("")), "currency")))
+    best = rates.groupBy(F.col("base").alias("__b"), F.col("quote").alias("__q")).agg(F.max(F.struct("fresh", "rate")).alias("__x"))
+    priced = met.withColumns({"currency": local, "reporting_currency": quote}).join(best, (F.col("currency") == F.col("__b")) & (F.col("reporting_currency") == F.col("__q")), "left")
+    rate = F.when(F.col("fx_override").isNotNull(), F.col("fx_override")).when(F.col("currency") == F.col("reporting_currency"), 1.0).otherwise(F.col("__x.rate"))
+    source = F.when(F.col("fx_override").isNotNull(), "manual override").when(F.col("currency") == F.col("reporting_currency"), "same").when(F.col("__x.fresh"), "fresh").when(F.col("__x").isNotNull(), "stale")
+    return priced.withColumns({"fx_rate": rate, "fx_source": source}).drop("__b", "__q", "__x")
+
+
+def contact_matches(people: DataFrame, contacts: DataFrame, person_id: str, contact_id: str, score: Callable[[Column, Column, Column], Column], best: int = 10) -> DataFrame:
+    """(person, contact, score, company_matches): contacts with a person's name, the best first, at most `best` a person (the operator's own limit).
+
+    people and contacts: (id, name, company). They meet by a word of the name:
+    the person's first or last of three letters at least. score(name, name,
+    same company) is null for no match; one company gives 5 more, up to 100.
+    """
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3)
+    ends = F.array_compact(F.array_distinct(F.array(F.try_element_at(words("name"), F.lit(1)), F.try_element_at(words("name"), F.lit(-1)))))
+    p = people.select(F.col(person_id).alias("__p"), F.col("name").alias("__pn"), F.col("company").alias("__pc"), F.explode(ends).alias("__w"))
+    c = contacts.select(F.col(contact_id).alias("__c"), "name", "company", F.explode(F.array_distinct(words("name"))).alias("__w"))
+    pairs = p.join(c, "__w").drop("__w").distinct().withColumn("company_matches", companies_match(F.col("__pc"), F.col("company")))
+    found = pairs.withColumn("score", score(F.col("__pn"), F.col("name"), F.col("company_matches"))).filter("score is not null")
+    found = found.withColumn("score", F.least(F.col("score") + F.when(F.col("company_matches"), 5).otherwise(0), F.lit(100)))
+    w = Window.partitionBy("__p").orderBy(F.col("score").desc(), F.col("company_matches").desc(), F.lower("name"), "__c")
+    return found.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= best).select(F.col("__p").alias(person_id), F.col("__c").alias(contact_id), "score", "company_matches")
+
+
+def observed_people(picks: DataFrame, cards: DataFrame, generic: Sequence[str], most: int = 24) -> DataFrame:
+    """cards (id, url, name, title, company, text) that were picked (pick, id, title), with evidence: the company's first own word and the title stand in the card's text. One of each url, the first pick of it; of the first `most` picks (the operator's own limit)."""
+    first = F.try_element_at(F.filter(F.split(F.lower("company"), "[^a-z0-9]+"), lambda w: (F.length(w) > 1) & ~w.isin(*generic)), F.lit(1))
+    p = picks.orderBy("pick").limit(most).select("pick", "id", F.col("title").alias("__said"))
+    met = p.join(cards, "id").withColumns({"title": F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.trim("__said")), "__first": first})
+    shown = met.filter((F.col("title") != "") & F.lower("text").contains(F.lower("title")) & F.array_contains(F.split(F.lower("text"), "[^a-z0-9_]+"), F.col("__first")))
+    w = Window.partitionBy("url").orderBy("pick")
+    return shown.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "__said", "__first")
