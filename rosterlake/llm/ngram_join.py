@@ -142,14 +142,14 @@ def linked(sets: list[np.ndarray], percent: int, first: int = 0, known: list[int
     return links
 
 
-def ngram_components(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", bundle: int = BUNDLE) -> DataFrame:
+def ngram_components(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", bundle: int = BUNDLE, bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs`.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their
     distinct n-word shingles (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; a
     text of fewer words is one shingle). component_id is the least doc_id that
     links reach, itself included. Shingles are compared by 64-bit hashes, whole
-    sets by their 64-bit class digests.
+    sets by 128-bit digests (bits: how many of their first half are used).
 
     Null and empty texts, and texts without words: n_shingles 0, linked with
     nothing. Repeated rows stay, each with its component. A null doc_id never is
@@ -168,27 +168,31 @@ def ngram_components(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col:
         counts = np.zeros(slots, dtype=np.uint32)
         seen: set[int] = set()
         mask = np.uint64(slots - 1)
-        names = ["doc_id", "n", "cid", "piece", "packed"]
+        names = ["doc_id", "n", "cid", "chk", "piece", "packed"]
         for batch in batches:
-            size, cid = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            size, cid, chk = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             for r, s in K.distinct_sets(batch.column(1), n):
                 size[r] = len(s)
                 if len(s):
-                    cid[r] = K.digest(s)[0]
+                    cid[r], chk[r] = _halves(s, bits)
                     if cid[r] not in seen:
                         seen.add(int(cid[r]))
                         np.add.at(counts, (s & mask).astype(np.int64), np.uint32(1))
             blank = pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(cid, mask=size == 0), blank, pa.nulls(batch.num_rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(cid, mask=size == 0), pa.array(chk, mask=size == 0), blank, pa.nulls(batch.num_rows, pa.binary())], names)
         k, packed = sketch_rows(counts)
         none = pa.nulls(len(k), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(k, pa.int32()), pa.array(packed, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(k, pa.int32()), pa.array(packed, pa.binary())], names)
 
     with Scratch(spark) as scratch:
-        prep = scratch.keep(rows.mapInArrow(first_pass, "doc_id long, n long, cid long, piece int, packed binary"), "prep")
+        prep = scratch.keep(rows.mapInArrow(first_pass, "doc_id long, n long, cid long, chk long, piece int, packed binary"), "prep")
         level = spark.sparkContext.broadcast(merged_sketch(prep.filter("piece is not null"), slots, _levels))
-        own = prep.filter("piece is null").select("doc_id", "n", "cid")
-        links = _class_links(rows, level, scratch, n, percent, bundle)
+        own = prep.filter("piece is null").select("doc_id", "n", "cid", "chk")
+        # Different sets of one cid: of m sets m * m / 2**65 are to be expected, so some hundreds of 10**11. They are classes by the digest's other half.
+        met = own.filter("cid is not null").groupBy("cid").agg(F.min("chk").alias("a"), F.max("chk").alias("b")).filter("a <> b").select("cid")
+        twins = frozenset(r.cid for r in met.toLocalIterator())
+        own = own.select("doc_id", "n", (F.when(F.col("cid").isin(*twins), F.col("chk")).otherwise(F.col("cid")) if twins else F.col("cid")).alias("cid"))
+        links = _class_links(rows, level, scratch, n, percent, bundle, (twins, bits))
         roots = components(links)
         classes = own.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
         joined = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "rep", "copies", F.coalesce("root", "cid").alias("root"), F.col("root").isNotNull().alias("linked"))
@@ -200,7 +204,19 @@ def ngram_components(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col:
         return settle(out)
 
 
-def _class_links(rows: DataFrame, level, scratch: Scratch, n: int, percent: int, bundle: int) -> DataFrame:
+def _halves(tokens: np.ndarray, bits: int) -> tuple[int, int]:
+    """The halves of the digest of a set, of the first one the upper bits."""
+    first, second = K.digest(tokens)
+    return first >> (64 - bits), second
+
+
+def _class(tokens: np.ndarray, twins: frozenset[int], bits: int) -> int:
+    """What names the class of equal sets: the digest's first half, or where that is not one set's alone its second."""
+    first, second = _halves(tokens, bits)
+    return second if first in twins else first
+
+
+def _class_links(rows: DataFrame, level, scratch: Scratch, n: int, percent: int, bundle: int, naming: tuple[frozenset[int], int]) -> DataFrame:
     """(a, b) links between classes with the same components as all links."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +226,7 @@ def _class_links(rows: DataFrame, level, scratch: Scratch, n: int, percent: int,
             parts: list[tuple] = []
             for _, s in K.distinct_sets(batch.column(1), n):
                 if p := _prefix(len(s), percent):
-                    cid = K.digest(s)[0]
+                    cid = _class(s, *naming)
                     if cid not in seen:
                         seen.add(cid)
                         parts.append((_in_order(s, table)[:p].view(np.int64), cid, len(s)))
@@ -249,7 +265,7 @@ def _class_links(rows: DataFrame, level, scratch: Scratch, n: int, percent: int,
         yield found.taken()
 
     best = _possible(live.mapInArrow(partners, _MET), percent).groupBy("cid").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub")).select("hub", "cid")
-    one = scratch.keep(_verified(_paired(best, scratch, bundle), scratch, rows, level, n, percent), "one")
+    one = scratch.keep(_verified(_paired(best, scratch, bundle), scratch, rows, level, n, percent, naming), "one")
     roots = components(one)
     apart = live.join(roots, F.col("cid") == F.col("node"), "left").select("tok", "n", "cid", "pos", F.coalesce("root", "cid").alias("root"))
 
@@ -279,7 +295,7 @@ def _class_links(rows: DataFrame, level, scratch: Scratch, n: int, percent: int,
     pairs = _paired(_possible(met.filter("n1 > 0"), percent).select("hub", "cid"), scratch, bundle)
     seats = pairs.withColumn("part", -1 - F.col("part")).unionByName(_crowds(met.filter("n1 = 0").select("hub", "cid").distinct(), scratch))
     labelled = seats.join(roots, F.col("cid") == F.col("node"), "left").select("hub", "part", "cid", F.coalesce("root", "cid").alias("label"))
-    return one.union(_verified(labelled, scratch, rows, level, n, percent))
+    return one.union(_verified(labelled, scratch, rows, level, n, percent, naming))
 
 
 #: Pairs of classes that met under prefix tokens: how often, and the last positions where.
@@ -357,7 +373,7 @@ def _crowds(members: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFra
     return placed.select("hub", (F.least("i", "j") * F.col("b") + F.greatest("i", "j")).alias("part"), "cid")
 
 
-def _verified(seats: DataFrame, scratch: Scratch, rows: DataFrame, level, n: int, percent: int) -> DataFrame:
+def _verified(seats: DataFrame, scratch: Scratch, rows: DataFrame, level, n: int, percent: int, naming: tuple[frozenset[int], int]) -> DataFrame:
     """(a, b): links that span those among the classes of each bundle (hub, part); label, where there is one, is equal for linked classes."""
     known = "label" in seats.columns
     seats = scratch.settle(seats if known else seats.withColumn("label", F.col("cid")))
@@ -368,7 +384,7 @@ def _verified(seats: DataFrame, scratch: Scratch, rows: DataFrame, level, n: int
         for batch in batches:
             names, values = [], []
             for _, s in K.distinct_sets(batch.column(0), n):
-                if _prefix(len(s), percent) and (cid := K.digest(s)[0]) not in seen and classes.value[slot_of(np.array([cid]), len(classes.value))[0]]:
+                if _prefix(len(s), percent) and (cid := _class(s, *naming)) not in seen and classes.value[slot_of(np.array([cid]), len(classes.value))[0]]:
                     seen.add(cid)
                     names.append(cid)
                     values.append(_packed(s))

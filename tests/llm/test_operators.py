@@ -88,6 +88,13 @@ def test_ngram_components_on_documents(spark):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_classes_whose_digests_begin_alike_stay_apart(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).collect()]
+    got = ngram_components(spark.createDataFrame(rows * 2, "doc_id long, text string"), bits=3)
+    want = {k: (n, c) for k, n, c in brute_components(rows, 4, 85)}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
 def test_ngram_components_of_nothing(empty):
     assert ngram_components(empty).collect() == []
 
