@@ -65,10 +65,10 @@ DATE_RANGES: tuple[tuple[str, str], ...] = (
 )
 
 
-@query(f"SELECT o_orderkey, v.want AS house FROM orders JOIN ({values('k, want', [(k, w) for k, (_, w) in enumerate(DATE_RANGES)])}) v ON o_orderkey % {len(DATE_RANGES)} = k")
+@query(f"SELECT c_custkey, v.want AS house FROM customer JOIN ({values('k, want', [(k, w) for k, (_, w) in enumerate(DATE_RANGES)])}) v ON c_custkey % {len(DATE_RANGES)} = k")
 def date_ranges_house_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.element_at(F.array(*(F.lit(s) for s, _ in DATE_RANGES)), (F.col("o_orderkey") % len(DATE_RANGES) + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", dates.date_range(said).alias("house"))
+    said = F.element_at(F.array(*(F.lit(s) for s, _ in DATE_RANGES)), (F.col("c_custkey") % len(DATE_RANGES) + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", dates.date_range(said).alias("house"))
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN ['English', 'Malay', 'Chinese'] WHEN 1 THEN ['German', 'Swahili'] ELSE []::VARCHAR[] END AS languages, CASE c_custkey % 3 WHEN 0 THEN ['Chinese'] ELSE []::VARCHAR[] END AS grounded FROM customer""")
