@@ -43,16 +43,23 @@ def url_query(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
 
 
+def url_parts(url: Column) -> Column:
+    """struct(host, path, query), lower case."""
+    return F.struct(url_host(url).alias("host"), F.lower(url_path(url)).alias("path"), F.lower(url_query(url)).alias("query"))
+
+
 def is_job_page(url: Column, sites: Sequence[SiteRule] = SITES) -> Column:
     """Whether a url is one job's own page, not a search, list, account or article page. The first rule of its host decides."""
-    host, path, query = url_host(url), F.lower(url_path(url)), F.lower(url_query(url))
+    return let(url_parts(url), lambda p: parts_of_job_page(p, sites))
+
+
+def parts_of_job_page(parts: Column, sites: Sequence[SiteRule] = SITES) -> Column:
+    """is_job_page of url_parts."""
+    host, path, query = parts["host"], parts["path"], parts["query"]
     fits = lambda r: query.rlike(r.query) | (~path.rlike(r.never) & path.rlike(r.path))
     out = fits(_GENERIC)
     for rule in reversed(sites):
-        here = F.lit(False)
-        for h in rule.hosts:
-            here = here | host.contains(h)
-        out = F.when(here, fits(rule)).otherwise(out)
+        out = F.when(host.rlike("|".join(h.replace(".", r"\.") for h in rule.hosts)), fits(rule)).otherwise(out)
     return F.when((host == "") | path.isin("", "/") | host.rlike(r"(^|\.)(bing\.com|yahoo\.com|duckduckgo\.com)$"), F.lit(False)).otherwise(out)
 
 
