@@ -95,11 +95,11 @@ def sketch_rows(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
     return used.tolist(), [zlib.compress(pieces[k].tobytes(), 1) for k in used]
 
 
-def merged_sketch(partials: DataFrame, slots: int, finish: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """`finish` (counters to bytes) of the sum of partial sketches (piece int, packed binary): `slots` uint8.
+def merged_sketch(partials: DataFrame, slots: int, finish: Callable[[np.ndarray], np.ndarray], kind: type = np.uint8) -> np.ndarray:
+    """`finish` (counters to numbers of a kind) of the sum of partial sketches (piece int, packed binary): `slots` numbers.
 
-    The sum is distributed over the pieces and streams; only `slots` bytes, a
-    fixed number, reach the driver.
+    The sum is distributed over the pieces and streams; only `slots` numbers, a
+    fixed count, reach the driver.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +110,9 @@ def merged_sketch(partials: DataFrame, slots: int, finish: Callable[[np.ndarray]
                 total[k] = total[k] + part if k in total else part
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([finish(v).tobytes() for v in total.values()], pa.binary())], ["piece", "bytes"])
 
-    out = np.zeros((slots // _PIECE, _PIECE), dtype=np.uint8)
+    out = np.zeros((slots // _PIECE, _PIECE), dtype=kind)
     for row in partials.select("piece", "packed").repartition("piece").mapInArrow(add, "piece int, bytes binary").collect():
-        out[row.piece] = np.frombuffer(row.bytes, dtype=np.uint8)
+        out[row.piece] = np.frombuffer(row.bytes, dtype=kind)
     return out.reshape(-1)
 
 

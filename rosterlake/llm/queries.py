@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, url_filter
+from . import chat_format, lexical_search, license_scan, mixing, url_filter
+from .alignment import alignment_digests
 from .bpe import token_counts
 from .decontaminate import leaks
 from .language import language_predictions
@@ -80,6 +81,18 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.conversation_digests(chat_format.prefix_targets(chat_format.with_marked(_table(spark, sf_dir, "conversations"))))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -91,5 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_media_columns": op10_media_columns,
+    "op11_chat_format": op11_chat_format,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_lexical_search": op13_lexical_search,
 }
-ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op4_license_scan": license_scan.ORACLE_SQL, "op5_mix_sources": mixing.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op4_license_scan": license_scan.ORACLE_SQL, "op5_mix_sources": mixing.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL, "op11_chat_format": chat_format.ORACLE_SQL, "op13_lexical_search": lexical_search.ORACLE_SQL}
