@@ -10,13 +10,15 @@ parts met before are not encoded again.
 
 from __future__ import annotations
 
+import gc
+import hashlib
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,10 @@ from .bpe import _byte_letters, default_path
 from .common import settle, ship
 
 #: Parts, and stretches between spaces, that a task keeps, and the longest kept: bounds its memory.
-KEEP = 300_000
+KEEP = 500_000
 KEEP_CHARS = 64
+#: Text that is aligned at once: words that repeat in it are looked up once.
+RUN_BYTES = 2 << 20
 #: Pairs that are broadcast, 24 bytes each; rarer ones are joined by a shuffle.
 BROADCAST_PAIRS = 1 << 20
 #: Signs before which a letter may be cut off, where no piece holds a letter and the sign.
@@ -41,15 +45,15 @@ def piece_path() -> str:
 
 
 class Aligned(NamedTuple):
-    """Tokens, `a1,a2|b1;a3|b2,b3` of the groups, and the (a << 32 | b) of each link; n_a 0 where the bytes differ."""
+    """Tokens, `a1,a2|b1;a3|b2,b3` of the groups (ASCII), and the (a << 32 | b) of each link; n_a 0 where the bytes differ."""
 
     n_a: int
     n_b: int
-    groups: str
+    groups: bytes
     pairs: tuple[int, ...]
 
 
-_DIFFERS = Aligned(0, 0, "", ())
+_DIFFERS = Aligned(0, 0, b"", ())
 
 
 def refined(begin: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray | None:
@@ -83,21 +87,8 @@ class Aligner:
         odd = {x for p in pieces for x, y in zip(p, p[1:], strict=False) if y in _SIGNS and (x.isalpha() or x.isnumeric())}
         self.cut = re.compile(rf"(?<=[^\W\d_{re.escape(''.join(sorted(odd)))}])(?=[{re.escape(_SIGNS)}])")
         self.wide = re.compile(r"(?<=\S)(?= )")
-        self.keep = keep
-        self.parts: list[dict[str, Aligned]] = [{}, {}]
-        self.words: list[dict[str, Aligned]] = [{}, {}]
-
-    def _kept(self, memo: list[dict[str, Aligned]], key: str) -> Aligned | None:
-        found = memo[0].get(key)
-        if found is None and (found := memo[1].get(key)) is not None:
-            self._keep(memo, key, found)
-        return found
-
-    def _keep(self, memo: list[dict[str, Aligned]], key: str, value: Aligned) -> None:
-        if len(key) <= KEEP_CHARS:
-            if len(memo[0]) >= self.keep // 2:  # the older half goes
-                memo[1], memo[0] = memo[0], {}
-            memo[0][key] = value
+        self.said = [[b"%d%s" % (k, sign) for k in range(max(len(self.bytes_a), len(self.bytes_b)))] for sign in (b",", b"|", b";")]
+        self.parts, self.words = Kept(keep), Kept(keep // 2)
 
     def _tokens_a(self, text: str, raw: bytes) -> tuple[list[int], np.ndarray] | None:
         got = self.a.encode(text, add_special_tokens=False)
@@ -125,87 +116,128 @@ class Aligner:
         a, b = self._tokens_a(text, raw), self._tokens_b(text, raw)
         if a is None or b is None:
             return [self._alone(p) for p in parts]
-        out, at = [], 0
-        stop_a, stop_b = a[1].tolist(), b[1].tolist()
-        i = j = 0
-        for p in parts:
-            at += 1 + len(p.encode())
-            k, m = i + 1, j + 1  # the line end is a token of both
-            i, j = k, m
-            while i < len(stop_a) and stop_a[i] <= at:
-                i += 1
-            while j < len(stop_b) and stop_b[j] <= at:
-                j += 1
-            out.append(_matched(a[0][k:i], stop_a[k:i], b[0][m:j], stop_b[m:j]))
-        return out
+        size = [1 + len(p) for p in parts] if text.isascii() else [1 + len(p.encode()) for p in parts]
+        return self._matched(*a, *b, np.cumsum(size), 1)  # the line end before each part is a token of both
 
     def _alone(self, part: str) -> Aligned:
         raw = part.encode()
         a, b = self._tokens_a(part, raw), self._tokens_b("\n" + part, b"\n" + raw)
-        return _DIFFERS if a is None or b is None else _matched(a[0], a[1].tolist(), b[0][1:], (b[1][1:] - 1).tolist())
+        if a is None or b is None:
+            return _DIFFERS
+        return self._matched(*a, b[0][1:], b[1][1:] - 1, np.array([len(raw)]), 0)[0]
+
+    def _matched(self, a: list[int], end_a: np.ndarray, b: list[int], end_b: np.ndarray, stops: np.ndarray, skip: int) -> list[Aligned]:
+        """Groups and links of tokens that cover the same bytes, for each part up to its stop, without its first `skip` groups (of a token each)."""
+        shared = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        last_a, last_b = end_a == shared[group_a], end_b == shared[group_b]
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        sign = np.concatenate([last_a, 2 * last_b])[order].tolist()
+        ids = np.array([*a, *b], dtype=np.int64)
+        said = [self.said[k][x] for k, x in zip(sign, ids[order].tolist(), strict=True)]
+        links = (ids[: len(a)][last_a] << 32 | ids[len(a) :][last_b]).tolist()
+        n_a, n_b, n_groups = (np.searchsorted(e, stops, side="right").tolist() for e in (end_a, end_b, shared))
+        out, i, j, g = [], 0, 0, 0
+        for k, m, h in zip(n_a, n_b, n_groups, strict=True):
+            out.append(Aligned(k - i - skip, m - j - skip, b"".join(said[i + j + 2 * skip : k + m])[:-1], tuple(links[g + skip : h])))
+            i, j, g = k, m, h
+        return out
 
     def _missing(self, words: list[str]) -> dict[str, Aligned]:
         """Of stretches that follow a space."""
         cut = {w: self.cut.split(" " + w) for w in words}
-        known = {p: v for ps in cut.values() for p in ps if (v := self._kept(self.parts, p)) is not None}
-        new = list({p for ps in cut.values() for p in ps if p not in known})
-        odd = [p for p in new if p == " " or p[0] != " " and p[0].isspace() or p[1:2].isspace() or p[-1].isspace()]
-        known |= {p: self._alone(p) for p in odd}
-        clean = [p for p in new if p not in known]
+        known, new = self.parts.held({p for ps in cut.values() for p in ps})
+        odd = [p for p in new if p == " " or p[0].isspace() and (p[0] != " " or p[1].isspace()) or p[-1].isspace()]
+        made = {p: self._alone(p) for p in odd}
+        clean = [p for p in new if p not in made]
         for lo in range(0, len(clean), 512):
-            known |= dict(zip(clean[lo : lo + 512], self._align(clean[lo : lo + 512]), strict=True))
-        for p in new:
-            self._keep(self.parts, p, known[p])
-        out = {}
-        for w, ps in cut.items():
-            out[w] = _joined([known[p] for p in ps])
-            self._keep(self.words, w, out[w])
+            made |= dict(zip(clean[lo : lo + 512], self._align(clean[lo : lo + 512]), strict=True))
+        self.parts.keep(made)
+        known |= made
+        out = {w: known[ps[0]] if len(ps) == 1 else _joined([known[p] for p in ps]) for w, ps in cut.items()}
+        self.words.keep(out)
         return out
 
-    def many(self, texts: list[str | None]) -> list[tuple[Aligned, Counter]]:
-        """The alignment of each text (pairs left out), and its links counted by pair."""
+    def many(self, texts: list[str | None]) -> Run:
+        """The alignment of texts: each distinct stretch between spaces is looked up once, all else is counted in arrays."""
         split = [t.split(" ") if t else [] for t in texts]
-        split = [[p[1:] for p in self.wide.split(" " + t)] if t and any(not w or w[-1].isspace() for w in set(s)) else s for t, s in zip(texts, split, strict=True)]
-        counts = [Counter(s) for s in split]
-        known = {w: v for c in counts for w in c if (v := self._kept(self.words, w)) is not None}
-        known |= self._missing(list({w for c in counts for w in c if w not in known}))
-        return [self._whole(s, c, known) for s, c in zip(split, counts, strict=True)]
-
-    @staticmethod
-    def _whole(words: list[str], counts: Counter, known: dict[str, Aligned]) -> tuple[Aligned, Counter]:
-        links: Counter = Counter()
-        n_a = n_b = 0
-        for w, times in counts.items():
-            got = known[w]
-            if not got.n_a:
-                return _DIFFERS, Counter()
-            n_a += got.n_a * times
-            n_b += got.n_b * times
-            for pair in got.pairs:
-                links[pair] += times
-        return Aligned(n_a, n_b, ";".join([known[w].groups for w in words]), ()), links
+        place: dict[str, int] = {}
+        number = [[place.setdefault(w, len(place)) for w in s] for s in split]
+        wide = {k for w, k in place.items() if not w or w[-1].isspace()}
+        if wide:  # white space runs over the cuts of some
+            for k, ids in enumerate(number):
+                if not wide.isdisjoint(ids):
+                    number[k] = [place.setdefault(p[1:], len(place)) for p in self.wide.split(" " + texts[k])]
+        used = set().union(*number)
+        known, new = self.words.held({w for w, k in place.items() if k in used} if len(used) < len(place) else place.keys())
+        known |= self._missing(new)
+        of = [known.get(w, _DIFFERS) for w in place]
+
+        counts = np.fromiter(map(len, number), np.int64, len(number))
+        text_of = np.repeat(np.arange(len(texts)), counts)
+        word = np.fromiter((k for ids in number for k in ids), np.int64, len(text_of))
+        n_a, n_b = (np.fromiter((v[c] for v in of), np.int64, len(of)) for c in (0, 1))
+        whole = np.bincount(text_of, weights=n_a[word] == 0, minlength=len(texts)) == 0
+        total = lambda n: np.bincount(text_of, weights=n[word], minlength=len(texts)).astype(np.int64) * whole
+        groups = [v.groups for v in of]
+        said = [b";".join([groups[k] for k in ids]) if w else b"" for ids, w in zip(number, whole.tolist(), strict=True)]
+
+        links = np.fromiter((len(v.pairs) for v in of), np.int64, len(of))
+        code, pair = np.unique(np.fromiter((x for v in of for x in v.pairs), np.int64, int(links.sum())), return_inverse=True)
+        first = np.cumsum(links) - links
+        word, text_of = word[whole[text_of]], text_of[whole[text_of]]
+        n = links[word]
+        at = np.repeat(first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key, times = np.unique(np.repeat(text_of, n) * max(len(code), 1) + pair[at], return_counts=True)
+        row, which = key // max(len(code), 1), key % max(len(code), 1)
+        return Run(total(n_a), total(n_b), said, np.searchsorted(row, np.arange(len(texts) + 1)), code[which], times)
+
+
+class Run(NamedTuple):
+    """Of texts in a row: tokens, groups, and the links by pair: those of text k are pair[start[k]:start[k + 1]], `times` each."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    groups: list[bytes]
+    start: np.ndarray
+    pair: np.ndarray
+    times: np.ndarray
+
+
+class Kept:
+    """What was worked out for the texts met last: two generations, of which the older goes."""
+
+    def __init__(self, most: int):
+        self.half = max(most // 2, 1)
+        self.new: dict[str, Aligned] = {}
+        self.old: dict[str, Aligned] = {}
+
+    def held(self, keys: Iterable[str]) -> tuple[dict[str, Aligned], list[str]]:
+        """Those known, and the keys of the others."""
+        new, old = self.new, self.old
+        found, again, missing = {}, {}, []
+        for k in keys:
+            v = new.get(k)
+            if v is None:
+                v = old.get(k)
+                if v is None:
+                    missing.append(k)
+                    continue
+                again[k] = v
+            found[k] = v
+        self.keep(again)
+        return found, missing
+
+    def keep(self, made: dict[str, Aligned]) -> None:
+        if len(self.new) + len(made) > self.half:
+            self.old, self.new = self.new, {}
+        self.new |= made if all(len(k) <= KEEP_CHARS for k in made) else {k: v for k, v in made.items() if len(k) <= KEEP_CHARS}
 
 
 def _joined(parts: list[Aligned]) -> Aligned:
-    if len(parts) == 1:
-        return parts[0]
     if not all(p.n_a for p in parts):
         return _DIFFERS
-    return Aligned(sum(p.n_a for p in parts), sum(p.n_b for p in parts), ";".join(p.groups for p in parts), sum((p.pairs for p in parts), ()))
-
-
-def _matched(a: list[int], stop_a: list[int], b: list[int], stop_b: list[int]) -> Aligned:
-    """Groups and links of tokens that cover the same bytes."""
-    at_b = {s: k for k, s in enumerate(stop_b)}
-    groups, pairs = [], []
-    i = j = 0
-    for k, s in enumerate(stop_a):
-        m = at_b.get(s)
-        if m is not None:
-            groups.append(",".join(map(str, a[i : k + 1])) + "|" + ",".join(map(str, b[j : m + 1])))
-            pairs.append(a[k] << 32 | b[m])
-            i, j = k + 1, m + 1
-    return Aligned(len(a), len(b), ";".join(groups), tuple(pairs))
+    return Aligned(sum(p.n_a for p in parts), sum(p.n_b for p in parts), b";".join([p.groups for p in parts]), sum((p.pairs for p in parts), ()))
 
 
 _LOADED: dict[tuple[str, str], Aligner] = {}
@@ -217,9 +249,11 @@ def _aligner(path_a: str, path_b: str) -> Aligner:
     return _LOADED[path_a, path_b]
 
 
-def align_tokens(docs: DataFrame, *, path_a: str | None = None, path_b: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align_tokens(docs: DataFrame, *, digest: bool = False, path_a: str | None = None, path_b: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, groups, pairs) of every row: tokens, groups as `a1,a2|b1;a3|b2,b3`, links as (pair, links) with pair a << 32 | b.
 
+    With `digest`, groups_sha256 (hex; empty without tokens) takes the place of groups, so that they need not leave the task.
+
     The text stands with a space before it, which B's library adds itself.
     Offsets where tokens of both end cut them into groups; as every token has
     bytes, one A and one B token end there, and they are the link. Null and empty
@@ -230,24 +264,43 @@ def align_tokens(docs: DataFrame, *, path_a: str | None = None, path_b: str | No
     """
     ship(docs.sparkSession)
     a, b = path_a or default_path(), path_b or piece_path()
-    schema = "doc_id long, n_a long, n_b long, n_groups long, groups string, pairs array<struct<pair: long, links: long>>"
+    column = "groups_sha256" if digest else "groups"
+    schema = f"doc_id long, n_a long, n_b long, n_groups long, {column} string, pairs array<struct<pair: long, links: long>>"
     pair = pa.struct([("pair", pa.int64()), ("links", pa.int64())])
 
+    def said(groups: bytes) -> bytes | str:
+        return hashlib.sha256(groups).hexdigest() if digest and groups else groups
+
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(a, b)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                found = aligner.many(part.column(1).to_pylist())
-                links = [x for _, c in found for x in c.items()]
-                flat = pa.StructArray.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], fields=list(pair))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(c) for _, c in found)]), pa.int32()), flat)
-                numbers = [pa.array(v, pa.int64()) for v in ([x.n_a for x, _ in found], [x.n_b for x, _ in found], [c.total() for _, c in found])]
-                yield pa.RecordBatch.from_arrays([part.column(0), *numbers, pa.array([x.groups for x, _ in found], pa.string()), lists], ["doc_id", "n_a", "n_b", "n_groups", "groups", "pairs"])
+            for part in _runs(batch):
+                # nothing here makes reference cycles; walking the memos for them costs more than the work
+                gc.disable()
+                try:
+                    found = aligner.many(part.column(1).to_pylist())
+                finally:
+                    gc.enable()
+                flat = pa.StructArray.from_arrays([pa.array(found.pair), pa.array(found.times)], fields=list(pair))
+                links = np.r_[0, np.cumsum(found.times)][found.start]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(found.n_a), pa.array(found.n_b), pa.array(np.diff(links)), pa.array(map(said, found.groups), pa.string()), pa.ListArray.from_arrays(pa.array(found.start, pa.int32()), flat)],
+                    ["doc_id", "n_a", "n_b", "n_groups", column, "pairs"],
+                )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(convert, schema)
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of some RUN_BYTES of text, or one row."""
+    size = np.cumsum([n or 0 for n in pa.compute.binary_length(batch.column(1)).to_pylist()])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + RUN_BYTES)))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _pair_counts(aligned: DataFrame) -> DataFrame:
     """(pair, n, best): links of a pair over all rows, and whether no pair of its B token has more."""
 
@@ -326,6 +379,4 @@ def link_statistics(aligned: DataFrame, broadcast_pairs: int = BROADCAST_PAIRS)
 
 def alignment_digests(docs: DataFrame, **paths: str | None) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256); '' for rows without tokens."""
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
-    aligned = settle(align_tokens(docs, **paths).select("doc_id", "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "pairs"))
-    return link_statistics(aligned)
+    return link_statistics(settle(align_tokens(docs, digest=True, **paths)))
