@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dates import MONTHS, date_range, range_parts
@@ -126,10 +126,17 @@ def employers_match(a: Column, b: Column) -> Column:
 
 
 def distinct_employers(names: Column) -> Column:
-    """Employers in order, the first spelling of each match key."""
-    known = F.filter(F.transform(names, lambda n: F.trim(F.coalesce(n, F.lit("")))), lambda n: match_key(n) != "")
-    keys = F.transform(known, match_key)
-    return F.filter(known, lambda n, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1)
+    """Employers in order, the first spelling of each match key; by sorting, so in proportion to n log n."""
+    keyed = F.filter(F.transform(names, lambda n, i: F.struct(match_key(n).alias("key"), i.alias("i"), F.trim(F.coalesce(n, F.lit(""))).alias("n"))), lambda x: x["key"] != "")
+    first = let(F.array_sort(keyed), lambda a: F.filter(a, lambda x, k: (k == 0) | (F.get(a, k - 1)["key"] != x["key"])))
+    return F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n")))), lambda x: x["n"])
+
+
+def first_spellings(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """(group, order, name): the first spelling of each match key in each group, whatever the number of rows; blank names left out."""
+    keyed = rows.select(group, order, F.trim(F.coalesce(F.col(name), F.lit(""))).alias(name)).withColumn("__key", match_key(F.col(name))).filter("__key <> ''")
+    first = keyed.groupBy(group, "__key").agg(F.min(F.struct(order, name)).alias("__x"))
+    return first.select(group, f"__x.{order}", f"__x.{name}")
 
 
 def row_match_score(row: dict[str, Column], role: dict[str, Column]) -> Column:

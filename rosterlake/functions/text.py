@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Legal forms that name no company.
@@ -17,6 +17,13 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def bound(rows: DataFrame, **values: Column) -> DataFrame:
+    """rows with columns that are worked out once: later filters and projections refer to them instead of repeating what they are made of."""
+    made = F.explode(F.array(F.struct(*(v.alias(k) for k, v in values.items())))).alias("__bound")
+    kept = [c for c in rows.columns if c not in values]
+    return rows.select(*kept, made).select(*kept, *(F.col(f"__bound.{k}").alias(k) for k in values))
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 

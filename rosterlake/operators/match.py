@@ -21,25 +21,31 @@ def _grams(name: Column, n: int = 4) -> Column:
     return F.when(F.length(name) < n, F.array(name)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda k: F.substring(name, k, F.lit(n)))))
 
 
+def held_in(outer: DataFrame, o: str, inner: DataFrame, i: str, n: int = 4) -> DataFrame:
+    """(o, i): the distinct outer texts that hold a distinct inner one of n characters at least.
+
+    An inner text is looked up by the one of its runs of n characters that the
+    fewest outer texts have, so a beginning that all share costs nothing.
+    """
+    long = lambda df, c: df.select(c).filter(F.length(c) >= n).distinct()
+    wanted = long(inner, i).select(i, F.explode(_grams(F.col(i), n)).alias("__run"))
+    runs = long(outer, o).select(o, F.explode(_grams(F.col(o), n)).alias("__run")).join(wanted.select("__run").distinct(), "__run", "left_semi")
+    counted = wanted.join(runs.groupBy("__run").agg(F.count("*").alias("__held")), "__run", "left")
+    rare = counted.groupBy(i).agg(F.min(F.struct(F.coalesce("__held", F.lit(0)).alias("held"), "__run")).alias("__rare")).filter("__rare.held > 0").select(i, F.col("__rare.__run").alias("__run"))
+    return runs.join(rare, "__run").filter(F.col(o).contains(F.col(i))).select(o, i)
+
+
 def fuzzy_semi_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str) -> DataFrame:
     """Left rows whose normalised name equals, holds or lies in a right one (four characters at least for the latter two).
 
-    Each distinct name is looked up once. The shorter name's first four
-    characters are among the runs of four of the longer one, so both directions
-    are equality joins on such runs.
+    Each distinct name is looked up once, by the rarest of its runs of four
+    characters, in both directions. Blank and null names match nothing.
     """
     own = left.withColumn("__name", company_name(F.col(left_col)))
     a = own.select("__name").filter("__name <> ''").distinct()
-    b = right.select(company_name(F.col(right_col)).alias("other")).filter("other <> ''").distinct()
-    equal = a.join(b, F.col("__name") == F.col("other"), "left_semi")
-    long_a, long_b = a.filter(F.length("__name") >= 4), b.filter(F.length("other") >= 4)
-
-    def within(outer: DataFrame, o: str, inner: DataFrame, i: str) -> DataFrame:
-        runs = outer.select(o, F.explode(_grams(F.col(o))).alias("run"))
-        heads = inner.select(i, F.substring(i, 1, 4).alias("run"))
-        return runs.join(heads, "run").filter(F.col(o).contains(F.col(i))).select("__name")
-
-    found = equal.union(within(long_a, "__name", long_b, "other")).union(within(long_b, "other", long_a, "__name")).distinct()
+    b = right.select(company_name(F.col(right_col)).alias("__other")).filter("__other <> ''").distinct()
+    equal = a.join(b, F.col("__name") == F.col("__other"), "left_semi")
+    found = equal.union(held_in(a, "__name", b, "__other").select("__name")).union(held_in(b, "__other", a, "__name").select("__name")).distinct()
     return own.join(found, "__name", "left_semi").drop("__name")
 
 
@@ -47,29 +53,47 @@ def best_jaccard(left: DataFrame, right: DataFrame, *, family: str, left_id: str
     """(left id, right id, similarity): for each left row the most similar right row of its family, from `least` on; the least right id of equals.
 
     same_rows: both sides are the same rows, and none is matched with its own id.
-    Sets of similarity t share one of the (1 - t) n + 1 first tokens in any
-    common order, so only those prefixes (rare tokens first) are joined.
+    Rows of null family are one family. Equal sets of a family are one class (by
+    128-bit digests): only an equal set has similarity 1, so a row whose class
+    holds another right row is done; classes left over meet. Sets of similarity t
+    share one of the (1 - t) n + 1 first tokens in any common order, so only those
+    prefixes (rare tokens first) are joined, and only where length and place allow
+    the similarity. Null and empty sets match nothing.
     """
-    counts = left.select(F.col(family), F.explode(F.array_distinct(left_tokens)).alias("t")).union(right.select(F.col(family), F.explode(F.array_distinct(right_tokens)).alias("t"))).groupBy(family, "t").agg(F.count("*").alias("df"))
-
-    def prefixes(rows: DataFrame, id_col: str, token_col: str) -> DataFrame:
-        long = rows.select(F.col(family), F.col(id_col).alias("id"), F.array_sort(F.array_distinct(token_col)).alias("s")).filter(F.size("s") > 0)
-        ranked = long.select(family, "id", F.size("s").alias("n"), F.explode("s").alias("t")).join(counts, [family, "t"])
-        order = ranked.groupBy(family, "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
-        take = F.greatest(F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))
-        return order.select(family, "id", F.posexplode(F.slice("o", F.lit(1), take)).alias("pos", "x"), "n").select(family, "id", F.col("x.t").alias("t"), "n", "pos")
-
-    a, b = prefixes(left, left_id, left_tokens), prefixes(right, right_id, right_tokens)
-    met = a.join(b.select(family, F.col("id").alias("id2"), "t", F.col("n").alias("n2"), F.col("pos").alias("pos2")), [family, "t"])
-    # At the first shared token no more can be shared than what is left of either set.
+
+    def rows(df: DataFrame, id_col: str, token_col: str) -> DataFrame:
+        made = df.select(F.to_json(F.struct(F.col(family).alias("f"))).alias("fam"), F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.array_compact(token_col))).alias("s")).filter(F.size("s") > 0)
+        return made.withColumn("cls", F.md5(F.concat_ws("\x1f", "fam", F.array_join("s", "\x1f")).cast("binary")))
+
+    a, b = rows(left, left_id, left_tokens), rows(right, right_id, right_tokens)
+    # the two least ids of a class are enough: one of them is not the row itself
+    two = b.groupBy("cls").agg(F.min("id").alias("first")).join(b.select("cls", "id").distinct(), "cls").filter(F.col("id") != F.col("first")).groupBy("cls").agg(F.min("id").alias("second"))
+    firsts = b.groupBy("cls").agg(F.min("id").alias("first")).join(two, "cls", "left")
+    other = F.when(F.lit(same_rows) & (F.col("id") == F.col("first")), F.col("second")).otherwise(F.col("first"))
+    own = a.select("cls", "id").join(firsts, "cls", "left").withColumn("other", other).select("cls", "id", "other")
+    alone = own.filter("other is null")
+
+    sets = a.select("cls", "fam", "s").union(b.select("cls", "fam", "s")).groupBy("cls").agg(F.first("fam").alias("fam"), F.first("s").alias("s"))
+    asks, answers = alone.select("cls").distinct().withColumn("asks", F.lit(True)), b.select("cls").distinct().withColumn("answers", F.lit(True))
+    sides = sets.join(asks, "cls", "left").join(answers, "cls", "left").fillna(False, ["asks", "answers"]).filter("asks or answers")
+    tokens = sides.select("cls", "fam", "asks", "answers", F.size("s").alias("n"), F.explode("s").alias("t"))
+    counts = tokens.groupBy("fam", "t").agg(F.count("*").alias("df"), F.max("asks").alias("asked"), F.max("answers").alias("answered"))
+    order = tokens.join(counts, ["fam", "t"]).groupBy("cls", "fam", "asks", "answers", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t", F.expr("asked and answered").alias("both")))).alias("o"))
+    take = F.greatest(F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))
+    dealt = order.select("cls", "fam", "asks", "answers", "n", F.posexplode(F.slice("o", F.lit(1), take)).alias("pos", "x")).filter("x.both").select("cls", "fam", "asks", "answers", "n", "pos", F.col("x.t").alias("t"))
+    x = dealt.filter("asks").drop("asks", "answers")
+    y = dealt.filter("answers").select("fam", "t", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
     need = (F.col("n") + F.col("n2")) * F.lit(least / (1 + least)) - F.lit(1e-9)
-    if same_rows:
-        met = met.filter(F.col("id") != F.col("id2"))
-    pairs = met.filter((F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(least) - F.lit(1e-9)) & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)).select("id", "id2").distinct()
-    sets = pairs.join(left.select(F.col(left_id).alias("id"), F.array_distinct(left_tokens).alias("s")), "id").join(right.select(F.col(right_id).alias("id2"), F.array_distinct(right_tokens).alias("s2")), "id2")
-    scored = sets.select("id", "id2", jaccard(F.col("s"), F.col("s2")).alias("similarity")).filter(F.col("similarity") >= least)
-    best = scored.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("id2")).alias("minus"))).alias("x"))
-    return best.select(F.col("id").alias(left_id), (-F.col("x.minus")).alias(right_id + "_best"), F.col("x.similarity").alias("similarity"))
+    # at the first shared token no more can be shared than what is left of either set
+    near = (F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(least) - F.lit(1e-9)) & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
+    met = x.alias("x").join(y.alias("y"), (F.col("x.fam") == F.col("y.fam")) & (F.col("x.t") == F.col("y.t")) & (F.col("cls") != F.col("cls2")) & near)
+    pairs = met.select("cls", "cls2").distinct()
+    held = pairs.join(sets.select("cls", "s"), "cls").join(sets.select(F.col("cls").alias("cls2"), F.col("s").alias("s2")), "cls2")
+    scored = held.select("cls", "cls2", jaccard(F.col("s"), F.col("s2")).alias("similarity")).filter(F.col("similarity") >= least)
+    best = scored.join(firsts.select(F.col("cls").alias("cls2"), "first"), "cls2").groupBy("cls").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), F.col("first").alias("other"))).alias("x"))
+    found = own.filter("other is not null").select("id", "other", F.lit(1.0).alias("similarity"))
+    found = found.union(alone.join(best, "cls").select("id", F.col("x.other"), -F.col("x.minus")))
+    return found.select(F.col("id").alias(left_id), F.col("other").alias(right_id + "_best"), "similarity")
 
 
 def grouped_evidence(quotes: DataFrame, texts: DataFrame, key: str, quote_col: str, text_col: str) -> DataFrame:
@@ -83,22 +107,38 @@ def evidence_anywhere(quotes: DataFrame, texts: DataFrame, quote_col: str, id_co
     """quotes with id_col and grounded: a row for each text that holds the quote, white space squeezed; a null id and false where none does.
 
     A text that holds a quote has all words of it but the first and last whole,
-    so texts are looked up by the one of those that the fewest have. Quotes of
-    one or two words are looked for in every text.
+    the first at the end of a word and the last at the beginning of one, so texts
+    are looked up by the one of these that the fewest have. A single word is
+    looked up among the distinct words of all texts.
     """
     flat = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
     own = quotes.drop(id_col).withColumn("__q", flat(quote_col))
     wanted = own.select("__q").filter("__q <> ''").distinct()
     t = texts.select(F.col(id_col).alias("__id"), flat(text_col).alias("__t"))
     words = F.split("__q", " ")
-    inner = wanted.filter(F.size(words) > 2).select("__q", F.explode(F.array_distinct(F.slice(words, F.lit(2), F.size(words) - 2))).alias("w"))
-    hold = t.select("__id", F.explode(F.array_distinct(F.split("__t", " "))).alias("w")).join(inner.select("w").distinct(), "w", "left_semi")
-    seen = inner.join(hold.groupBy("w").agg(F.count("*").alias("n")), "w", "left")
-    rare = seen.groupBy("__q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))["w"].alias("w"))
-    near = rare.join(hold, "w").select("__q", F.col("__id").alias("__at")).distinct()
-    long = near.join(t, F.col("__at").eqNullSafe(F.col("__id"))).filter(F.col("__t").contains(F.col("__q"))).select("__q", "__id")
-    short = wanted.filter(F.size(words) <= 2).crossJoin(t).filter(F.col("__t").contains(F.col("__q"))).select("__q", "__id")
-    found = long.union(short).distinct().withColumn("__g", F.lit(True))
+    parts = F.when(F.size(words) == 1, F.array(F.struct(F.lit("any").alias("as"), F.col("__q").alias("part")))).otherwise(
+        F.concat(
+            F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.lit("whole").alias("as"), w.alias("part"))),
+            F.array(F.struct(F.lit("end").alias("as"), F.element_at(words, 1).alias("part")), F.struct(F.lit("start").alias("as"), F.element_at(words, -1).alias("part"))),
+        )
+    )
+    asked = wanted.select("__q", F.inline(F.array_distinct(parts)))
+    word_of = t.select("__id", F.explode(F.array_distinct(F.split("__t", " "))).alias("w")).filter("w <> ''")
+    known = word_of.groupBy("w").agg(F.count("*").alias("n"))
+    part_of = lambda kind: asked.filter(F.col("as") == kind).select("part").distinct()
+    ends = known.select("w", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.substr("w", k))).alias("part"))
+    starts = known.select("w", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.left("w", k))).alias("part"))
+    tag = lambda df, kind: df.select("w", "n", "part", F.lit(kind).alias("as"))
+    single = part_of("any")
+    inside = [held_in(known, "w", single, "part").join(known, "w")]
+    inside += [known.select("w", "n", F.explode(_grams(F.col("w"), k)).alias("part")).join(single.filter(F.length("part") == k), "part", "left_semi") for k in (1, 2, 3)]
+    hits = tag(known.withColumn("part", F.col("w")).join(part_of("whole"), "part", "left_semi"), "whole")
+    for df, kind in ((ends.join(part_of("end"), "part", "left_semi"), "end"), (starts.join(part_of("start"), "part", "left_semi"), "start"), *((x, "any") for x in inside)):
+        hits = hits.union(tag(df, kind))
+    sums = hits.groupBy("as", "part").agg(F.sum("n").alias("n"))
+    rare = asked.join(sums, ["as", "part"], "left").groupBy("__q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "as", "part")).alias("x")).filter("x.n > 0").select("__q", "x.as", "x.part")
+    near = rare.join(hits.select("as", "part", "w"), ["as", "part"]).select("__q", "w").join(word_of, "w").select("__q", F.col("__id").alias("__at")).distinct()
+    found = near.join(t, F.col("__at").eqNullSafe(F.col("__id"))).filter(F.col("__t").contains(F.col("__q"))).select("__q", "__id").distinct().withColumn("__g", F.lit(True))
     return own.join(found, "__q", "left").select(*quotes.drop(id_col).columns, F.col("__id").alias(id_col), F.coalesce("__g", F.lit(False)).alias("grounded"))
 
 
@@ -179,19 +219,42 @@ def with_rules(scenarios: DataFrame, rules: DataFrame, rates: DataFrame) -> Data
 def contact_matches(people: DataFrame, contacts: DataFrame, person_id: str, contact_id: str, score: Callable[[Column, Column, Column], Column], best: int = 10) -> DataFrame:
     """(person, contact, score, company_matches): contacts with a person's name, the best first, at most `best` a person (the operator's own limit).
 
-    people and contacts: (id, name, company). They meet by a word of the name:
-    the person's first or last of three letters at least. score(name, name,
-    same company) is null for no match; one company gives 5 more, up to 100.
+    people and contacts: (id, name, company). Names meet by a word: the person's
+    first or last of three letters at least. score(name, name, same company) is
+    null for no match; one company gives 5 more, up to 100. Each pair of distinct
+    names is scored once. Of the contacts of a name a person needs the `best`
+    first ones and those of the own company, so people and contacts of one common
+    name are never paired with each other. Repeated rows count once.
     """
     words = lambda c: F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3)
-    ends = F.array_compact(F.array_distinct(F.array(F.try_element_at(words("name"), F.lit(1)), F.try_element_at(words("name"), F.lit(-1)))))
-    p = people.select(F.col(person_id).alias("__p"), F.col("name").alias("__pn"), F.col("company").alias("__pc"), F.explode(ends).alias("__w"))
-    c = contacts.select(F.col(contact_id).alias("__c"), "name", "company", F.explode(F.array_distinct(words("name"))).alias("__w"))
-    pairs = p.join(c, "__w").drop("__w").distinct().withColumn("company_matches", companies_match(F.col("__pc"), F.col("company")))
-    found = pairs.withColumn("score", score(F.col("__pn"), F.col("name"), F.col("company_matches"))).filter("score is not null")
+    p = people.select(F.col(person_id).alias("__p"), F.col("name").alias("__pn"), F.col("company").alias("__pc"))
+    c = contacts.select(F.col(contact_id).alias("__c"), F.col("name").alias("__cn"), F.col("company").alias("__cc")).distinct()
+    ends = F.array_compact(F.array_distinct(F.array(F.try_element_at(words("__pn"), F.lit(1)), F.try_element_at(words("__pn"), F.lit(-1)))))
+    asked = p.select("__pn").distinct().select("__pn", F.explode(ends).alias("__w"))
+    known = c.select("__cn").distinct().select("__cn", F.explode(F.array_distinct(words("__cn"))).alias("__w"))
+    names = asked.join(known, "__w").select("__pn", "__cn").distinct()
+    names = names.select("__pn", "__cn", score(F.col("__pn"), F.col("__cn"), F.lit(True)).alias("__with"), score(F.col("__pn"), F.col("__cn"), F.lit(False)).alias("__without")).filter("__with is not null or __without is not null")
+
+    # companies that match: equal or one within the other, each distinct pair once
+    normal = lambda df, col: df.select(col).distinct().withColumn("__n", company_name(F.col(col))).filter("__n <> ''")
+    ours, theirs = normal(p, "__pc"), normal(c, "__cc").withColumnRenamed("__n", "__m")
+    same = ours.select("__n").join(theirs.select("__m"), F.col("__n") == F.col("__m"))
+    met = same.union(held_in(ours, "__n", theirs, "__m")).union(held_in(theirs, "__m", ours, "__n").select("__n", "__m")).distinct()
+    companies = ours.join(met, "__n").join(theirs, "__m").select("__pc", "__cc").distinct()
+
+    order = Window.partitionBy("__cn").orderBy("__c")
+    first = c.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= best).drop("__k")
+    who = p.select("__pn", "__pc").distinct()
+    by_name = who.join(names, "__pn").join(first, "__cn").withColumn("company_matches", companies_match(F.col("__pc"), F.col("__cc")))
+    mine = who.join(companies, "__pc").join(names, "__pn").join(c, ["__cn", "__cc"]).withColumn("company_matches", F.lit(True))
+    columns = ["__pn", "__pc", "__c", "__cn", "__with", "__without", "company_matches"]
+    found = by_name.select(columns).union(mine.select(columns)).distinct().withColumn("score", F.when(F.col("company_matches"), F.col("__with")).otherwise(F.col("__without"))).filter("score is not null")
     found = found.withColumn("score", F.least(F.col("score") + F.when(F.col("company_matches"), 5).otherwise(0), F.lit(100)))
-    w = Window.partitionBy("__p").orderBy(F.col("score").desc(), F.col("company_matches").desc(), F.lower("name"), "__c")
-    return found.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= best).select(F.col("__p").alias(person_id), F.col("__c").alias(contact_id), "score", "company_matches")
+    w = Window.partitionBy("__pn", "__pc").orderBy(F.col("score").desc(), F.col("company_matches").desc(), F.lower("__cn"), "__c")
+    top = found.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= best)
+    on = (F.col("__pn") == F.col("n2")) & F.col("__pc").eqNullSafe(F.col("c2"))
+    out = p.distinct().join(top.select(F.col("__pn").alias("n2"), F.col("__pc").alias("c2"), "__c", "score", "company_matches"), on)
+    return out.select(F.col("__p").alias(person_id), F.col("__c").alias(contact_id), "score", "company_matches")
 
 
 def observed_people(picks: DataFrame, cards: DataFrame, generic: Sequence[str], most: int = 24) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cv, dates, vectorised
+from ..functions import cv, dates, pay
 from .catalog import query, table, values
 
 #: Date ranges as they are written, and in the house style.
@@ -106,5 +106,5 @@ def pay_ranges_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 3
     said = F.when(k == 0, "RM 13-15k").when(k == 1, "usd 5,000 (not RM)").otherwise("10-15% more")
     found = cv.currencies(said, [("MYR", r"(?<![a-z])(?:rm|myr)(?![a-z])"), ("USD", r"(?<![a-z])usd(?![a-z])")])
-    rows = table(spark, sf_dir, "part").select("p_partkey", vectorised.salary_range(said).alias("r"), found.alias("currencies"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", pay.pay_range(said).alias("r"), found.alias("currencies"))
     return rows.select("p_partkey", F.col("r.low").alias("low"), F.col("r.high").alias("high"), "currencies")

@@ -167,7 +167,7 @@ def row_scores_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, list(lang ORDER BY n) AS employers FROM f GROUP BY source""")
 def distinct_employers_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages stand for employers: all of a source's in order of id, spelt in two ways; the first spellings are kept."""
-    d = table(spark, sf_dir, "documents").filter("lang is not null").select("source", "doc_id", "lang")
-    names = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))), lambda x: x["lang"])
-    rows = d.groupBy("source").agg(F.flatten(F.transform(names, lambda n: F.array(n, F.concat(F.upper(n), F.lit("."))))).alias("names"))
-    return rows.select("source", cv.distinct_employers(F.col("names")).alias("employers"))
+    d = table(spark, sf_dir, "documents").filter("lang is not null")
+    spelt = d.select("source", F.inline(F.array(*(F.struct(F.struct(F.col("doc_id"), F.lit(k)).alias("at"), n.alias("name")) for k, n in enumerate((F.col("lang"), F.concat(F.upper("lang"), F.lit("."))))))))
+    few = cv.first_spellings(spelt, "source", "at", "name")
+    return few.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("employers"))

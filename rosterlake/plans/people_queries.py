@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, people, vectorised, web
+from ..functions import dates, pay, people, vectorised, web
 from ..operators import match, nested
 from ..sources import readers
 from .catalog import query, table
@@ -76,7 +76,7 @@ def name_match_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def salary_amounts_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 3
     said = F.when(k == 0, "RM120k annual + RM500 monthly allowance").when(k == 1, F.concat(F.lit("SGD "), F.col("p_size").cast("string"), F.lit("k basic x 13"))).otherwise("15-30% increment, 2 months")
-    return table(spark, sf_dir, "part").select("p_partkey", vectorised.salary_amounts(said).alias("amounts"))
+    return table(spark, sf_dir, "part").select("p_partkey", pay.amounts(said).alias("amounts"))
 
 
 @query("""SELECT event_id, ['k', (props->>'k')] AS leaves, '{"k":' || (props->>'k') || '}' AS canonical FROM events""")

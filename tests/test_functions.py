@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlake.functions import boolquery, dates, money, people, redact, text, vectorised, web
+from rosterlake.functions import boolquery, dates, money, pay, people, redact, text, vectorised, web
 from rosterlake.operators import intervals, jobs, match, rank, score, store
 
 
@@ -107,8 +107,8 @@ def test_brackets_and_scenario(spark):
 
 
 def test_pay_texts(spark):
-    assert vectorised.amounts("RM120k annual + RM500 monthly allowance") == [10000, 500]
-    assert vectorised.amounts("15-30% raise") == [] and vectorised.amounts("3 months") == []
+    assert value(spark, pay.amounts(F.lit("RM120k annual + RM500 monthly allowance"))) == [10000, 500]
+    assert value(spark, pay.amounts(F.lit("15-30% raise"))) == [] and value(spark, pay.amounts(F.lit("3 months"))) == []
     assert [value(spark, money.salary_bound(F.lit(t))) for t in ("1,200.5", "x", "-1", ".5")] == [1200.5, None, None, 0.5]
     assert value(spark, money.currency_of(F.lit("usd or RM 5k"), [("RM", "MYR"), ("USD", "USD")])) == "USD"
     assert value(spark, money.salary_match(F.lit(None).cast("double"), F.lit(None).cast("double"), 1, 2, True)) == "match_missing"
@@ -202,10 +202,10 @@ def test_terms_by_the_number_of_nots():
     assert boolquery.signed_terms("") == ([], []) and boolquery.signed_terms("NOT NOT x)") == (["x"], [])
 
 
-def test_pay_ranges():
-    assert vectorised.pay_range("RM 13-15k") == {"low": 13000, "high": 15000}
-    assert vectorised.pay_range("8,000 to 7,000") == {"low": 7000, "high": 8000}
-    assert vectorised.pay_range("10% more") is None and vectorised.pay_range("") is None and vectorised.pay_range(None) is None
+def test_pay_ranges(spark):
+    assert tuple(value(spark, pay.pay_range(F.lit("RM 13-15k")))) == (13000, 15000)
+    assert tuple(value(spark, pay.pay_range(F.lit("8,000 to 7,000")))) == (7000, 8000)
+    assert [value(spark, pay.pay_range(F.lit(t).cast("string"))) for t in ("10% more", "", None)] == [None] * 3
 
 
 def test_leads_and_cvs(spark):
