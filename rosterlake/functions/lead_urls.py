@@ -17,7 +17,7 @@ from .lead_filters import excluded_terms, query_terms, terms
 from .leads import EDITORIAL, is_job_page, parts_of_job_page, source_chosen, url_parts
 from .links import is_own_search, without_collection
 from .people import families, family_scores
-from .text import let, squeezed
+from .text import bound, let, squeezed
 from .web import url_host
 
 #: Parts of portals' hosts, first path parts of a board's account pages, parameters of searches.
@@ -118,15 +118,15 @@ def with_one_link(leads: DataFrame) -> DataFrame:
     j, s, c, q, note, plan, which, swap, old = (F.col(f"__{n}") for n in ("j", "s", "c", "q", "note", "plan", "which", "swap", "old"))
     many_j, many_s, has_j = F.col("__many_j"), F.col("__many_s"), j != ""
     role = F.coalesce(F.nullif(_given(F.col("matched_role")), F.lit("")), _given(F.col("title")))
-    seen = leads.withColumns(given).withColumns({"__many_j": is_category_page(j), "__many_s": is_category_page(s), "__direct": F.coalesce(*(F.when(is_job_page(u), u) for u in (j, s, c)), F.lit(""))})
-    planned = seen.withColumn(
-        "__plan",
+    seen = bound(leads.withColumns(given), __many_j=is_category_page(j), __many_s=is_category_page(s), __direct=F.coalesce(*(F.when(is_job_page(u), u) for u in (j, s, c)), F.lit("")))
+    said = (
         F.when(q == TO_VERIFY, "verify")
         .when((q == STRUCTURED) & j.rlike("(?i)^https?://") & ~many_j, "structured")
         .when((q == STRUCTURED) & many_j, "demoted")
         .when(F.col("__direct") != "", "direct")
-        .otherwise("none"),
-    ).withColumn(
+        .otherwise("none")
+    )
+    planned = bound(seen, __plan=said).withColumn(
         "__which",  # the link that a source is made of, if any
         F.when(plan.isin("structured", "direct"), "")
         .when(plan == "none", F.when(many_s, "s").when(many_j | (has_j & (s == "")), "j").otherwise(""))
@@ -162,7 +162,8 @@ def with_fit_and_freshness(leads: DataFrame, as_of: date) -> DataFrame:
     days = F.coalesce(F.col("__read"), has("days_open").try_cast("int"))
     day = F.when(F.col("__read").isNotNull(), F.col("__iso")).when(days.isNotNull(), F.date_sub(F.lit(as_of), F.greatest(days, F.lit(0))).cast("string")).when(F.lower("__said").isin(*UNKNOWN_DAY), "").otherwise(F.col("__said"))
     own = has("job_freshness")
-    staged = with_one_link(leads).withColumn("__fit", F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), F.bround(fit))).cast("int"), F.lit(0))).withColumn("__said", said).withColumn("__iso", iso).withColumn("__read", read)
+    staged = with_one_link(leads).withColumn("__fit", F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), F.bround(fit))).cast("int"), F.lit(0))).withColumn("__said", said)
+    staged = bound(staged, __iso=iso, __read=read)
     return staged.withColumns({"job_fit_percent": F.col("__fit"), "match_score": F.col("__fit"), "date_posted": day, "days_open": days, "job_freshness": F.when((own == "") | (F.lower(own) == "unknown"), freshness(days)).otherwise(own)}).drop("__fit", "__said", "__iso", "__read")
 
 
@@ -192,7 +193,8 @@ def without_unchosen_sources(leads: DataFrame, chosen: Sequence[str], portals: S
 
 def direct_job_leads(leads: DataFrame, place: str) -> DataFrame:
     """The leads of a job's own page, the first by `place` of those with one link; lead_kind says so."""
-    linked = with_one_link(leads).filter(is_job_page(F.col("job_url"))).withColumn("lead_kind", F.lit("extracted_job_lead"))
+    judged = bound(bound(with_one_link(leads), job_url=F.col("job_url")), __page=is_job_page(F.col("job_url")))
+    linked = judged.filter("__page").drop("__page").withColumn("lead_kind", F.lit("extracted_job_lead"))
     key = F.regexp_replace(F.lower(F.trim("job_url")), "/+$", "")
     first = linked.groupBy(key.alias("__key")).agg(F.min_by(F.struct(*linked.columns), place).alias("x"))
     return first.select("x.*")

@@ -20,7 +20,7 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 def bound(rows: DataFrame, **values: Column) -> DataFrame:
     """rows with columns that are worked out once: later filters and projections refer to them instead of repeating what they are made of."""
     made = F.explode(F.array(F.struct(*(v.alias(k) for k, v in values.items())))).alias("__bound")
-    kept = [c for c in rows.columns if c not in values]
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in values]
     return rows.select(*kept, made).select(*kept, *(F.col(f"__bound.{k}").alias(k) for k in values))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,3 +74,22 @@ def dated_in_dated_slots(rows: DataFrame, key: Sequence[str], slot: str, date: s
     by_date = dated.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(date).desc(), slot)))
     by_slot = dated.select(*key, F.col(slot).alias("new_slot"), F.row_number().over(Window.partitionBy(*key).orderBy(slot)).alias("__k"))
     return by_date.join(by_slot, [*key, "__k"]).drop("__k").unionByName(rows.filter(F.col(date).isNull()).withColumn("new_slot", F.col(slot)))
+
+
+def filled_under_quotas(rows: DataFrame, key: Sequence[str], line: str, priority: str, place: str, group: str, quotas: Mapping[str, int], most: int) -> DataFrame:
+    """rows (one a term) chosen for each key, with `nth`: the best of each line first, then the rest by priority, within a quota for each group and `most` in all.
+
+    Greedy in that order: a row is taken if its group and the whole have room. As
+    a group's room and the whole's do not depend on each other, that is a rank
+    within the group and then a rank of those that are left, so no state is
+    carried. Ties go by `place`; groups without a quota are not limited, nor is a
+    null group.
+    """
+    best = Window.partitionBy(*key, line).orderBy(F.col(priority).desc(), place)
+    turned = rows.withColumn("__later", F.row_number().over(best) > 1)
+    order = [F.col("__later").asc(), F.col(priority).desc(), F.col(place).asc()]
+    room = F.lit(None).cast("int")
+    for name, n in quotas.items():
+        room = F.when(F.col(group) == name, F.lit(n)).otherwise(room)
+    ranked = turned.withColumn("__in_group", F.row_number().over(Window.partitionBy(*key, group).orderBy(*order))).filter(room.isNull() | (F.col("__in_group") <= room))
+    return ranked.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("nth") <= most).drop("__later", "__in_group")

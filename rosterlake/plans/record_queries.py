@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json_records
+from ..functions.people import residency_classes
+from ..functions.text import bound
 from .catalog import query, table
 
 _CODES = ("SG", "SGP", "MY", "MYS")
@@ -33,9 +35,9 @@ def record_residency_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     direct = _json(("a", F.struct(p.alias("Visa status"), F.lit("x").alias("name"))))
     labelled = _json(("custom", F.array(F.struct(F.lit("Work rights").alias("fieldName"), F.array(p, F.upper(p), F.col("o_orderstatus")).alias("values")), F.struct(F.lit("Other").alias("fieldName"), F.array(p).alias("values")))))
     said = json_records.residency_text(F.when(k == 0, direct).when(k == 1, labelled).when(k == 2, _json(("residency", F.lit(" pr ")))).otherwise(_json(("name", F.lit("residency")))))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", p, said.alias("said"))
-    own = F.filter(F.split("said", r" \| "), lambda v: v != "")
-    result = lambda w: json_records.residential_match(own, w)["result"]
+    rows = bound(table(spark, sf_dir, "orders"), said=said)
+    rows = bound(rows, own=F.filter(F.split("said", r" \| "), lambda v: v != ""), classes=residency_classes(F.col("said")))
+    result = lambda w: json_records.residential_match(F.col("own"), w, F.col("classes"))["result"]
     return rows.select("o_orderkey", "said", F.when(result("permanent resident") == "match", "match").otherwise(result("1-urgent")).alias("urgent_or_pr"), result("Permanent  Resident").alias("permanent"))
 
 

@@ -7,8 +7,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import narrow
 from ..functions.dates import MONTHS
-from ..operators import work_history
+from ..operators import anchors, rank, work_history
 from .catalog import query, table
 
 _NAMES = ", ".join(f"'{m.title()}'" for m in MONTHS)
@@ -79,3 +80,39 @@ def project_blocks_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = table(spark, sf_dir, "part").groupBy(F.floor(k / 5).alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", block.alias("said")))), lambda x: x["said"]), "\n\n").alias("blocks"))
     texts = by.select("doc_id", F.concat(F.lit("Project: none\nKEY PROJECTS\nlead text\n"), "blocks", F.lit("\nSKILLS\nProject: none")).alias("text"))
     return work_history.project_blocks(texts).select("doc_id", "ordinal", "name", F.col("fields")["client"].alias("client"), F.col("fields")["role"].alias("role"), "bullets")
+
+
+@query("""SELECT o_custkey AS doc_id, o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN 'given' WHEN o_orderkey % 5 = 0 THEN '' ELSE 'Award ' || o_orderkey END AS award FROM orders""")
+def awards_restored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a block for each order: blank awards come from the region of their own heading; of every fifth the heading stands twice."""
+    k, n = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    name = F.concat(F.lit("Firm "), F.translate(n, "0123456789", "abcdefghij"))
+    block = F.concat(F.upper(name), F.lit(" — Jan 2001 to Present\n- duty\n• AWARD: Award "), n, F.when(k % 5 == 0, F.concat(F.lit("\n"), name, F.lit(", Sdn. Bhd."))).otherwise(""))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k, name.alias("name"), block.alias("block"))
+    by = orders.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "block"))), lambda x: x["block"]), "\n").alias("blocks"))
+    docs = by.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "left").select("doc_id", F.concat_ws("\n", "text", F.lit("Award: of nobody"), "blocks").alias("text"))
+    items = orders.select("doc_id", "o_orderkey", "name", F.when(k % 3 == 1, "given").otherwise(" ").alias("award"))
+    out = anchors.restored_from_regions(docs, items, "award", "award")
+    return out.select("doc_id", "o_orderkey", F.trim("award").alias("award"))
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_suppkey % 3 AS line, l_quantity::BIGINT AS priority, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_quantity::BIGINT DESC, l_linenumber) > 1 AS later FROM lineitem),
+g AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY later, priority DESC, l_linenumber) AS k FROM t),
+m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY later, priority DESC, l_linenumber) AS nth FROM g WHERE k <= CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 100 END)
+SELECT l_orderkey, l_linenumber, nth FROM m WHERE nth <= 3""")
+def quota_terms_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as terms of a text: the best of each supplier class first, one of flag A and two of N at most."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 3).alias("line"), F.col("l_quantity").cast("long").alias("priority"), "l_returnflag")
+    return rank.filled_under_quotas(rows, ["l_orderkey"], "line", "priority", "l_linenumber", "l_returnflag", {"A": 1, "N": 2}, 3).select("l_orderkey", "l_linenumber", "nth")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '(' || b || ' OR sql) AND (' || t || ' OR tableau)' WHEN 1 THEN b || ' OR sql OR ' || t || ' OR x' WHEN 2 THEN '("' || b || ' OR c" OR d) AND e AND ' || t END AS narrowed FROM (SELECT p_partkey, replace(p_brand, '#', '') AS b, p_type AS t FROM part)""")
+def searches_narrowed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, b, t = F.col("p_partkey") % 4, F.regexp_replace("p_brand", "#", ""), F.col("p_type")
+    said = (
+        F.when(k == 0, F.concat(F.lit("(("), b, F.lit(" OR sql OR SQL OR dba) AND ("), t, F.lit(" OR tableau OR bi))")))
+        .when(k == 1, F.concat(b, F.lit(" OR sql OR "), t, F.lit(" OR x OR y")))
+        .when(k == 2, F.concat(F.lit('("'), b, F.lit(' OR c" OR d OR f) AND e AND '), t))
+        .otherwise(F.concat(b, F.lit(" AND (a OR (b AND c)) AND NOT "), t))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", narrow.narrowed(said).alias("narrowed"))
