@@ -96,14 +96,17 @@ def awards_restored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "o_orderkey", F.trim("award").alias("award"))
 
 
-@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_suppkey % 3 AS line, l_quantity::BIGINT AS priority, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_quantity::BIGINT DESC, l_linenumber) > 1 AS later FROM lineitem),
-g AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY later, priority DESC, l_linenumber) AS k FROM t),
-m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY later, priority DESC, l_linenumber) AS nth FROM g WHERE k <= CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 100 END)
+_PLACE = ("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_extendedprice")  # line numbers repeat in these tables
+
+
+@query(f"""WITH t AS (SELECT *, l_suppkey % 3 AS line, l_quantity::BIGINT AS priority, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_quantity::BIGINT DESC, {", ".join(_PLACE)}) > 1 AS later FROM lineitem),
+g AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY later, priority DESC, {", ".join(_PLACE)}) AS k FROM t),
+m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY later, priority DESC, {", ".join(_PLACE)}) AS nth FROM g WHERE k <= CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 100 END)
 SELECT l_orderkey, l_linenumber, nth FROM m WHERE nth <= 3""")
 def quota_terms_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as terms of a text: the best of each supplier class first, one of flag A and two of N at most."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 3).alias("line"), F.col("l_quantity").cast("long").alias("priority"), "l_returnflag")
-    return rank.filled_under_quotas(rows, ["l_orderkey"], "line", "priority", "l_linenumber", "l_returnflag", {"A": 1, "N": 2}, 3).select("l_orderkey", "l_linenumber", "nth")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 3).alias("line"), F.col("l_quantity").cast("long").alias("priority"), "l_returnflag", F.struct(*_PLACE).alias("place"))
+    return rank.filled_under_quotas(rows, ["l_orderkey"], "line", "priority", "place", "l_returnflag", {"A": 1, "N": 2}, 3).select("l_orderkey", "l_linenumber", "nth")
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '(' || b || ' OR sql) AND (' || t || ' OR tableau)' WHEN 1 THEN b || ' OR sql OR ' || t || ' OR x' WHEN 2 THEN '("' || b || ' OR c" OR d) AND e AND ' || t END AS narrowed FROM (SELECT p_partkey, replace(p_brand, '#', '') AS b, p_type AS t FROM part)""")
