@@ -12,9 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions.cv import SAME_EMPLOYER
-from ..functions.text import LEGAL_FORMS, company_name, match_key, token_overlap, tokens
+from ..functions.text import LEGAL_FORMS, bound, company_name, match_key, token_overlap, tokens
 
 _BRACKET = r"^([^()]+?)\s*\(([^()0-9]*\p{L}[^()0-9]*)\)\s*$"
 #: A parsed name that is only a sign between cells.
@@ -33,15 +34,29 @@ def _readings(name: Column) -> Column:
     return F.when(name.rlike(_BRACKET), split).otherwise(F.slice(split, 1, 1))
 
 
-def _blocks(said: Column) -> Column:
-    """What two names that match have at least one of in common: the key, or a token."""
-    return F.array_union(F.array(F.concat(F.lit("="), match_key(said))), tokens(said, LEGAL_FORMS))
+def _key(name: Column) -> Column:
+    """The key without legal forms."""
+    return match_key(company_name(name))
+
+
+def _match(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """names_match of (key, key without legal forms, tokens) on both sides."""
+    equal = lambda i: (a[i] != "") & (a[i] == b[i])
+    return equal(0) | equal(1) | (token_overlap(a[2], b[2]) >= SAME_EMPLOYER)
 
 
 def names_match(a: Column, b: Column) -> Column:
     """Equal keys, with or without legal forms, or at least SAME_EMPLOYER of the tokens shared (legal forms aside)."""
-    key = lambda c: match_key(company_name(c))
-    return ((match_key(a) != "") & (match_key(a) == match_key(b))) | ((key(a) != "") & (key(a) == key(b))) | (token_overlap(tokens(a, LEGAL_FORMS), tokens(b, LEGAL_FORMS)) >= SAME_EMPLOYER)
+    parts = lambda c: (match_key(c), _key(c), tokens(c, LEGAL_FORMS))
+    return _match(parts(a), parts(b))
+
+
+def _blocked(rows: DataFrame, name_col: str, prefix: str) -> DataFrame:
+    """rows with what names are compared by, worked out once, and a row for each block: two names that match have a key or a token in common."""
+    full, bare, words = (f"{prefix}{c}" for c in ("full", "bare", "words"))
+    own = bound(rows, **{full: match_key(F.col(name_col)), bare: _key(F.col(name_col)), words: tokens(F.col(name_col), LEGAL_FORMS)})
+    keys = F.transform(F.filter(F.array_distinct(F.array(full, bare)), lambda k: k != ""), lambda k: F.concat(F.lit("="), k))
+    return own.drop(name_col).withColumn(f"{prefix}block", F.explode(F.concat(keys, F.col(words))))
 
 
 def _distinct(rows: DataFrame, id_col: str, name_col: str) -> DataFrame:
@@ -57,15 +72,15 @@ def claimed_employers(source: DataFrame, parsed: DataFrame, id_col: str = "doc_i
     none. Of several spellings of one key the least stands for all.
     """
     ours, theirs = _distinct(source, id_col, name_col), _distinct(parsed, id_col, name_col)
-    read = ours.select("id", "key", F.inline(_readings(F.col("name")))).withColumn("block", F.explode(_blocks(F.col("said"))))
-    found = theirs.select(F.col("id").alias("pid"), F.col("key").alias("pkey"), F.col("name").alias("pname"), F.explode(_blocks(F.col("name"))).alias("pblock"))
-    pairs = read.join(found, F.col("id").eqNullSafe(F.col("pid")) & (F.col("block") == F.col("pblock"))).filter(names_match(F.col("said"), F.col("pname")))
+    read = _blocked(ours.select("id", "key", F.inline(_readings(F.col("name")))), "said", "a_")
+    found = _blocked(theirs.select(F.col("id").alias("pid"), F.col("key").alias("pkey"), "name"), "name", "b_")
+    parts = lambda p: [F.col(p + c) for c in ("full", "bare", "words")]
+    # both sides grow from what Spark knows the size of: a broadcast of either could be of any size
+    pairs = read.join(found.hint("merge"), F.col("id").eqNullSafe(F.col("pid")) & (F.col("a_block") == F.col("b_block"))).filter(_match(parts("a_"), parts("b_")))
     pairs = pairs.groupBy("id", "key", "pkey").agg(F.max("own").alias("own"))
-    claimed = pairs.filter("own").select(F.col("id").alias("cid"), F.col("pkey").alias("ckey")).distinct()
-    weak = pairs.filter("not own").join(claimed, F.col("id").eqNullSafe(F.col("cid")) & (F.col("pkey") == F.col("ckey")), "left_anti")
-    hits = pairs.filter("own").select("id", "key", F.lit(1).alias("how")).union(weak.select("id", "key", F.lit(2).alias("how")))
-    hits = hits.groupBy(F.col("id").alias("hid"), F.col("key").alias("hkey")).agg(F.min("how").alias("how"))
-    out = ours.join(hits, F.col("id").eqNullSafe(F.col("hid")) & (F.col("key") == F.col("hkey")), "left")
+    claimed = pairs.withColumn("claimed", F.max("own").over(Window.partitionBy("id", "pkey"))).filter("own or not claimed")
+    hits = claimed.select("id", "key", F.lit(None).cast("string").alias("name"), F.when(F.col("own"), 1).otherwise(2).alias("how"))
+    out = ours.select("id", "key", "name", F.lit(None).cast("int").alias("how")).union(hits).groupBy("id", "key").agg(F.max("name").alias("name"), F.min("how").alias("how"))
     return out.select(F.col("id").alias(id_col), "name", F.when(F.col("how") == 1, "own").when(F.col("how") == 2, "bracket").otherwise("missing").alias("kept"))
 
 
@@ -81,7 +96,7 @@ def fidelity(source: DataFrame, parsed: DataFrame, bullets: DataFrame, id_col: s
     out = bullets.select(id_col, "source_bullets", "parsed_bullets")
     for part in (kept, named, unnamed):
         part = part.withColumnRenamed(id_col, "__id")
-        out = out.join(part, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+        out = out.join(part.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
     short = F.coalesce((F.col("source_bullets") >= LEAST_BULLETS) & (F.col("parsed_bullets") < F.col("source_bullets") * KEPT_BULLETS), F.lit(False))
     zero = lambda *cs: [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in cs]
     missing = F.coalesce(F.col("missing"), F.array().cast("array<string>"))
