@@ -60,16 +60,18 @@ def languages(text: Column, evidence: Column | None = None, names: dict[str, tup
     return out
 
 
-def section_lines(text: Column, start: str, stop: str) -> Column:
+def section_lines(text: Column, start: str, stop: str, unified: bool = True) -> Column:
     """Lines after the first heading that fits `start` up to one that fits `stop` (both regular expressions of a whole line); null without a start.
 
+    Lines end at \\n, and at \\r\\n if they are to be unified; no other sign ends one, not for `.` either.
     The text is cut by three matches, each over the text once, so the work is in proportion to its length.
     """
-    t = F.concat(F.lit("\n"), F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n", "\n"), r"(?m)^[ ]+|[ ]+$", ""))
-    after = lambda x: F.regexp_replace(x, rf"\A(?s:.*?)\n(?:{start})(?=\n|\z)", "")
-    inside = lambda x: F.regexp_replace(after(x), rf"\n(?:{stop})(?=\n|\z)(?s:.*)", "")
+    said = F.coalesce(text, F.lit(""))
+    t = F.concat(F.lit("\n"), F.regexp_replace(F.regexp_replace(said, r"\r\n", "\n") if unified else said, r"(?md)^[ ]+|[ ]+$", ""))
+    after = lambda x: F.regexp_replace(x, rf"(?d)\A(?s:.*?)\n(?:{start})(?=\n|\z)", "")
+    inside = lambda x: F.regexp_replace(after(x), rf"(?d)\n(?:{stop})(?=\n|\z)(?s:.*)", "")
     lines = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(F.substr(x, F.lit(2)), "\n"))
-    return let(t, lambda x: F.when(x.rlike(rf"\n(?:{start})(?=\n|\z)"), let(inside(x), lines)))
+    return let(t, lambda x: F.when(x.rlike(rf"(?d)\n(?:{start})(?=\n|\z)"), let(inside(x), lines)))
 
 
 def bullet_count(lines: Column) -> Column:
