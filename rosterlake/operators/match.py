@@ -7,13 +7,15 @@ check allows it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.text import companies_match, company_name, jaccard
+from ..functions.text import companies_match, company_name
+from . import set_blocks
 
 
 def _grams(name: Column, n: int = 4) -> Column:
@@ -55,10 +57,11 @@ def best_jaccard(left: DataFrame, right: DataFrame, *, family: str, left_id: str
     same_rows: both sides are the same rows, and none is matched with its own id.
     Rows of null family are one family. Equal sets of a family are one class (by
     128-bit digests): only an equal set has similarity 1, so a row whose class
-    holds another right row is done; classes left over meet. Sets of similarity t
-    share one of the (1 - t) n + 1 first tokens in any common order, so only those
-    prefixes (rare tokens first) are joined, and only where length and place allow
-    the similarity. Null and empty sets match nothing.
+    holds another right row is done. Classes left over meet by size: sets whose
+    sizes allow the similarity are in one band of sizes or in neighbouring ones,
+    bands are cut into blocks of a bounded number of tokens, and blocks meet block
+    by block (`set_blocks.best`), so no pair of sets is ever a row. Words are
+    compared by 64-bit hashes. Null and empty sets match nothing.
     """
 
     def rows(df: DataFrame, id_col: str, token_col: str) -> DataFrame:
@@ -76,21 +79,25 @@ def best_jaccard(left: DataFrame, right: DataFrame, *, family: str, left_id: str
     sets = a.select("cls", "fam", "s").union(b.select("cls", "fam", "s")).groupBy("cls").agg(F.first("fam").alias("fam"), F.first("s").alias("s"))
     asks, answers = alone.select("cls").distinct().withColumn("asks", F.lit(True)), b.select("cls").distinct().withColumn("answers", F.lit(True))
     sides = sets.join(asks, "cls", "left").join(answers, "cls", "left").fillna(False, ["asks", "answers"]).filter("asks or answers")
-    tokens = sides.select("cls", "fam", "asks", "answers", F.size("s").alias("n"), F.explode("s").alias("t"))
-    counts = tokens.groupBy("fam", "t").agg(F.count("*").alias("df"), F.max("asks").alias("asked"), F.max("answers").alias("answered"))
-    order = tokens.join(counts, ["fam", "t"]).groupBy("cls", "fam", "asks", "answers", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t", F.expr("asked and answered").alias("both")))).alias("o"))
-    take = F.greatest(F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))
-    dealt = order.select("cls", "fam", "asks", "answers", "n", F.posexplode(F.slice("o", F.lit(1), take)).alias("pos", "x")).filter("x.both").select("cls", "fam", "asks", "answers", "n", "pos", F.col("x.t").alias("t"))
-    x = dealt.filter("asks").drop("asks", "answers")
-    y = dealt.filter("answers").select("fam", "t", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-    need = (F.col("n") + F.col("n2")) * F.lit(least / (1 + least)) - F.lit(1e-9)
-    # at the first shared token no more can be shared than what is left of either set
-    near = (F.least("n", "n2") >= F.greatest("n", "n2") * F.lit(least) - F.lit(1e-9)) & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
-    met = x.alias("x").join(y.alias("y"), (F.col("x.fam") == F.col("y.fam")) & (F.col("x.t") == F.col("y.t")) & (F.col("cls") != F.col("cls2")) & near)
-    pairs = met.select("cls", "cls2").distinct()
-    held = pairs.join(sets.select("cls", "s"), "cls").join(sets.select(F.col("cls").alias("cls2"), F.col("s").alias("s2")), "cls2")
-    scored = held.select("cls", "cls2", jaccard(F.col("s"), F.col("s2")).alias("similarity")).filter(F.col("similarity") >= least)
-    best = scored.join(firsts.select(F.col("cls").alias("cls2"), "first"), "cls2").groupBy("cls").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), F.col("first").alias("other"))).alias("x"))
+    hashed = sides.join(firsts.select("cls", "first"), "cls", "left").select("cls", "fam", "asks", "answers", "first", F.size("s").alias("n"), F.transform("s", lambda t: F.xxhash64(t)).alias("t"))
+    hashed = hashed.withColumn("band", F.floor(F.log("n") / F.lit(-math.log(least))).cast("int"))
+    sizes = hashed.groupBy("fam", "band").agg(F.greatest(F.ceil(F.sum("n") / F.lit(set_blocks.TOKENS)), F.ceil(F.count("*") / F.lit(set_blocks.SETS))).cast("int").alias("parts"))
+    dealt = hashed.join(sizes, ["fam", "band"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    # a block meets itself, the later blocks of its band and all of the next band: either end of a meeting is told by the rows' own block
+    near = sizes.select("fam", (F.col("band") - 1).alias("band"), F.col("parts").alias("above")), sizes.select("fam", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
+    ends = dealt.join(near[0], ["fam", "band"], "left").join(near[1], ["fam", "band"], "left")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    meeting = lambda band, p, other_band, q, side: F.struct(band.alias("m1"), p.alias("m2"), other_band.alias("m3"), q.alias("m4"), F.lit(side).alias("side"))
+    band, part = F.col("band"), F.col("part")
+    meets = F.concat(
+        F.transform(upto(F.col("parts")), lambda q: F.when(q >= part, meeting(band, part, band, q, 0)).otherwise(meeting(band, q, band, part, 1))),
+        F.transform(upto(F.coalesce("above", F.lit(0))), lambda q: meeting(band, part, band + 1, q, 0)),
+        F.transform(upto(F.coalesce("below", F.lit(0))), lambda q: meeting(band - 1, q, band, part, 1)),
+    )
+    met = ends.select("fam", "cls", "asks", "answers", "first", "n", "t", F.inline(meets))
+    kind = dict(b.dtypes)["id"]
+    scored = met.groupBy("fam", "m1", "m2", "m3", "m4").applyInArrow(set_blocks.best(least), f"cls string, similarity double, other {kind}")
+    best = scored.groupBy("cls").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "other")).alias("x"))
     found = own.filter("other is not null").select("id", "other", F.lit(1.0).alias("similarity"))
     found = found.union(alone.join(best, "cls").select("id", F.col("x.other"), -F.col("x.minus")))
     return found.select(F.col("id").alias(left_id), F.col("other").alias(right_id + "_best"), "similarity")

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from rosterlake.operators import claims
-from rosterlake.plans.all_queries import QUERIES
+import random
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+
+from rosterlake.operators import claims, set_blocks
+from rosterlake.plans.all_queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,3 +28,44 @@ def test_names_meet_by_their_keys_without_legal_forms(spark):
     source = spark.createDataFrame([(1, "Acme Bank Ltd"), (2, "Acme Bank Ltd")], "doc_id long, employer string")
     parsed = spark.createDataFrame([(1, "AcmeBank"), (2, "Acme")], "doc_id long, employer string")
     assert {r.doc_id: r.kept for r in claims.claimed_employers(source, parsed).collect()} == {1: "own", 2: "missing"}
+
+
+def same_as_sql(spark, name, folder, **tables):
+    for table, df in tables.items():
+        df.coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+    con = duckdb.connect()
+    for table in tables:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(folder))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE[name]})").fetchall()
+    assert Counter(map(tuple, df.collect())) == Counter(want)
+    return want
+
+
+def test_section_sizes_of_odd_lines(spark, tmp_path):
+    texts = ["Les.\na\nLaé b\nc", "Les.\na\nLa é", "Les.\na\nOf x\nb", "Les.\r\na\nThe", "Les.\na\r\nThe x\r\nb", "x\rLes.\ny", "x\n Les.  \ny", "Les.\n", "Les.", " Les.  \n\n  The  \nb", "Les.\nThe_\nLaw\nLa-", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert (0, 1) in same_as_sql(spark, "section_sizes_docs", tmp_path, documents=docs)
+
+
+def test_best_of_long_alike_texts(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.sample(words, rng.choice([2, 5, 20, 40, 55]))) for _ in range(300)] + ["a b c", "A, b; c", "", None, "!"]
+    docs = spark.createDataFrame([(k, rng.choice(["en", "de", None]), t) for k, t in enumerate(texts)], "doc_id long, lang string, text string").filter("lang is not null")
+    assert len(same_as_sql(spark, "jaccard_best", tmp_path, documents=docs)) > 50
+
+
+def test_pairs_of_texts_are_never_rows(spark):
+    assert "FlatMapGroupsInArrow" in plan(QUERIES["jaccard_best"](spark, SF))
+
+
+@pytest.mark.parametrize("sparse, listed", [(128, 2**22), (1, 7), (10**9, 5)])
+def test_intersections(monkeypatch, sparse, listed):
+    monkeypatch.setattr(set_blocks, "SPARSE", sparse)
+    monkeypatch.setattr(set_blocks, "LISTED", listed)
+    rng = random.Random(1)
+    sets = lambda k: [np.array(rng.sample(range(-3000, 3000), rng.choice([1, 3, 500]))) for _ in range(k)]
+    a, b = sets(40), sets(25)
+    assert set_blocks.intersections(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+    assert set_blocks.intersections([np.array([1])], [np.array([2])]).tolist() == [[0.0]]
