@@ -96,7 +96,9 @@ def _numbers(part: Column, currency: Column, rupees: Column) -> Column:
                 n = F.get(s, i).cast("decimal(24,6)")
                 own = is_scale(i + 1)
                 shape = F.concat_ws(" ", F.when(i > 0, at(i - 1)).otherwise("."), F.lit("N"), at(i + 1), at(i + 2), at(i + 3))
-                bare = F.regexp_replace(shape, r" N (?:big|m)(?= |$)", " N")
+                return let(F.struct(n.alias("n"), shape.alias("shape"), F.regexp_replace(shape, r" N (?:big|m)(?= |$)", " N").alias("bare")), lambda x: named(i, own, x["n"], x["shape"], x["bare"]))
+
+            def named(i: Column, own: Column, n: Column, shape: Column, bare: Column) -> Column:
                 kind = F.when(own & shape.rlike(r" N m paid") & (n > 12), "amount")
                 for name, rule in _SHAPES:
                     fits = F.when(F.lit("big" in rule or " m " in rule), shape).otherwise(bare).rlike(rule)
@@ -112,7 +114,8 @@ def _numbers(part: Column, currency: Column, rupees: Column) -> Column:
                 joined = F.when(own, (at(i + 2) == "range") & (at(i + 3) == "n")).otherwise((at(i + 1) == "range") & (at(i + 2) == "n"))
                 lent = F.when(~own & joined & (n < 1000) & is_scale(i + 3), F.get(s, i + 3)).otherwise("")
                 size = lambda w: F.coalesce(F.try_element_at(multiple, w), F.lit(1)).cast("decimal(12,0)")
-                return F.struct(n.alias("n"), word.alias("scale"), size(word).alias("factor"), size(F.when(own, word).otherwise(lent)).alias("span_factor"), F.when(vague & kind.otherwise("amount").isin("amount"), "vague").otherwise(kind.otherwise("amount")).alias("kind"), joined.alias("joined"))
+                told = let(kind.otherwise("amount"), lambda k: F.when(vague & (k == "amount"), "vague").otherwise(k))
+                return F.struct(n.alias("n"), word.alias("scale"), size(word).alias("factor"), size(F.when(own, word).otherwise(lent)).alias("span_factor"), told.alias("kind"), joined.alias("joined"))
 
             places = F.filter(F.transform(c, lambda k, i: F.when(k == "n", i)), lambda i: i.isNotNull())
             return F.transform(places, one)
@@ -162,7 +165,11 @@ def _all_numbers(parts: Column) -> Column:
 
 def amounts(text: Column) -> Column:
     """Monthly amounts of a note in order; periods, percentages and months left out."""
-    return _worked_out(text, lambda parts: F.transform(_of_kind(_all_numbers(parts), "amount"), lambda x: x["value"]))
+    return _worked_out(text, _amounts)
+
+
+def _amounts(parts: Column) -> Column:
+    return F.transform(_of_kind(_all_numbers(parts), "amount"), lambda x: x["value"])
 
 
 def first_amount(text: Column) -> Column:
@@ -178,6 +185,10 @@ def has_amount(text: Column) -> Column:
 def _span(parts: Column) -> Column:
     """struct(low, high): two amounts joined by a range sign, else the first amount for both; null if a percentage comes first or there is none."""
     numbers = F.filter(_all_numbers(parts), lambda x: x["kind"].isin("amount", "percent"))
+    return let(numbers, _span_of)
+
+
+def _span_of(numbers: Column) -> Column:
     found = F.filter(numbers, lambda x: (x["kind"] == "amount") & (x["span_value"] > 0))
     first, second = F.get(found, F.lit(0)), F.get(found, F.lit(1))
     pair = F.exists(numbers, lambda x: (x["kind"] == "amount") & x["joined"]) & second.isNotNull()
@@ -225,11 +236,16 @@ def guaranteed_months(text: Column) -> Column:
 def _fixed(parts: Column) -> Column:
     """struct(value, base, months, allowances): the base by its guaranteed months a twelfth, and fixed allowances."""
     # every amount with its component, in order
-    pairs = F.flatten(F.transform(parts, lambda p, i: F.transform(_of_kind(p["numbers"], "amount"), lambda x, k: F.struct(i.alias("i"), k.alias("k"), x["value"].alias("value"), ((x["scale"] == "k") | (x["value"] >= 1000)).alias("large"), p.alias("p"), F.size(_of_kind(p["numbers"], "amount")).alias("of")))))
+    paired = lambda p, i, own: F.transform(own, lambda x, k: F.struct(i.alias("i"), k.alias("k"), x["value"].alias("value"), ((x["scale"] == "k") | (x["value"] >= 1000)).alias("large"), p.alias("p"), F.size(own).alias("of")))
+    pairs = F.flatten(F.transform(parts, lambda p, i: let(_of_kind(p["numbers"], "amount"), lambda own: paired(p, i, own))))
+    return let(pairs, lambda found: _fixed_of(parts, found))
+
+
+def _fixed_of(parts: Column, pairs: Column) -> Column:
     named = lambda x: x["p"]["base"] & ~(x["p"]["allowance"] & ~x["p"]["base_first"])
     usable = F.filter(pairs, lambda x: (named(x) | ~x["p"]["excluded"]) & (x["large"] | named(x)))
     shown = lambda x: x["p"]["base"] & ~(x["p"]["allowance"] & ~(x["p"]["base_first"] | x["p"]["text"].rlike(r"\bsalary\b")))
-    base = F.coalesce(F.get(F.filter(usable, shown), F.lit(0)), F.get(F.filter(usable, lambda x: x["large"]), F.lit(0)), F.get(usable, F.lit(0)))
+    first = lambda u: F.coalesce(F.get(F.filter(u, shown), F.lit(0)), F.get(F.filter(u, lambda x: x["large"]), F.lit(0)), F.get(u, F.lit(0)))
 
     def worth(b: Column) -> Column:
         def adds(x: Column) -> Column:
@@ -243,17 +259,17 @@ def _fixed(parts: Column) -> Column:
         exact = b["value"].cast("decimal(20,0)") * months.cast("decimal(6,3)") / F.lit(12) + allowances
         return F.when(b.isNotNull(), F.struct(F.round(exact, 0).cast("long").alias("value"), b["value"].alias("base"), months.alias("months"), allowances.alias("allowances")))
 
-    return let(base, worth)
+    return let(let(usable, first), worth)
 
 
-def fixed_pay(text: Column) -> Column:
-    """struct(value, base, months, allowances) of a current pay note; null without a base.
+def fixed_pay(text: Column | None = None, parts: Column | None = None) -> Column:
+    """struct(value, base, months, allowances) of a current pay note, or of its `components` if these are there already; null without a base.
 
     The base is the first amount labelled as one, else the first of thousands;
     bonuses, funds and claims never are. Allowances, recurring sums and bare
     amounts of 50 at least add to it.
     """
-    return _worked_out(text, _fixed)
+    return _worked_out(text, _fixed) if parts is None else _fixed(parts)
 
 
 def expected_pay(text: Column, current: Column) -> Column:
@@ -288,12 +304,12 @@ def expected_pay(text: Column, current: Column) -> Column:
     return let(F.struct(pay_range(t).alias("range"), percent_range(t).alias("percent")), of)
 
 
-def base_confirmed(base: Column, months: Column, additions: Column, text: Column, trusted: Column) -> Column:
+def base_confirmed(base: Column, months: Column, additions: Column, text: Column | None, trusted: Column, parts: Column | None = None) -> Column:
     """What speaks against components given for a note: base, months, additions, evidence, missing; null if nothing does.
 
     The base must be one of the note's amounts to within 1, stated months must be
     equal (none stated: 12), additions may not exceed the other amounts. Without
-    amounts in the note the components must be `trusted`.
+    amounts in the note the components must be `trusted`. `parts` are the note's `components`, if these are there already.
     """
 
     def of(found: Column) -> Column:
@@ -309,7 +325,8 @@ def base_confirmed(base: Column, months: Column, additions: Column, text: Column
             .when((additions < 0) | (additions > F.greatest(base * 5, F.lit(10_000_000))) | ((F.size(given) > 0) & (additions > rest + 1)), "additions")
         )
 
-    return let(F.struct(amounts(text).alias("amounts"), guaranteed_months(text).alias("months")), of)
+    read = lambda p: F.struct(_amounts(p).alias("amounts"), _months(p).alias("months"))
+    return let(_worked_out(text, read) if parts is None else read(parts), of)
 
 
 def chosen_currency(expected: Column, current: Column, existing: Column) -> Column:

@@ -73,14 +73,16 @@ def without(text: Column, fits: Callable[[Column], Column], openers: Sequence[st
     Where the last sentence goes, so does the white space before it.
     """
 
-    def kept(found: Column) -> Column:
-        stay = F.filter(found, lambda p: ~F.coalesce(fits(F.rtrim(p, F.lit(_SPACE))), F.lit(False)))
+    def judged(found: Column) -> Column:
+        return let(F.filter(found, lambda p: ~F.coalesce(fits(F.rtrim(p, F.lit(_SPACE))), F.lit(False))), lambda stay: kept(found, stay))
+
+    def kept(found: Column, stay: Column) -> Column:
         removed = F.size(found) - F.size(stay)
         joined = F.array_join(stay, "")
         last_stays = F.coalesce(F.get(found, F.size(found) - 1) == F.get(stay, F.size(stay) - 1), F.lit(False))
         return F.struct(F.when((removed > 0) & ~last_stays, F.rtrim(joined, F.lit(_SPACE))).otherwise(joined).alias("text"), removed.alias("removed"))
 
-    return F.when(text.isNotNull(), let(pieces(text, openers), kept))
+    return F.when(text.isNotNull(), let(pieces(text, openers), judged))
 
 
 #: Money, words of pay, whose pay it is, and work on other people's pay.

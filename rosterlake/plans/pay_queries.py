@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cv, pay, sentences
+from ..functions.text import bound
 from ..operators import typos
 from .catalog import query, table
 
@@ -31,7 +32,7 @@ def _note() -> Column:
 
 @query(f"{_PARTS} SELECT k AS o_orderkey, base, m::DOUBLE AS months, a AS allowances, floor(base * m / 12.0 + a + 0.5)::BIGINT AS value FROM v WHERE base > 0")
 def pay_fixed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", pay.fixed_pay(_note()).alias("p")).filter("p is not null")
+    rows = bound(bound(table(spark, sf_dir, "orders").select("o_orderkey"), note=_note()), p=pay.fixed_pay(F.col("note"))).filter("p is not null")
     return rows.select("o_orderkey", F.col("p.base").alias("base"), F.col("p.months").alias("months"), F.col("p.allowances").alias("allowances"), F.col("p.value").alias("value"))
 
 
@@ -60,12 +61,13 @@ def pay_expected_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_PARTS} SELECT k AS o_orderkey, CASE WHEN k % 7 = 0 THEN 'base' WHEN k % 5 = 0 AND m <> 15 THEN 'months' WHEN k % 11 = 0 THEN 'additions' END AS against FROM v WHERE base > 0""")
 def pay_components_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Given components against the note: of every seventh the base is wrong, of every fifth the months, of every eleventh the sum added."""
-    k, note = F.col("o_orderkey"), _note()
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", note.alias("note"), pay.fixed_pay(note).alias("p")).filter("p is not null")
+    k = F.col("o_orderkey")
+    rows = bound(bound(table(spark, sf_dir, "orders").select("o_orderkey"), note=_note()), parts=pay.components(F.col("note")))
+    rows = bound(rows, p=pay.fixed_pay(parts=F.col("parts"))).filter("p is not null")
     base = F.when(k % 7 == 0, F.col("p.base") + 7).otherwise(F.col("p.base")).cast("double")
     months = F.when(k % 5 == 0, F.lit(15.0)).otherwise(F.col("p.months"))
     added = F.when(k % 11 == 0, F.lit(10_000_001.0)).otherwise(F.col("p.allowances").cast("double"))
-    return rows.select("o_orderkey", pay.base_confirmed(base, months, added, F.col("note"), F.lit(True)).alias("against"))
+    return rows.select("o_orderkey", pay.base_confirmed(base, months, added, None, F.lit(True), F.col("parts")).alias("against"))
 
 
 _FACTS = ["Worked at Acme Co. Ltd in Ipoh.", "Based in the U.S.", "Skilled in C.", "Reports to Dr. Lim, e.g. weekly.", "Managed payroll of RM 9,000 for 40 staff.", "Improved margin by 5.5%."]
@@ -79,7 +81,8 @@ def pay_sentences_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact, stated, other = _pick(_FACTS, k), _pick(_STATED, F.floor(k / 6)), _pick(_STATED[:2], F.floor(k / 30))
     gap = F.when(k % 3 == 2, "\n").otherwise("  ")
     text = F.when(k % 3 == 1, F.concat(fact, F.lit(" \n"), stated)).otherwise(F.concat(fact, gap, stated, F.lit("\n"), other, F.lit(" "), F.lit("Ends here.")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", sentences.pay_removed(text).alias("x")).select("o_orderkey", F.col("x.text").alias("kept"), F.col("x.removed").alias("removed"))
+    rows = bound(bound(table(spark, sf_dir, "orders").select("o_orderkey"), said=text), x=sentences.pay_removed(F.col("said")))
+    return rows.select("o_orderkey", F.col("x.text").alias("kept"), F.col("x.removed").alias("removed"))
 
 
 _UNIT = ["month", "monhts", "Wek", "weeks", "daay", "dayz"]
