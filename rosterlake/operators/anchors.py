@@ -19,7 +19,7 @@ from .work_history import text_lines
 MOST_WORDS = 12
 #: Words that may follow a name in its heading.
 TAIL_WORDS = ("present", "current", "now", "to", "till", "date", "sdn", "bhd", "ltd", "limited", "inc", "pte", "malaysia", "singapore", "full", "time", "part", "contract", "permanent")
-_TAIL = rf"^(?: (?:\d{{1,4}}|(?:{'|'.join(MONTHS)})[a-z]*|{'|'.join(TAIL_WORDS)}))*$"
+_TAIL = rf"(?: (?:\d{{1,4}}|(?:{'|'.join(MONTHS)})[a-z]*|{'|'.join(TAIL_WORDS)}))*$"
 
 
 def word_form(text: Column) -> Column:
@@ -43,11 +43,15 @@ def headings(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     """
     lines = text_lines(docs, id_col, text_col)
     lines = bound(lines, words=word_form(F.col("line"))).filter("words <> ''")
-    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.size(F.split("words", " ")), F.lit(MOST_WORDS))), lambda k: F.array_join(F.slice(F.split("words", " "), F.lit(1), k), " "))
+    # a name ends where only tail words follow, so other beginnings need not be looked up; longer names go by their first words
+    count = lambda c: F.size(F.split(c, " ")) - 1
+    lines = bound(lines, total=count(F.col("words")) + 1, tail=count(F.regexp_extract("words", _TAIL, 0)))
+    most = F.least("total", F.lit(MOST_WORDS))
+    prefixes = F.transform(F.sequence(F.least(F.greatest(F.col("total") - F.col("tail"), F.lit(1)), most), most), lambda k: F.array_join(F.slice(F.split("words", " "), F.lit(1), k), " "))
     lines = lines.select("row", "id", "n", "words", F.explode(prefixes).alias("head"))
     names = items.select(F.col(id_col).alias("item_of"), F.col(name_col).alias("name")).distinct().withColumn("said", word_form(F.col("name"))).filter("said <> ''")
     met = lines.join(names.withColumn("first", F.substring_index("said", " ", MOST_WORDS)), (F.col("id") == F.col("item_of")) & (F.col("head") == F.col("first")))
-    fits = F.col("words").startswith(F.col("said")) & F.substr("words", F.char_length("said") + 1).rlike(_TAIL)
+    fits = F.col("words").startswith(F.col("said")) & F.substr("words", F.char_length("said") + 1).rlike("^" + _TAIL)
     return met.filter(fits).select("row", F.col("id").alias(id_col), "name", F.col("n").alias("line"))
 
 
@@ -59,12 +63,14 @@ def regions(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     """
     found = headings(docs, items, id_col, text_col, name_col)
     once = F.count("*").over(Window.partitionBy("row", "name")) == 1
-    marks = found.withColumn("once", once).groupBy("row", "line").agg(F.collect_list(F.when(F.col("once"), F.col("name"))).alias("names"))
-    lines = text_lines(docs, id_col, text_col).withColumnRenamed("n", "line_no")
-    marked = lines.join(marks.withColumnRenamed("row", "mark_row").withColumnRenamed("line", "mark_line"), (F.col("row") == F.col("mark_row")) & (F.col("line_no") == F.col("mark_line")), "left")
-    w = Window.partitionBy("row").orderBy("line_no")
-    cut = marked.withColumn("region", F.count("mark_line").over(w)).filter("region > 0")
-    parts = cut.groupBy("row", "region").agg(F.first("id").alias("id"), F.min("line_no").alias("line"), F.max("names").alias("names"), F.sort_array(F.collect_list(F.when(F.col("mark_line").isNull(), F.struct("line_no", F.trim("line").alias("said"))))).alias("said"))
+    marks = found.withColumn("once", once).groupBy("row", "line").agg(F.first(id_col).alias("id"), F.collect_list(F.when(F.col("once"), F.col("name"))).alias("names"))
+    # a heading's mark stands before its line, so lines move once, by their document
+    lines = text_lines(docs, id_col, text_col).select("row", "id", F.col("n").alias("line_no"), "line", F.lit(None).cast("array<string>").alias("names"), F.lit(True).alias("is_line"))
+    both = lines.union(marks.select("row", "id", "line", F.lit(None).cast("string"), "names", F.lit(False)))
+    w = Window.partitionBy("row").orderBy("line_no", "is_line")
+    heading = F.coalesce(F.lag("line_no").over(w) == F.col("line_no"), F.lit(False))
+    cut = both.withColumn("heading", heading).withColumn("region", F.count("names").over(w)).filter("region > 0")
+    parts = cut.groupBy("row", "region").agg(F.first("id").alias("id"), F.min("line_no").alias("line"), F.max("names").alias("names"), F.sort_array(F.collect_list(F.when(F.col("is_line") & ~F.col("heading"), F.struct("line_no", F.trim("line").alias("said"))))).alias("said"))
     return parts.select(F.col("id").alias(id_col), F.explode("names").alias("name"), F.col("line").cast("long").alias("line"), F.transform("said", lambda x: x["said"]).alias("lines"))
 
 

@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from rosterlake.operators import claims, set_blocks
+from rosterlake.operators import anchors, claims, set_blocks
 from rosterlake.plans.all_queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +69,18 @@ def test_intersections(monkeypatch, sparse, listed):
     a, b = sets(40), sets(25)
     assert set_blocks.intersections(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
     assert set_blocks.intersections([np.array([1])], [np.array([2])]).tolist() == [[0.0]]
+
+
+@pytest.mark.parametrize("name", ["pay_fixed_orders", "pay_components_orders", "pay_sentences_orders", "posted_date_parse"])
+def test_notes_are_read_once(spark, name):
+    # what is read from a text is made in one place and not again in a filter or for another field
+    text = plan(QUERIES[name](spark, SF))
+    assert "Filter isnotnull(element_at" not in text and "Generate explode(array(struct(" in text
+
+
+def test_lines_are_looked_up_by_few_beginnings(spark):
+    docs = spark.createDataFrame([(1, "Acme Bank Berhad, Jan 2001 to Present\n" + "one two three four five six\n" * 3)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Acme Bank Berhad"), (1, "one two"), (1, "Acme Bank Berhad Jan")], "doc_id long, name string")
+    assert {(r.name, r.line) for r in anchors.headings(docs, items).collect()} == {("Acme Bank Berhad", 0), ("Acme Bank Berhad Jan", 0)}
+    assert [r.lines for r in anchors.regions(docs, items).filter("name = 'Acme Bank Berhad'").collect()] == [["one two three four five six"] * 3]
+    assert plan(anchors.regions(docs, items)).count("SortMergeJoin") + plan(anchors.regions(docs, items)).count("BroadcastHashJoin") <= 1
