@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, money
+from ..functions.text import bound
 from ..operators import costs
 from .catalog import query, table
 
@@ -118,8 +119,9 @@ def posted_date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_of = date(2024, 2, 1)
     day = F.col("ts").cast("date")
     text = F.when(F.col("event_id") % 3 == 0, F.date_format(day, "yyyy-MM-dd")).when(F.col("event_id") % 3 == 1, F.date_format(day, "dd/MM/yyyy")).otherwise(F.concat(F.datediff(F.lit(as_of), day).cast("string"), F.lit(" days ago")))
-    posted, days = dates.posted_date(text, as_of)
-    return table(spark, sf_dir, "events").select("event_id", posted.alias("posted"), days.alias("days_open"))
+    rows = bound(table(spark, sf_dir, "events").select("event_id", "ts"), said=text)
+    rows = bound(rows, x=dates.posted(F.col("said"), as_of))
+    return rows.select("event_id", F.col("x.posted").alias("posted"), F.col("x.days").alias("days_open"))
 
 
 @query("""SELECT o_orderkey, (year(o_orderdate) * 12 + month(o_orderdate) - 1)::INT AS a, (year(o_orderdate) * 12 + month(o_orderdate) - 1)::INT AS b FROM orders""")
