@@ -124,7 +124,12 @@ SAME_EMPLOYER = 0.67
 def employers_match(a: Column, b: Column) -> Column:
     """Equal match keys, or at least SAME_EMPLOYER of the tokens shared."""
     key = match_key(a)
-    return ((key != "") & (key == match_key(b))) | (token_overlap(tokens(a), tokens(b)) >= SAME_EMPLOYER)
+    return ((key != "") & (key == match_key(b))) | (_shared(a, b) >= SAME_EMPLOYER)
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """The overlap of the tokens of two texts, each cut once."""
+    return let(F.struct(tokens(a).alias("a"), tokens(b).alias("b")), lambda x: token_overlap(x["a"], x["b"]))
 
 
 def distinct_employers(names: Column) -> Column:
@@ -145,8 +150,8 @@ def row_match_score(row: dict[str, Column], role: dict[str, Column]) -> Column:
     """How well a table's row fits a role, by company (5, 3 or 1.5), title (3, 2 or 1) and dates (2.5, else 1 an end)."""
 
     def part(a: Column, b: Column, equal: float, near: float, far: float) -> Column:
-        shared = token_overlap(tokens(a), tokens(b))
-        return F.when((match_key(a) != "") & (match_key(a) == match_key(b)), equal).when(shared >= 0.67, near).when(shared >= 0.34, far).otherwise(0.0)
+        apart = let(_shared(a, b), lambda shared: F.when(shared >= 0.67, near).when(shared >= 0.34, far).otherwise(0.0))
+        return F.when((match_key(a) != "") & (match_key(a) == match_key(b)), equal).otherwise(apart)
 
     one = lambda a, b: F.when((a != "") & (a == b), 1.0).otherwise(0.0)
 
