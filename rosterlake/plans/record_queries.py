@@ -46,7 +46,8 @@ def record_options_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, even = F.col("p_name"), F.col("p_partkey") % 2 == 0
     options = F.when(even, _json(("items", F.array(F.struct(name.alias("label")), F.struct(F.upper(name).alias("label")), F.struct(F.col("p_type").alias("label")))))).otherwise(_json(("data", F.array(F.struct(F.struct(F.col("p_brand").alias("text")).alias("value"), F.lit("").alias("name")), F.struct(F.struct(name.alias("text")).alias("value"), F.lit(None).cast("string").alias("name"))))))
     file = F.when(even, F.to_json(F.array(F.struct(F.concat(F.lit("a"), F.col("p_partkey").cast("string")).alias("attachmentId"), F.lit("Formatted Resume.pdf").alias("fileName")), F.struct(F.lit("b").alias("attachmentId"), F.lit("photo.png").alias("fileName"))))).otherwise(F.to_json(F.array(F.struct(F.lit(7).alias("id"), F.lit("My CV").alias("title")))))
-    return table(spark, sf_dir, "part").select("p_partkey", json_records.option_values(options).alias("options"), json_records.resume_files(file)["ids"].alias("ids"))
+    rows = bound(table(spark, sf_dir, "part"), options=options, file=file)
+    return rows.select("p_partkey", json_records.option_values(F.col("options")).alias("options"), json_records.resume_files(F.col("file"))["ids"].alias("ids"))
 
 
 @query("""SELECT event_id, '{"a":{"t":"' || CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'own' END || '","u":' || user_id || '},"l":[1' || CASE WHEN event_id % 3 <> 1 THEN ',' || event_id % 3 ELSE '' END || ']}' AS filled,
