@@ -6,6 +6,9 @@ values of windows over a text's lines, so the work is in proportion to the text.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,14 +51,35 @@ _ORG = rf"(?i)\b(?:{'|'.join(LEGAL_FORMS)}|university|bank|systems|solutions|ser
 _STEP = 1000
 
 
-def _letters(line: Column) -> Column:
-    return F.regexp_replace(F.lower(line), "[^a-z]", "")
+#: Where lines end; in brackets of a pattern.
+_ENDS = r"\n\r\x0b\x0c\x85\u2028\u2029"
+
+
+#: Signs whose small form holds one of a to z; in brackets of a pattern.
+_LETTERS = r"a-zA-Z\u0130\u212a"
+
+
+def _spelt(words: tuple[str, ...], between: str) -> str:
+    """A pattern of words, in either case, with any run of `between` behind each letter; beginnings that words share are tried once."""
+    nexts: dict[str, list[str]] = {}
+    for w in words:
+        nexts.setdefault(w[:1], []).append(w[1:])
+    ends = nexts.pop("", None) is not None
+    also = {"i": r"\u0130", "k": r"\u212a"}
+    found = "|".join(f"[{c}{c.upper()}{also.get(c, '')}]{between}{_spelt(tuple(rest), between)}" for c, rest in nexts.items())
+    return f"(?:{found}){'?' * ends}" if found else ""
+
+
+def _reads(line: Column, words: tuple[str, ...]) -> Column:
+    """Whether the letters of a line are those of one of the words."""
+    other = rf"[^{_LETTERS}]*+"
+    return line.rlike(rf"^{other}{_spelt(words, other)}\z")
 
 
 def _shown(date: Column) -> Column:
     """`Aug 2011` or `2011` of a date, `Present` of an open end."""
     year = F.right(date, F.lit(4))
-    number = F.regexp_extract(date, r"^(\d{1,2})/", 1).try_cast("int")
+    number = F.nullif(F.regexp_extract(date, r"^(\d{1,2})/", 1), F.lit("")).try_cast("int")  # a cast that fails costs an exception
     name = F.coalesce(F.get(F.array(*(F.lit(m.title()) for m in MONTHS)), number - 1), F.initcap(F.nullif(F.regexp_extract(date, r"^([A-Za-z]{3})", 1), F.lit(""))))
     return F.when(date == "", "").when(F.lower(date).isin(*OPEN_ENDS), "Present").when(name.isNull(), year).otherwise(F.concat_ws(" ", name, year))
 
@@ -85,7 +109,7 @@ def _kinds(cells: Column) -> Column:
 
 def text_lines(docs: DataFrame, id_col: str, text_col: str, *carried: str) -> DataFrame:
     """(row, id, n, line, ...): the lines of each text that are not blank, numbered from 0; `row` tells repeated rows apart."""
-    clean = F.regexp_replace(F.regexp_replace(F.col(text_col), "[｜│¦]", "|"), r"[\u00a0\u3000]", " ")
+    clean = F.when(reduce(or_, (F.col(text_col).contains(c) for c in "｜│¦\u00a0\u3000")), F.regexp_replace(F.regexp_replace(F.col(text_col), "[｜│¦]", "|"), r"[\u00a0\u3000]", " ")).otherwise(F.col(text_col))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), *(F.col(c).alias(f"with_{c}") for c in carried), clean.alias("text"))
     lines = rows.select(*(c for c in rows.columns if c != "text"), F.posexplode(F.split("text", r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")).alias("n", "line"))
     return lines.filter(F.trim("line", F.lit(" \t")) != "")
@@ -93,8 +117,8 @@ def text_lines(docs: DataFrame, id_col: str, text_col: str, *carried: str) -> Da
 
 def section_numbers(lines: DataFrame, wanted: tuple[str, ...], others: tuple[str, ...]) -> DataFrame:
     """The lines of the wanted sections, numbered by `section`; headings, told by their letters, belong to none."""
-    key = F.when(F.char_length("line") <= 80, _letters(F.col("line")))
-    heads = lines.withColumn("head", F.when(key.isin(*wanted), 1).when(key.isin(*others), 0))
+    line = F.col("line")
+    heads = lines.withColumn("head", F.when((F.char_length(line) <= 80) & _reads(line, wanted + others), F.when(_reads(line, wanted), 1).otherwise(0)))
     w = Window.partitionBy("row").orderBy("n")
     cut = heads.withColumn("inside", F.last("head", ignorenulls=True).over(w)).withColumn("section", F.count("head").over(w))
     return cut.filter("inside = 1 and head is null").drop("inside", "head")
@@ -102,7 +126,8 @@ def section_numbers(lines: DataFrame, wanted: tuple[str, ...], others: tuple[str
 
 def _has_heading(text: Column, wanted: tuple[str, ...]) -> Column:
     """Whether section_numbers would find a wanted section, told before lines are made."""
-    return F.regexp_replace(F.lower(text), r"[^a-z\n\r\x0b\x0c\x85\u2028\u2029]", "").rlike(rf"(?:^|[\n\r\x0b\x0c\x85\u2028\u2029])(?:{'|'.join(wanted)})(?:[\n\r\x0b\x0c\x85\u2028\u2029]|$)")
+    other = rf"[^{_LETTERS}{_ENDS}]*+"
+    return F.concat(F.lit("\n"), text).rlike(rf"[{_ENDS}]{other}{_spelt(wanted, other)}(?:[{_ENDS}]|\z)")
 
 
 def _of_pair(first: Column, second: Column, title_first: Column) -> Column:
@@ -162,8 +187,8 @@ def work_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     goes_on = near & ~F.col("bullet") & ~F.col("above.bullet") & F.col("header").isNull() & F.col("above.header").isNull() & partial & unseen & ~((F.col("form") == "bar") & (F.size("cells") >= F.col("above.cells")) & ~F.col("above.unfinished"))
     lines = lines.withColumn("goes_on", F.coalesce(goes_on, F.lit(False)))
     lines = lines.withColumn("part", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(by_line))
-    in_section = Window.partitionBy("row", "section").orderBy("n")
-    lines = lines.withColumn("told", F.last(F.when(F.col("header").isNotNull(), F.struct("form", "header")), ignorenulls=True).over(in_section))
+    told = F.last(F.when(F.col("header").isNotNull(), F.struct("section", "form", "header")), ignorenulls=True).over(by_line)
+    lines = lines.withColumn("told", told).withColumn("told", F.when(F.col("told.section") == F.col("section"), F.col("told")))
 
     head = ["id", "section", "form", "told", "above", "dated", *(f"with_{c}" for c in titles)]
     parts = lines.groupBy("row", "part").agg(F.min("n").alias("n"), *(F.min_by(c, "n").alias(c) for c in head), F.min_by("cells", "n").alias("first"), F.sort_array(F.collect_list(F.struct("n", "cells"))).alias("lines"))
@@ -175,17 +200,18 @@ def work_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     def filled(columns: Column) -> Column:
         stop = lambda i: F.coalesce(F.try_element_at(columns, i + 2)["at"], F.lit(1 << 30))
         inside = lambda c, i: F.filter(all_cells, lambda x: (x["at"] + 1 >= F.when(i == 0, F.lit(-1)).otherwise(c["at"])) & (x["at"] + 1 < stop(i)))
-        return F.transform(columns, lambda c, i: F.struct(c["kind"].alias("kind"), F.array_join(F.transform(inside(c, i), lambda x: x["text"]), " ").alias("text")))
+        texts = F.transform(columns, lambda c, i: F.struct(c["kind"].alias("kind"), F.array_join(F.transform(inside(c, i), lambda x: x["text"]), " ").alias("text")))
+        return F.transform(texts, lambda c: F.struct(c["kind"].alias("kind"), c["text"].alias("text"), c["text"].rlike(_SPAN).alias("spans")))
 
     parts = bound(parts, columns=let(stated, filled), has_header=with_header.isNotNull())
     of = lambda kind: F.get(F.filter("columns", lambda c: c["kind"] == kind), F.lit(0))["text"]
-    parts = bound(parts, span=F.coalesce(F.get(F.filter("columns", lambda c: c["text"].rlike(_SPAN)), F.lit(0))["text"], F.when(of("from").isNotNull(), F.concat_ws(" - ", of("from"), of("to")))))
+    parts = bound(parts, span=F.coalesce(F.get(F.filter("columns", lambda c: c["spans"]), F.lit(0))["text"], F.when(of("from").isNotNull(), F.concat_ws(" - ", of("from"), of("to")))))
     parts = parts.filter(F.col("span").rlike(_SPAN))
     parts = bound(parts, start=F.regexp_extract("span", _SPAN, 1), stop=F.regexp_extract("span", _SPAN, 2), rest=F.trim(F.regexp_replace("span", _SPAN, ""), F.lit(" ,;:|-")))
-    others = F.transform(F.filter("columns", lambda c: (c["text"] != "") & ~c["text"].rlike(_SPAN)), lambda c: c["text"])
+    others = F.transform(F.filter("columns", lambda c: (c["text"] != "") & ~c["spans"]), lambda c: c["text"])
     parts = bound(parts, others=F.when(F.col("rest") != "", F.array_insert(others, 1, F.col("rest"))).otherwise(others))
     title_of = F.coalesce(F.get(F.filter("others", lambda o: o.rlike(_ROLE)), F.lit(0)), F.get("others", F.lit(0)))
-    rows = bound(parts, span_first=F.get("columns", F.lit(0))["text"].rlike(_SPAN))
+    rows = bound(parts, span_first=F.get("columns", F.lit(0))["spans"])
     known = F.col(f"with_{titles_col}") if titles_col else F.array().cast("array<string>")
     over = F.col("above")
     over_title = (over["section"] == F.col("section")) & ~over["dated"] & ~over["bullet"] & over["header"].isNull() & (over["cells"] == 1)
@@ -199,8 +225,9 @@ def work_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     )
     rows = bound(rows, pair=pair).select("row", "id", "n", F.trim("pair.title").alias("title"), F.trim("pair.employer").alias("employer"), _shown(F.col("start")).alias("start"), _shown(F.col("stop")).alias("stop"))
     rows = rows.filter(F.col("title").rlike(r"\p{L}") & F.col("employer").rlike(r"\p{L}") & (F.char_length("employer") <= MAX_EMPLOYER) & (F.char_length("title") <= MAX_TITLE))
-    same = Window.partitionBy("row", match_key(F.col("title")), match_key(F.col("employer")), "start", "stop")
-    rows = rows.withColumn("times", F.count("*").over(same)).withColumn("nth", F.row_number().over(same.orderBy("n"))).filter("nth = 1")
+    rows = bound(rows, title_key=match_key(F.col("title")), employer_key=match_key(F.col("employer")))
+    same = Window.partitionBy("row", "title_key", "employer_key", "start", "stop").orderBy("n")
+    rows = rows.withColumn("times", F.count("*").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("nth", F.row_number().over(same)).filter("nth = 1")
     return rows.select(F.col("id").alias(id_col), F.row_number().over(by_line).cast("long").alias("ordinal"), "title", "employer", "start", "stop", "times", F.col("n").cast("long").alias("line"))
 
 
