@@ -13,7 +13,10 @@ from __future__ import annotations
 import gc
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain, count
+from operator import attrgetter, itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -87,12 +90,13 @@ class Aligner:
         odd = {x for p in pieces for x, y in zip(p, p[1:], strict=False) if y in _SIGNS and (x.isalpha() or x.isnumeric())}
         self.cut = re.compile(rf"(?<=[^\W\d_{re.escape(''.join(sorted(odd)))}])(?=[{re.escape(_SIGNS)}])")
         self.wide = re.compile(r"(?<=\S)(?= )")
-        self.said = [[b"%d%s" % (k, sign) for k in range(max(len(self.bytes_a), len(self.bytes_b)))] for sign in (b",", b"|", b";")]
+        self.many_ids = max(len(self.bytes_a), len(self.bytes_b))
+        self.said = [b"%d%s" % (k, sign) for sign in (b",", b"|", b";") for k in range(self.many_ids)]
         self.parts, self.words = Kept(keep), Kept(keep // 2)
 
     def _tokens_a(self, text: str, raw: bytes) -> tuple[list[int], np.ndarray] | None:
         got = self.a.encode(text, add_special_tokens=False)
-        ids, spans = got.ids, np.array(got.offsets, dtype=np.int64).reshape(-1, 2)
+        ids, spans = got.ids, np.fromiter(chain.from_iterable(got.offsets), np.int64, 2 * len(got.ids)).reshape(-1, 2)
         if len(raw) != len(text):  # offsets count characters
             code = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
             place = np.r_[0, np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))]
@@ -104,7 +108,7 @@ class Aligner:
     def _tokens_b(self, text: str, raw: bytes) -> tuple[list[int], np.ndarray] | None:
         """Of a text that begins with a line end; the space that the library puts before it has no bytes of it."""
         got = self.b.encode(text, return_type="proto").pieces
-        ids, begin, end = [p.id for p in got][1:], [p.begin for p in got][1:], [p.end for p in got][1:]
+        ids, begin, end = (list(map(attrgetter(c), got))[1:] for c in ("id", "begin", "end"))
         held = list(map(self.bytes_b.__getitem__, ids))
         ends = refined(np.array(begin, np.int64), np.array(end, np.int64), np.fromiter(map(len, held), np.int64, len(held)))
         return None if ends is None or b"".join(held) != raw else (ids, ends)
@@ -132,9 +136,8 @@ class Aligner:
         group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
         last_a, last_b = end_a == shared[group_a], end_b == shared[group_b]
         order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-        sign = np.concatenate([last_a, 2 * last_b])[order].tolist()
         ids = np.array([*a, *b], dtype=np.int64)
-        said = [self.said[k][x] for k, x in zip(sign, ids[order].tolist(), strict=True)]
+        said = list(map(self.said.__getitem__, (np.concatenate([last_a, 2 * last_b]) * self.many_ids + ids)[order].tolist()))
         links = (ids[: len(a)][last_a] << 32 | ids[len(a) :][last_b]).tolist()
         n_a, n_b, n_groups = (np.searchsorted(e, stops, side="right").tolist() for e in (end_a, end_b, shared))
         out, i, j, g = [], 0, 0, 0
@@ -161,29 +164,29 @@ class Aligner:
     def many(self, texts: list[str | None]) -> Run:
         """The alignment of texts: each distinct stretch between spaces is looked up once, all else is counted in arrays."""
         split = [t.split(" ") if t else [] for t in texts]
-        place: dict[str, int] = {}
-        number = [[place.setdefault(w, len(place)) for w in s] for s in split]
+        place: dict[str, int] = defaultdict(count().__next__)
+        number = [list(map(place.__getitem__, s)) for s in split]
         wide = {k for w, k in place.items() if not w or w[-1].isspace()}
         if wide:  # white space runs over the cuts of some
             for k, ids in enumerate(number):
                 if not wide.isdisjoint(ids):
-                    number[k] = [place.setdefault(p[1:], len(place)) for p in self.wide.split(" " + texts[k])]
-        used = set().union(*number)
+                    number[k] = [place[p[1:]] for p in self.wide.split(" " + texts[k])]
+        used = set().union(*number) if wide else place.values()
         known, new = self.words.held({w for w, k in place.items() if k in used} if len(used) < len(place) else place.keys())
         known |= self._missing(new)
         of = [known.get(w, _DIFFERS) for w in place]
 
         counts = np.fromiter(map(len, number), np.int64, len(number))
         text_of = np.repeat(np.arange(len(texts)), counts)
-        word = np.fromiter((k for ids in number for k in ids), np.int64, len(text_of))
-        n_a, n_b = (np.fromiter((v[c] for v in of), np.int64, len(of)) for c in (0, 1))
+        word = np.fromiter(chain.from_iterable(number), np.int64, len(text_of))
+        n_a, n_b = (np.fromiter(map(itemgetter(c), of), np.int64, len(of)) for c in (0, 1))
         whole = np.bincount(text_of, weights=n_a[word] == 0, minlength=len(texts)) == 0
         total = lambda n: np.bincount(text_of, weights=n[word], minlength=len(texts)).astype(np.int64) * whole
-        groups = [v.groups for v in of]
+        groups, pairs = (list(map(itemgetter(c), of)) for c in (2, 3))
         said = [b";".join([groups[k] for k in ids]) if w else b"" for ids, w in zip(number, whole.tolist(), strict=True)]
 
-        links = np.fromiter((len(v.pairs) for v in of), np.int64, len(of))
-        code, pair = np.unique(np.fromiter((x for v in of for x in v.pairs), np.int64, int(links.sum())), return_inverse=True)
+        links = np.fromiter(map(len, pairs), np.int64, len(of))
+        code, pair = np.unique(np.fromiter(chain.from_iterable(pairs), np.int64, int(links.sum())), return_inverse=True)
         first = np.cumsum(links) - links
         word, text_of = word[whole[text_of]], text_of[whole[text_of]]
         n = links[word]
@@ -231,10 +234,13 @@ class Kept:
     def keep(self, made: dict[str, Aligned]) -> None:
         if len(self.new) + len(made) > self.half:
             self.old, self.new = self.new, {}
-        self.new |= made if all(len(k) <= KEEP_CHARS for k in made) else {k: v for k, v in made.items() if len(k) <= KEEP_CHARS}
+        self.new |= made if max(map(len, made), default=0) <= KEEP_CHARS else {k: v for k, v in made.items() if len(k) <= KEEP_CHARS}
 
 
 def _joined(parts: list[Aligned]) -> Aligned:
+    if len(parts) == 2:  # a word and its sign
+        x, y = parts
+        return Aligned(x[0] + y[0], x[1] + y[1], b"%b;%b" % (x[2], y[2]), x[3] + y[3]) if x[0] and y[0] else _DIFFERS
     if not all(p.n_a for p in parts):
         return _DIFFERS
     return Aligned(sum(p.n_a for p in parts), sum(p.n_b for p in parts), b";".join([p.groups for p in parts]), sum((p.pairs for p in parts), ()))

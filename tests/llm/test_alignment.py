@@ -119,3 +119,12 @@ def test_empty_table(spark):
     assert alignment.alignment_digests(docs).collect() == []
     none = spark.createDataFrame([(1, None), (None, "")], "doc_id long, text string")
     assert rows_of(alignment.alignment_digests(none)) == [(1, 0, 0, 0, "", 0, 0, 0), (None, 0, 0, 0, "", 0, 0, 0)]
+
+
+def test_parts_of_a_word_are_joined_and_ids_said():
+    """Two parts of a word are joined at once; one that no tokenizer keeps leaves the word without tokens."""
+    x, none = alignment.Aligned(2, 1, b"1,2|3", (4,)), alignment._DIFFERS
+    assert alignment._joined([x, x]) == alignment.Aligned(4, 2, b"1,2|3;1,2|3", (4, 4))
+    assert alignment._joined([x, none]) == alignment._joined([none, x]) == alignment._joined([x, x, none]) == none
+    aligner = alignment.Aligner(default_path(), alignment.piece_path())
+    assert len(aligner.said) == 3 * aligner.many_ids and aligner.said[aligner.many_ids + 7] == b"7|"
