@@ -12,10 +12,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..functions.text import companies_match, company_name
-from . import set_blocks
+from . import phrases, set_blocks
+
+#: Most bytes of distinct quotes that are sent to all tasks.
+QUOTES = 2**22
 
 
 def _grams(name: Column, n: int = 4) -> Column:
@@ -103,25 +107,43 @@ def best_jaccard(left: DataFrame, right: DataFrame, *, family: str, left_id: str
     return found.select(F.col("id").alias(left_id), F.col("other").alias(right_id + "_best"), "similarity")
 
 
+def _flat(c: str) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
+
+
 def grouped_evidence(quotes: DataFrame, texts: DataFrame, key: str, quote_col: str, text_col: str) -> DataFrame:
     """quotes with grounded: whether the quote stands in the text of its key, white space squeezed."""
-    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
     joined = quotes.join(texts.select(key, F.col(text_col).alias("__text")), key, "left")
-    return joined.withColumn("grounded", (flat(quote_col) != "") & flat("__text").contains(flat(quote_col))).drop("__text")
+    return joined.withColumn("grounded", (_flat(quote_col) != "") & _flat("__text").contains(_flat(quote_col))).drop("__text")
 
 
-def evidence_anywhere(quotes: DataFrame, texts: DataFrame, quote_col: str, id_col: str, text_col: str) -> DataFrame:
+def evidence_anywhere(quotes: DataFrame, texts: DataFrame, quote_col: str, id_col: str, text_col: str, most: int = QUOTES) -> DataFrame:
     """quotes with id_col and grounded: a row for each text that holds the quote, white space squeezed; a null id and false where none does.
 
+    Up to `most` bytes of distinct quotes are sent to all tasks, and each text is
+    read once and meets all of them there; no text is shuffled. More quotes are
+    joined with the texts by words.
+    """
+    own = quotes.drop(id_col).withColumn("__q", _flat(quote_col))
+    wanted = own.select("__q").filter("__q <> ''").distinct()
+    if (wanted.agg(F.sum(F.octet_length("__q"))).first()[0] or 0) <= most:
+        row = T.StructType([T.StructField("__q", T.StringType()), T.StructField("__id", texts.schema[id_col].dataType)])
+        search = phrases.held([r[0] for r in wanted.collect()])
+        found = texts.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__t")).mapInArrow(search, row)
+    else:
+        found = _held_by_words(wanted, texts.select(F.col(id_col).alias("__id"), _flat(text_col).alias("__t")))
+    found = found.withColumn("__g", F.lit(True))
+    return own.join(found, "__q", "left").select(*quotes.drop(id_col).columns, F.col("__id").alias(id_col), F.coalesce("__g", F.lit(False)).alias("grounded"))
+
+
+def _held_by_words(wanted: DataFrame, t: DataFrame) -> DataFrame:
+    """(__q, __id): the texts __t that hold a quote, for each quote.
+
     A text that holds a quote has all words of it but the first and last whole,
     the first at the end of a word and the last at the beginning of one, so texts
     are looked up by the one of these that the fewest have. A single word is
     looked up among the distinct words of all texts.
     """
-    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
-    own = quotes.drop(id_col).withColumn("__q", flat(quote_col))
-    wanted = own.select("__q").filter("__q <> ''").distinct()
-    t = texts.select(F.col(id_col).alias("__id"), flat(text_col).alias("__t"))
     words = F.split("__q", " ")
     parts = F.when(F.size(words) == 1, F.array(F.struct(F.lit("any").alias("as"), F.col("__q").alias("part")))).otherwise(
         F.concat(
@@ -145,8 +167,7 @@ def evidence_anywhere(quotes: DataFrame, texts: DataFrame, quote_col: str, id_co
     sums = hits.groupBy("as", "part").agg(F.sum("n").alias("n"))
     rare = asked.join(sums, ["as", "part"], "left").groupBy("__q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "as", "part")).alias("x")).filter("x.n > 0").select("__q", "x.as", "x.part")
     near = rare.join(hits.select("as", "part", "w"), ["as", "part"]).select("__q", "w").join(word_of, "w").select("__q", F.col("__id").alias("__at")).distinct()
-    found = near.join(t, F.col("__at").eqNullSafe(F.col("__id"))).filter(F.col("__t").contains(F.col("__q"))).select("__q", "__id").distinct().withColumn("__g", F.lit(True))
-    return own.join(found, "__q", "left").select(*quotes.drop(id_col).columns, F.col("__id").alias(id_col), F.coalesce("__g", F.lit(False)).alias("grounded"))
+    return near.join(t, F.col("__at").eqNullSafe(F.col("__id"))).filter(F.col("__t").contains(F.col("__q"))).select("__q", "__id")
 
 
 def merge_missing(primary: DataFrame, secondary: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
