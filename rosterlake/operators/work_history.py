@@ -107,11 +107,22 @@ def _kinds(cells: Column) -> Column:
     return F.when((F.size(cells) >= 2) & F.forall(names, lambda k: k.isNotNull()) & (F.array_contains(names, "employer") | F.array_contains(names, "title")), named)
 
 
+#: Where lines end.
+BREAKS = r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]"
+
+
+def cleaned(text: Column) -> Column:
+    """A text with bars and spaces of one kind."""
+    return F.when(reduce(or_, (text.contains(c) for c in "｜│¦\u00a0\u3000")), F.regexp_replace(F.regexp_replace(text, "[｜│¦]", "|"), r"[\u00a0\u3000]", " ")).otherwise(text)
+
+
 def text_lines(docs: DataFrame, id_col: str, text_col: str, *carried: str) -> DataFrame:
-    """(row, id, n, line, ...): the lines of each text that are not blank, numbered from 0; `row` tells repeated rows apart."""
-    clean = F.when(reduce(or_, (F.col(text_col).contains(c) for c in "｜│¦\u00a0\u3000")), F.regexp_replace(F.regexp_replace(F.col(text_col), "[｜│¦]", "|"), r"[\u00a0\u3000]", " ")).otherwise(F.col(text_col))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), *(F.col(c).alias(f"with_{c}") for c in carried), clean.alias("text"))
-    lines = rows.select(*(c for c in rows.columns if c != "text"), F.posexplode(F.split("text", r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")).alias("n", "line"))
+    """(row, id, n, line, ...): the lines of each text that are not blank, numbered from 0; `row` tells repeated rows apart.
+
+    `row` holds within one reading of docs; another reading may number the rows otherwise.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), *(F.col(c).alias(f"with_{c}") for c in carried), cleaned(F.col(text_col)).alias("text"))
+    lines = rows.select(*(c for c in rows.columns if c != "text"), F.posexplode(F.split("text", BREAKS)).alias("n", "line"))
     return lines.filter(F.trim("line", F.lit(" \t")) != "")
 
 
