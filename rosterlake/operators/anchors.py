@@ -19,7 +19,7 @@ from .work_history import BREAKS, cleaned
 MOST_WORDS = 12
 #: Words that may follow a name in its heading.
 TAIL_WORDS = ("present", "current", "now", "to", "till", "date", "sdn", "bhd", "ltd", "limited", "inc", "pte", "malaysia", "singapore", "full", "time", "part", "contract", "permanent")
-_TAIL = rf"(?: (?:\d{{1,4}}|(?:{'|'.join(MONTHS)})[a-z]*|{'|'.join(TAIL_WORDS)}))*$"
+_TAIL = rf"^(?:\d{{1,4}}|(?:{'|'.join(MONTHS)})[a-z]*|{'|'.join(TAIL_WORDS)})$"
 
 
 def word_form(text: Column) -> Column:
@@ -29,7 +29,9 @@ def word_form(text: Column) -> Column:
 
 def _tail(words: Column) -> Column:
     """How many words at the end of a line may follow a name; its first word is none of them."""
-    return F.size(F.split(F.regexp_extract(words, _TAIL, 0), " ")) - 1
+    is_tail = lambda w: w.rlike(_TAIL)
+    others = F.slice(F.split(words, " "), F.lit(2), F.size(F.split(words, " ")))
+    return F.when(is_tail(F.substring_index(words, " ", -1)), F.aggregate(others, F.lit(0), lambda n, w: F.when(is_tail(w), n + 1).otherwise(0))).otherwise(0)
 
 
 def flattened(text: Column) -> Column:
