@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from ..functions.text import companies_match, company_name
+from ..functions.text import bound, companies_match, company_name
 from . import phrases, set_blocks
 
 #: Most bytes of distinct quotes that are sent to all tasks.
@@ -64,26 +64,30 @@ def best_jaccard(left: DataFrame, right: DataFrame, *, family: str, left_id: str
     holds another right row is done. Classes left over meet by size: sets whose
     sizes allow the similarity are in one band of sizes or in neighbouring ones,
     bands are cut into blocks of a bounded number of tokens, and blocks meet block
-    by block (`set_blocks.best`), so no pair of sets is ever a row. Words are
-    compared by 64-bit hashes. Null and empty sets match nothing.
+    by block, so no pair of sets is ever a row: by signatures first
+    (`set_blocks.likely`), which rule out most pairs and none that is similar, then
+    the sets that are left by their tokens (`set_blocks.best`). Words are compared
+    by 64-bit hashes. Null and empty sets match nothing.
     """
 
     def rows(df: DataFrame, id_col: str, token_col: str) -> DataFrame:
-        made = df.select(F.to_json(F.struct(F.col(family).alias("f"))).alias("fam"), F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.array_compact(token_col))).alias("s")).filter(F.size("s") > 0)
+        made = bound(df.select(F.to_json(F.struct(F.col(family).alias("f"))).alias("fam"), F.col(id_col).alias("id"), F.col(token_col).alias("s")), s=F.sort_array(F.array_distinct(F.array_compact("s")))).filter(F.size("s") > 0)
         return made.withColumn("cls", F.md5(F.concat_ws("\x1f", "fam", F.array_join("s", "\x1f")).cast("binary")))
 
     a, b = rows(left, left_id, left_tokens), rows(right, right_id, right_tokens)
     # the two least ids of a class are enough: one of them is not the row itself
-    two = b.groupBy("cls").agg(F.min("id").alias("first")).join(b.select("cls", "id").distinct(), "cls").filter(F.col("id") != F.col("first")).groupBy("cls").agg(F.min("id").alias("second"))
-    firsts = b.groupBy("cls").agg(F.min("id").alias("first")).join(two, "cls", "left")
+    ranked = b.select("cls", "id").withColumn("rank", F.dense_rank().over(Window.partitionBy("cls").orderBy("id"))).filter("rank <= 2")
+    firsts = ranked.groupBy("cls").agg(F.min("id").alias("first"), F.min(F.when(F.col("rank") == 2, F.col("id"))).alias("second"))
     other = F.when(F.lit(same_rows) & (F.col("id") == F.col("first")), F.col("second")).otherwise(F.col("first"))
     own = a.select("cls", "id").join(firsts, "cls", "left").withColumn("other", other).select("cls", "id", "other")
     alone = own.filter("other is null")
 
-    sets = a.select("cls", "fam", "s").union(b.select("cls", "fam", "s")).groupBy("cls").agg(F.first("fam").alias("fam"), F.first("s").alias("s"))
-    asks, answers = alone.select("cls").distinct().withColumn("asks", F.lit(True)), b.select("cls").distinct().withColumn("answers", F.lit(True))
-    sides = sets.join(asks, "cls", "left").join(answers, "cls", "left").fillna(False, ["asks", "answers"]).filter("asks or answers")
-    hashed = sides.join(firsts.select("cls", "first"), "cls", "left").select("cls", "fam", "asks", "answers", "first", F.size("s").alias("n"), F.transform("s", lambda t: F.xxhash64(t)).alias("t"))
+    # only a class whose rows have no other row asks for another class
+    side = lambda df, asks, answers: df.select("cls", "fam", F.transform("s", lambda t: F.xxhash64(t)).alias("t"), F.lit(asks).alias("asks"), F.lit(answers).alias("answers"), F.when(F.lit(answers), F.col("id")).alias("id"))
+    sets = side(a, True, True) if same_rows else side(a, True, False).union(side(b, False, True))
+    sets = sets.groupBy("cls").agg(F.first("fam").alias("fam"), F.first("t").alias("t"), F.max("asks").alias("asks"), F.max("answers").alias("answers"), F.min("id").alias("first"), F.max("id").alias("last"))
+    asks = F.col("asks") & (F.col("first").isNull() | (F.lit(same_rows) & (F.col("first") == F.col("last"))))
+    hashed = sets.select("cls", "fam", asks.alias("asks"), "answers", "first", F.size("t").alias("n"), "t").filter("asks or answers")
     hashed = hashed.withColumn("band", F.floor(F.log("n") / F.lit(-math.log(least))).cast("int"))
     sizes = hashed.groupBy("fam", "band").agg(F.greatest(F.ceil(F.sum("n") / F.lit(set_blocks.TOKENS)), F.ceil(F.count("*") / F.lit(set_blocks.SETS))).cast("int").alias("parts"))
     dealt = hashed.join(sizes, ["fam", "band"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
@@ -98,9 +102,13 @@ def best_jaccard(left: DataFrame, right: DataFrame, *, family: str, left_id: str
         F.transform(upto(F.coalesce("above", F.lit(0))), lambda q: meeting(band, part, band + 1, q, 0)),
         F.transform(upto(F.coalesce("below", F.lit(0))), lambda q: meeting(band - 1, q, band, part, 1)),
     )
-    met = ends.select("fam", "cls", "asks", "answers", "first", "n", "t", F.inline(meets))
+    # signatures meet first, then the sets that have a pair there
+    meeting_of = ["fam", "m1", "m2", "m3", "m4"]
+    places = "fam string, m1 int, m2 int, m3 int, m4 int, side int, cls string"
+    signed = ends.select("fam", "cls", "asks", "answers", "n", "band", "part", "parts", "above", "below", "t").mapInArrow(set_blocks.signed(least), "fam string, cls string, asks boolean, answers boolean, n int, band int, part int, parts int, above int, below int, sig binary")
+    met = signed.select("fam", "cls", "asks", "answers", "n", "sig", F.inline(meets)).groupBy(*meeting_of).applyInArrow(set_blocks.likely(least), places)
     kind = dict(b.dtypes)["id"]
-    scored = met.groupBy("fam", "m1", "m2", "m3", "m4").applyInArrow(set_blocks.best(least), f"cls string, similarity double, other {kind}")
+    scored = met.join(hashed.drop("band"), ["fam", "cls"]).groupBy(*meeting_of).applyInArrow(set_blocks.best(least), f"cls string, similarity double, other {kind}")
     best = scored.groupBy("cls").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "other")).alias("x"))
     found = own.filter("other is not null").select("id", "other", F.lit(1.0).alias("similarity"))
     found = found.union(alone.join(best, "cls").select("id", F.col("x.other"), -F.col("x.minus")))
